@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, sentencepiece_codec
+from . import embedding_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
+    "op4_pii": pii.op4_pii,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+    "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_warc": warc.ORACLE}

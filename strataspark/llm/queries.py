@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, warc
+from . import embedding_dedup, language_model, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
+    "op3_language_model": language_model.op3_language_model,
     "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,

@@ -199,7 +199,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    redactor = fit(stage(with_spans(docs, text).select("doc_id", "base_", "cand_").where((F.size("base_") > 0) | (F.size("cand_") > 0)), "pii"))
+    redactor = fit(stage(with_spans(docs, text).select("doc_id", "base_", "cand_"), "pii"))
     df = with_redactions(with_spans(docs, text), redactor)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["k"] + 1)), F.lit("]"))

@@ -66,7 +66,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines_").cast("long").alias("n_lines"),
     )
-    return df.select(*docs.columns, counts.alias("counts_"))
+    # a filter on the counts must not be pushed below this: it would take them apart and evaluate arrays within lambdas
+    return df.select(*docs.columns, counts.alias("counts_"), F.monotonically_increasing_id().alias("barrier_"))
 
 
 def base_failed(c: Column) -> Column:
@@ -119,14 +120,16 @@ def _measured(rows: DataFrame, moments: DataFrame) -> DataFrame:
 def estimate(slim: DataFrame) -> DataFrame:
     """Centre and scatter of each group g_ of rows with X (reads its input several times)."""
     quartiles = slim.groupBy("g_").agg(*(F.percentile(F.round(x, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in X))
-    moments = quartiles.select(
+    start = quartiles.select(
         "g_",
         *(F.col(x)[1].alias(f"m_{x}") for x in X),
         *((F.pow((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349, F.lit(2.0)) + TOLERANCE[X[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i in range(len(X)) for j in range(i + 1)),
     )
+    moments = stage(start, "mcd")
     for _ in range(STEPS):
         measured = _measured(slim, moments)
-        bound = measured.groupBy("g_").agg(F.percentile(_binned(F.col("d2_")), F.lit(NEAREST)).alias("most_"))
+        # tables of a row for each group: small ones are broadcast, so that a hot group stays spread
+        bound = stage(measured.groupBy("g_").agg(F.percentile(_binned(F.col("d2_")), F.lit(NEAREST)).alias("most_")), "mcd")
         near = measured.join(bound, "g_").where(_binned(F.col("d2_")) <= F.col("most_"))
         moments = stage(_moments(near, FACTOR_NEAREST), "mcd")
     measured = _measured(slim, moments)
@@ -153,7 +156,7 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = False, reject_a
         *(F.col("counts_")[c].alias(c) for c in BASE),
         F.col("f_").alias("base_failed"),
         F.when(~F.col("f_"), F.col("d2_")).alias("distance2"),
-        (~F.col("f_") & (F.coalesce(F.col("d2_"), F.lit(0.0)) <= reject_at)).alias("kept"),
+        (~F.col("f_") & (F.coalesce(F.col("d2_"), F.lit(0.0)) <= reject_at) & (F.col("barrier_") >= 0)).alias("kept"),
     )
     out = [c for c in docs.columns if c != "quality_" and (keep_text or c != text)]
     return measured.select(*out, verdict.alias("quality_"))

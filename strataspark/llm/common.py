@@ -59,21 +59,23 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
-class TwoGenerations(dict):
-    """A dict for use as a cache: bounded, and words in use survive when it fills."""
+class TwoGenerations:
+    """A bounded cache of two dicts: when `now` is full it becomes the old one, and what is still in use comes back."""
 
     def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
+        self.most, self.now, self.old = most, {}, {}
+
+    def absent(self, keys: set) -> list:
+        """The keys that have no value yet; all others are in `now` afterwards."""
+        new = []
+        for k in keys - self.now.keys():
+            if k in self.old:
+                self.now[k] = self.old[k]
+            else:
+                new.append(k)
+        return new
 
     def make_room(self) -> None:
         """To be called between batches."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now

@@ -27,6 +27,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return [r["text"] for r in rows], np.array([r["y_"] for r in rows], dtype=np.int64), np.array([totals.get(0, 0), totals.get(1, 0)])
 
 
+def indexed(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of some texts, all tokens as places among them, and the number of each text's tokens."""
+    index: dict[bytes, int] = {}
+    rows = [np.fromiter((index.setdefault(w, len(index)) for w in x.encode().split()), np.int32) for x in texts]
+    return list(index), np.concatenate([*rows, np.empty(0, np.int32)]), np.array([len(r) for r in rows], dtype=np.int64)
+
+
 class WordTable:
     """Values of words, computed once while they are in the table; starts anew when it is full."""
 

@@ -52,12 +52,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks, self.parts = TwoGenerations(250_000), TwoGenerations(250_000)
+        self.chunks, self.parts = TwoGenerations(300_000), TwoGenerations(300_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         split: dict[str, list[str]] = {}
         whole: list[str] = []
         for c in new:
@@ -65,33 +65,21 @@ class WordIds:
                 split[c] = _PARTS.findall(c.lower())
             else:
                 whole.append(c)
-        for c, b in zip(whole, self._library(whole), strict=True):
-            self.chunks[c] = b
-        known: dict[str, bytes] = {}
-        ask: set[str] = set()
-        for parts in split.values():
-            for p in parts:
-                if p not in known:
-                    b = self.parts[p]
-                    if b is None:
-                        ask.add(p)
-                    else:
-                        known[p] = b
-        asked = list(ask)
-        for p, b in zip(asked, self._library(asked), strict=True):
-            self.parts[p] = known[p] = b
-        for c, parts in split.items():
-            self.chunks[c] = b"".join([known[p] for p in parts])
-        self.parts.make_room()
+        chunks, parts = self.chunks.now, self.parts
+        chunks.update(zip(whole, self._library(whole), strict=True))
+        ask = parts.absent(set().union(*split.values()))
+        parts.now.update(zip(ask, self._library(ask), strict=True))
+        get = parts.now.__getitem__
+        for c, own in split.items():
+            chunks[c] = b"".join(map(get, own))
+        parts.make_room()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 200):
-            some = texts[k : k + 200]
+        for k in range(0, len(texts), 400):
+            some = texts[k : k + 400]
             split = [None if _SEPARATORS.search(x) else x.split() for x in some]
-            words = set().union(*(s for s in split if s))
-            get = self.chunks.__getitem__
-            if new := {w for w in words if get(w) is None}:
-                self._learn(new)
+            self._learn(self.chunks.absent(set().union(*(s for s in split if s))))
+            get = self.chunks.now.__getitem__
             for x, s in zip(some, split, strict=True):
                 yield self._library([x])[0] if s is None else b"".join(map(get, s))
             self.chunks.make_room()

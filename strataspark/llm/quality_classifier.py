@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, read_table, text_of
-from .labelled import WordTable, labelled_sample, portions
+from .labelled import WordTable, indexed, labelled_sample, portions
 
-EACH, MOST_CHARS, WORDS = 3000, 20_000, 200
+EACH, MOST_CHARS, WORDS = 2000, 20_000, 200
 BUCKETS, DIM, NGRAMS, REPEAT = 1 << 17, 8, (3, 4), 10
 
 
@@ -56,19 +56,15 @@ class Classifier:
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.6, seed: int = 5) -> Classifier:
     rng = np.random.default_rng(seed)
-    split = [x.encode().split() for x in texts]
     share = (float((y == 1).sum()) + 0.5) / (len(y) + 1)
     if not ((y == 1).any() and (y == 0).any()):
         return Classifier(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    index: dict[bytes, int] = {}
-    tokens = np.array([index.setdefault(w, len(index)) for s in split for w in s], dtype=np.int64)
-    lengths = np.array([len(s) for s in split], dtype=np.int64)
+    vocabulary, tokens, lengths = indexed(texts)
     begin = np.cumsum(lengths) - lengths
     repeats = np.r_[False, tokens[1:] == tokens[:-1]]
     repeats[begin[lengths > 0]] = False
-    feats = [word_features(w) for w in index]
-    n_feats = np.array([len(f) for f in feats], dtype=np.int64)
-    flat = np.fromiter((x for f in feats for x in f), np.int64, int(n_feats.sum()))
+    n_feats = np.array([1 + sum(max(0, len(w) + 3 - n) for n in NGRAMS) for w in vocabulary], dtype=np.int64)
+    flat = np.fromiter((x for w in vocabulary for x in word_features(w)), np.int32, int(n_feats.sum()))
     offset = np.cumsum(n_feats) - n_feats
     vectors = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     output, bias = np.zeros((2, DIM)), np.zeros(2)

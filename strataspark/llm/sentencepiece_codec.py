@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,35 +40,37 @@ class Agenda:
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(sp.get_piece_size())]
         self.ids = {sp.id_to_piece(i): i for i, s in enumerate(special) if not s}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {p: order[s] for p, s in scores.items()}  # equal scores, equal rank
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.words, self.parts = TwoGenerations(250_000), TwoGenerations(250_000)
+        self.words, self.parts = TwoGenerations(250_000), TwoGenerations(400_000)
 
     def merge(self, text: str) -> list[int]:
-        """Ids of a text without white space but SPACE."""
-        symbols, n = list(text), len(text)
+        """Ids of a text without white space but SPACE. Agenda entries: rank of the joined piece, then place."""
+        symbols, n, rank = list(text), len(text), self.rank.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        scores, agenda = self.scores, []
-
-        def offer(i: int, j: int) -> None:
-            score = scores.get(joined := symbols[i] + symbols[j])
-            if score is not None:
-                heapq.heappush(agenda, (-score, i, j, joined))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        agenda = [r << 32 | i for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, j, joined = heapq.heappop(agenda)
-            if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != joined or right[i] != j:
+            top = heapq.heappop(agenda)
+            i = top & 0xFFFFFFFF
+            j = right[i]
+            if j >= n or not symbols[i]:
+                continue
+            joined = symbols[i] + symbols[j]
+            if rank(joined) != top >> 32:
                 continue  # one of the two has been merged since
             symbols[i], symbols[j] = joined, ""
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                offer(i, k)
-            if left[i] >= 0:
-                offer(left[i], i)
+                if (r := rank(joined + symbols[k])) is not None:
+                    heapq.heappush(agenda, r << 32 | i)
+            h = left[i]
+            if h >= 0 and (r := rank(symbols[h] + joined)) is not None:
+                heapq.heappush(agenda, r << 32 | h)
         out: list[int] = []
         for s in symbols:
             if s:
@@ -84,31 +87,31 @@ class Agenda:
         parts.append(word[at:])
         return parts
 
-    def _word(self, word: str) -> tuple[str, int]:
-        ids: list[int] = []
-        for part in self._cut(word):
-            found = self.parts[part]
-            if found is None:
-                found = self.parts[part] = self.merge(part)
-            ids.extend(found)
-        return ",".join(map(str, ids)), len(ids)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, int]]:
-        """The ids of each text as decimals joined by commas, and their number."""
-        for k in range(0, len(texts), 200):
-            some = texts[k : k + 200]
+    def _learn(self, new: list[str]) -> None:
+        cut = [self._cut(w) for w in new]
+        merge, parts, words = self.merge, self.parts, self.words.now
+        parts.now.update((p, merge(p)) for p in parts.absent(set().union(*cut)))
+        get = parts.now.__getitem__
+        for w, own in zip(new, cut, strict=True):
+            ids = list(chain.from_iterable(map(get, own)))
+            words[w] = ",".join(map(str, ids)), ids
+        parts.make_room()
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """The ids of each text, as decimals joined by commas and as numbers."""
+        for k in range(0, len(texts), 400):
+            some = texts[k : k + 400]
             # a word: spaces, then what follows them; the dummy prefix is the first text's space
             split = [_WORD.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in some]
-            get = self.words.__getitem__
-            new = [w for w in set().union(*split) if get(w) is None]
-            for w in new:
-                self.words[w] = self._word(w)
-            self._compare([w[1:] for w in new if w[0] == SPACE], [get(w)[0] for w in new if w[0] == SPACE])
-            for words in split:
-                got = [get(w) for w in words]
-                yield ",".join([g[0] for g in got]), sum([g[1] for g in got])
+            new = self.words.absent(set().union(*split))
+            self._learn(new)
+            words = self.words.now
+            own = [w for w in new if w[0] == SPACE]
+            self._compare([w[1:] for w in own], [words[w][0] for w in own])
+            for got in split:
+                found = [words[w] for w in got]
+                yield ",".join([g[0] for g in found]), list(chain.from_iterable([g[1] for g in found]))
             self.words.make_room()
-            self.parts.make_room()
 
     def _compare(self, texts: list[str], ours: list[str]) -> None:
         for x, own, theirs in zip(texts, ours, self.library.encode(texts, num_threads=1), strict=True):
@@ -151,11 +154,11 @@ def code(docs: DataFrame, model: str | None = None, digests: bool = False) -> Da
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for i, x, (ids, n) in zip(batch.column(0).to_pylist(), texts, own.encode(texts), strict=True):
+            for i, x, (written, ids) in zip(batch.column(0).to_pylist(), texts, own.encode(texts), strict=True):
                 if not rows:
-                    own.check(x, ids)
-                decoded = own.library.decode(list(map(int, ids.split(",")))) if ids else ""
-                rows.append((i, n, hexed(ids), hexed(decoded)))
+                    own.check(x, written)
+                decoded = own.library.decode(ids) if ids else ""
+                rows.append((i, len(ids), hexed(written), hexed(decoded)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
 

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, read_table, text_of
-from .labelled import WordTable, labelled_sample, portions
+from .labelled import WordTable, indexed, labelled_sample, portions
 
-EACH, MOST_CHARS, WINDOW, WINDOWS = 3000, 20_000, 64, 4
+EACH, MOST_CHARS, WINDOW, WINDOWS = 2000, 20_000, 64, 4
 BUCKETS = 1 << 18
 RATIO, SHARE = 24.0, 0.95
 _FEATURES = 1 + 6 + 3
@@ -94,11 +94,11 @@ def marginals(s: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return (toxic / (toxic + fore[0] * back[0])).reshape(-1)[:n]
 
 
-def _weak_labels(feats: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _weak_labels(feats: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Buckets that stand in far more toxic than clean documents."""
-    seen = np.unique(owner[:, None] * BUCKETS + feats)
-    bucket, toxic = seen % BUCKETS, y[seen // BUCKETS] == 1
-    k1, k0 = np.bincount(bucket[toxic], minlength=BUCKETS), np.bincount(bucket[~toxic], minlength=BUCKETS)
+    k1, k0 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for label, at, n in zip(y, np.cumsum(lengths) - lengths, lengths, strict=True):
+        (k1 if label else k0)[np.unique(feats[np.unique(tokens[at : at + n])])] += 1
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
 
     def ll(k, n, p):
@@ -139,18 +139,14 @@ def _sums(p: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, epochs: int = 4, seed: int = 7) -> Tagger:
     """Numpy training; y: 0 or 1 for each text; totals: how many labelled rows of each class these stand for."""
     rng = np.random.default_rng(seed)
-    split = [x.encode().split() for x in texts]
-    index: dict[bytes, int] = {}
-    tokens = np.array([index.setdefault(w, len(index)) for s in split for w in s], dtype=np.int64)
-    lengths = np.array([len(s) for s in split], dtype=np.int64)
+    words, tokens, lengths = indexed(texts)
     weights, a, b = np.zeros(BUCKETS), np.zeros((2, 2)), np.array([0.0, -2.0])
     if not (len(tokens) and (y == 1).any() and (y == 0).any()):
         share = float(y.mean()) if len(y) else 0.0
         return Tagger(weights - 3.0 / _FEATURES, a, b, np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0]))
-    feats = np.array([word_features(w) for w in index], dtype=np.int64)
-    owner = np.repeat(np.arange(len(split)), lengths)
-    pairs = np.unique(owner * len(index) + tokens)
-    strong = _weak_labels(feats[pairs % len(index)], pairs // len(index), y)
+    feats = np.fromiter((f for w in words for f in word_features(w)), np.int32, len(words) * _FEATURES).reshape(-1, _FEATURES)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    strong = _weak_labels(feats, tokens, lengths, y)
     gold = strong[feats].any(1)[tokens] & (y[owner] == 1)
 
     # windows: those with toxic words first, then others at random
@@ -187,7 +183,7 @@ def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, epo
 
     first = np.zeros(len(tokens), bool)
     first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    total, top = _sums(marginals(weights[feats].sum(1)[tokens], first, a, b), lengths)
+    total, top = _sums(marginals(sum(weights[feats[:, k]] for k in range(_FEATURES))[tokens], first, a, b), lengths)
     x = np.stack([np.ones(len(y)), np.log1p(total), top], axis=1)
     final, held = np.zeros(3), np.bincount(y, minlength=2)
     each = ((held if totals is None else np.maximum(totals, held)) / held)[y]

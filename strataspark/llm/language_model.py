@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import fold_of, new_path, read_table, stage, text_of
 
 SPREAD = 16
-PORTION = 1_000_000
+#: Tokens that are split, or scored, at a time, and pairs that a task gathers before it counts and sends them.
+PORTION, GATHERED = 250_000, 1_500_000
 _START, _END = b"\x00start", b"\x00end"
 _ROUTE = np.uint64(52)
 
@@ -58,7 +59,7 @@ def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 class Hashes:
     """Word hashes, computed once while they are in the table."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.index, self.values = most, {}, np.empty(0, np.uint64)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +116,37 @@ def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _count(buckets: int):
+    def counted(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*gathered, strict=True))
+        key, begin, order, c = _summed(pair_hash(u, v), np.ones(len(u), _U32))
+        at = order[begin]
+        u, v = u[at], v[at]
+        bucket = ((key >> _ROUTE).astype(np.int64) * buckets) >> 12
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        blobs = [u[s:e].tobytes() + v[s:e].tobytes() + c[s:e].astype(_U32).tobytes() for s, e in zip(cut[full], cut[full + 1], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, n = [], 0
         for batch in batches:
             for _, split in token_portions(batch.column(0).to_pylist()):
                 h, _, first = _pairs(split)
                 second = ~first[1:]
-                u, v = h[:-1][second], h[1:][second]
-                key, begin, order, c = _summed(pair_hash(u, v), np.ones(len(u), np.uint32))
-                u, v = u[order][begin], v[order][begin]
-                bucket = ((key >> _ROUTE).astype(np.int64) * buckets) >> 12
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cut))
-                blobs = [u[s:e].tobytes() + v[s:e].tobytes() + c[s:e].astype(np.uint32).tobytes() for s, e in zip(cut[full], cut[full + 1], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                gathered.append((h[:-1][second], h[1:][second]))
+                n += len(gathered[-1][0])
+                if n >= GATHERED:
+                    yield counted(gathered)
+                    gathered, n = [], 0
+        if gathered:
+            yield counted(gathered)
 
     return run
 
 
+_U64, _U32 = np.uint64, np.uint32
+
+
 def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     """Whole or not at all: under a name of its own first, then renamed."""
     import uuid
@@ -159,7 +174,6 @@ def _split(blobs: list[bytes], *types) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, types, strict=True)]
 
 
-_U64, _U32 = np.uint64, np.uint32
 #: What a word adds up to: tokens, contexts before it, and pairs after it seen once, twice, more often.
 _WORD_TYPES = (_U64, _U64, _U32, _U32, _U32, _U32)
 
@@ -171,15 +185,16 @@ def _pair_bucket(folder: str, ranges: int):
         key, begin, order, c = _summed(pair_hash(u, v), c.astype(_U64))
         u, v = u[order][begin], v[order][begin]
         _write(folder, f"pairs-{bucket:05d}", [key, c])
-        zero = np.zeros(len(key), _U64)
-        n1, n2, n3 = (c == 1).astype(_U64), (c == 2).astype(_U64), (c >= 3).astype(_U64)
-        word, _, _, tokens, before, once, twice, more = _summed(np.r_[u, v], np.r_[zero, c], np.r_[zero, np.ones(len(key), _U64)], np.r_[n1, zero], np.r_[n2, zero], np.r_[n3, zero])
+        seen = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(key)]
+        del key, order, begin
+        zero = np.zeros(len(c), _U32)
+        follow = [np.r_[x.astype(_U32), zero] for x in (c == 1, c == 2, c >= 3)]
+        word, _, _, tokens, before, once, twice, more = _summed(np.r_[u, v], np.r_[zero, c].astype(_U64), np.r_[zero, zero + _U32(1)], *follow)
         part = (word >> _ROUTE).astype(np.int64) * ranges >> 12
         cut = np.searchsorted(part, np.arange(ranges + 1))
         full = np.flatnonzero(np.diff(cut))
         columns = [word, tokens, *(x.astype(_U32) for x in (before, once, twice, more))]
         blobs = [b"".join(x[s:e].tobytes() for x in columns) for s, e in zip(cut[full], cut[full + 1], strict=True)]
-        seen = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(key)]
         return pa.table([pa.array([*full, -1], pa.int32()), pa.array([*blobs, b""], pa.binary()), pa.array([*([None] * len(full)), seen], pa.list_(pa.int64()))], names=["part", "blob", "seen"])
 
     return run

@@ -30,7 +30,7 @@ MAX_TOKENS = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that one task packs at once.
 PER_PARTITION = 8192
-ROUNDS = 3
+ROUNDS = 6
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Chunks whose pre-tokens are plain to see; all others go to the library whole.
@@ -206,18 +206,17 @@ def pack(cut: DataFrame, capacity: int = MAX_TOKENS, per_partition: int = PER_PA
     """PIECES with sequence_id and offset; cut is read more than once, so it should be a table.
 
     Each round's result is held in the shared folder. Round by round the pieces that are still
-    loose go to fewer partitions; in the last round all places stand.
+    loose go to fewer partitions; once they fit into one, all places stand.
     """
     full = cut.where(F.col("length") >= capacity)
-    done = full.select("*", F.lit(-1).cast("long").alias("group"), F.xxhash64("doc_id", "piece", "start").alias("bin"), F.lit(0).cast("long").alias("offset"))
     # full pieces have sequences by themselves: a number for each row
-    done = done.withColumn("bin", F.monotonically_increasing_id())
+    done = full.select("*", F.lit(-1).cast("long").alias("group"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
     parts = [done.withColumn("round_", F.lit(0))]
     rest = cut.where(F.col("length") < capacity)
     n = rest.count()
     for k in range(1, rounds + 1):
-        last = k == rounds
         groups = max(1, -(-n // per_partition))
+        last = k == rounds or groups == 1
         dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(groups)))
         packed = stage(dealt.groupBy("group").applyInPandas(_pack(capacity, last), PACKED), f"pack{k}")
         parts.append(packed.where(~F.col("loose")).drop("loose").withColumn("round_", F.lit(k)))
@@ -227,7 +226,7 @@ def pack(cut: DataFrame, capacity: int = MAX_TOKENS, per_partition: int = PER_PA
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # round (2 bits), group (31) and bin (30); full pieces: their own number
+    # full pieces have their own number; others, below zero, round (3 bits), group (31) and bin (29)
     number = F.when(F.col("round_") == 0, F.col("bin")).otherwise(-(F.shiftleft(F.shiftleft(F.col("round_").cast("long"), 31).bitwiseOR(F.col("group")), 29).bitwiseOR(F.col("bin"))) - 1)
     return out.select(*cut.columns, number.alias("sequence_id"), "offset")
 

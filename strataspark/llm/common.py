@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: White space that separates words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -59,6 +64,24 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+_HELD: dict = {}
+
+
+def worker_cache(key, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks, one thing at a time: another operator's caches go first."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class TwoGenerations:
     """A bounded cache of two dicts: when `now` is full it becomes the old one, and what is still in use comes back."""
 

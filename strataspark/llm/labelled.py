@@ -37,7 +37,7 @@ def indexed(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 class WordTable:
     """Values of words, computed once while they are in the table; starts anew when it is full."""
 
-    def __init__(self, width: int, make: Callable[[list[bytes]], np.ndarray], most: int = 400_000):
+    def __init__(self, width: int, make: Callable[[list[bytes]], np.ndarray], most: int = 300_000):
         self.width, self.make, self.most = width, make, most
         self.index: dict[bytes, int] = {}
         self.values = array("f")
@@ -55,7 +55,7 @@ class WordTable:
         return np.frombuffer(self.values, np.float32).reshape(-1, self.width)[at], at
 
 
-def portions(texts: list[str], most: int = 400_000):
+def portions(texts: list[str], most: int = 250_000):
     """(first row, words of each text) in portions of about `most` words."""
     at, held, n = 0, [], 0
     for i, x in enumerate(texts):

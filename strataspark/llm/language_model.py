@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, new_path, read_table, stage, text_of
+from .common import fold_of, new_path, read_table, slices, stage, text_of, worker_cache
 
 SPREAD = 16
 #: Tokens that are split, or scored, at a time, and pairs that a task gathers before it counts and sends them.
@@ -76,13 +76,8 @@ class Hashes:
         return self.values[at], at
 
 
-_HASHES: list[Hashes] = []
-
-
 def hashes() -> Hashes:
-    if not _HASHES:
-        _HASHES.append(Hashes())
-    return _HASHES[0]
+    return worker_cache("language_model", Hashes)
 
 
 def token_portions(texts: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -129,7 +124,7 @@ def _count(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, n = [], 0
-        for batch in batches:
+        for batch in slices(batches, 4000):
             for _, split in token_portions(batch.column(0).to_pylist()):
                 h, _, first = _pairs(split)
                 second = ~first[1:]
@@ -347,7 +342,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             ids = batch.column(0)
             for at, split in token_portions(batch.column(1).to_pylist()):
                 n, known, base, own = model.score(split)

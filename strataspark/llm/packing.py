@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, read_table, stage, text_of
+from .common import TwoGenerations, read_table, slices, stage, text_of, worker_cache
 
 MAX_TOKENS = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -52,7 +52,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks, self.parts = TwoGenerations(300_000), TwoGenerations(300_000)
+        self.chunks, self.parts = TwoGenerations(200_000), TwoGenerations(250_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,17 +85,12 @@ class WordIds:
             self.chunks.make_room()
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
     """One for each worker process, which later tasks use again."""
-    if path not in _ENCODERS:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_cache(("packing", path), lambda: WordIds(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -114,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         step = 4 * max_tokens
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += b"\0\0\0\0"

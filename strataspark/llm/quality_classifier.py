@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, read_table, text_of
+from .common import fold_of, read_table, slices, text_of, worker_cache
 from .labelled import WordTable, indexed, labelled_sample, portions
 
 EACH, MOST_CHARS, WORDS = 2000, 20_000, 200
@@ -101,14 +101,9 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.6, s
     return Classifier(vectors @ (output[1] - output[0]), float(bias[1] - bias[0]))
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def _table(key: int, model: Classifier) -> WordTable:
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = WordTable(2, model.word_values)
-    return _TABLES[key]
+    """One for each model and worker process."""
+    return worker_cache(("quality_classifier", key), lambda: WordTable(2, model.word_values))
 
 
 def scores(texts: list[str], model: Classifier, table: WordTable) -> np.ndarray:
@@ -134,7 +129,7 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     key = crc32(model.weights.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             s = scores(batch.column(1).to_pylist(), held.value, _table(key, held.value))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, read_table, text_of
+from .common import TwoGenerations, read_table, slices, text_of, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -123,13 +123,10 @@ class Agenda:
 
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_AGENDAS: dict[str, Agenda] = {}
 
 
 def agenda(path: str) -> Agenda:
-    if path not in _AGENDAS:
-        _AGENDAS[path] = Agenda(path)
-    return _AGENDAS[path]
+    return worker_cache(("sentencepiece", path), lambda: Agenda(path))
 
 
 CODED = "doc_id long, n_tokens long, ids string, decoded string"
@@ -151,7 +148,7 @@ def code(docs: DataFrame, model: str | None = None, digests: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             rows: list[tuple] = []
             for i, x, (written, ids) in zip(batch.column(0).to_pylist(), texts, own.encode(texts), strict=True):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_of
+from .common import read_table, slices, stage, text_of
 from .components import components
 
 BITS, SHINGLE, SEED = 64, 3, 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = [fingerprint(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, read_table, text_of
+from .common import fold_of, read_table, slices, text_of, worker_cache
 from .labelled import WordTable, indexed, labelled_sample, portions
 
 EACH, MOST_CHARS, WINDOW, WINDOWS = 2000, 20_000, 64, 4
@@ -199,15 +199,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows=None, each: int = EACH) -> Ta
     return train(*labelled_sample(docs, labels, "toxic", F.lit(True) if rows is None else rows, each, MOST_CHARS))
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def _table(key: int, tagger: Tagger) -> WordTable:
     """One for each model and worker process."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = WordTable(1, tagger.emissions)
-    return _TABLES[key]
+    return worker_cache(("toxicity", key), lambda: WordTable(1, tagger.emissions))
 
 
 def _scored(texts: list[str], tagger: Tagger, table: WordTable, spans: bool) -> tuple[np.ndarray, list]:
@@ -254,7 +248,7 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     key = crc32(tagger.weights.tobytes() + tagger.final.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             scores, found = _scored(batch.column(1).to_pylist(), held.value, _table(key, held.value), True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "score", "n_spans"])
 

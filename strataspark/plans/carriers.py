@@ -441,3 +441,98 @@ def skeleton_thin(t):
 @query()
 def branch_prune(t):
     return raster.prune_spurs(raster.skeletonize(_grid(t)), 3).select("segment_id", "y", "x")
+
+
+def _strokes(t):
+    """Rasters of 256 x 256 for each supplier: short strokes of ten pixels where its parts and orders fall."""
+    line = t("lineitem").select(F.col("l_suppkey").alias("segment_id"), (F.col("l_partkey") * 7 % 256).cast("int").alias("y"), (F.col("l_orderkey") % 256).cast("int").alias("x0"), "l_returnflag")
+    return line.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x0") + 9))).where("x < 256").select("segment_id", "y", "x", F.expr("case l_returnflag when 'R' then 'red' when 'A' then 'green' else 'yellow' end").alias("class"))
+
+
+@query()
+def branch_table(t):
+    from strataspark.operators import branches
+
+    p = branches.branch_paths(raster.skeletonize(_strokes(t)))
+    return branches.long_branches(p, 8).groupBy("segment_id", "root_y", "root_x", "branch_type").agg(F.count("*").alias("n_px"), F.round(F.avg("y"), 6).alias("center"))
+
+
+@query()
+def greedy_cluster(t):
+    from strataspark.operators import branches
+
+    p = branches.long_branches(branches.branch_paths(raster.skeletonize(_strokes(t))), 8)
+    b = p.groupBy("segment_id", F.xxhash64("root_y", "root_x").alias("branch_id")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("y").cast("double").alias("z"), F.col("x").cast("double").alias("x")))).alias("p"))
+    b = b.select("segment_id", "branch_id", F.lit("filled").alias("fractype"), F.transform("p", lambda v: F.struct(v["z"].alias("z"), v["x"].alias("x"))).alias("path"))
+    return branches.cluster_branches(b, 64)
+
+
+@query()
+def aperture_rays(t):
+    from strataspark.operators import aperture, branches
+
+    mask = _strokes(t).select("segment_id", "y", "x").distinct()
+    thick = mask.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + 2))).distinct()
+    samples = aperture.sampled_normals(branches.branch_paths(raster.skeletonize(thick)), 10)
+    return aperture.ray_widths(samples, thick, 32, 0.25).select("segment_id", "id", F.round("width_mm", 6).alias("width_mm"))
+
+
+@query()
+def reconnect_grow(t):
+    from strataspark.functions.shared import held
+    from strataspark.operators import branches, reconnect
+
+    coloured = held(_strokes(t).groupBy("segment_id", "y", "x").agg(F.min("class").alias("class")), "coloured")
+    mask = coloured.select("segment_id", "y", "x")
+    ends = held(reconnect.path_ends(branches.branch_paths(raster.skeletonize(mask)), 6), "ends")
+    ends = reconnect.local_widths(ends, mask, 10).withColumn("width", F.greatest("width", F.lit(2)))
+    return reconnect.extensions(coloured, reconnect.grown(ends, mask, 5, 256, 256))
+
+
+@query()
+def png_roundtrip(t):
+    from strataspark.sources import png
+
+    p = _strokes(t).select("segment_id", "y", "x", *(F.when(F.col("class").isin(*c), v).otherwise(0).alias(n) for n, c, v in (("r", ("red", "yellow"), 128), ("g", ("green", "yellow"), 128), ("b", ("none",), 0))))
+    return png.foreground(png.render(p, 256, 256))
+
+
+@query()
+def resize_area(t):
+    from strataspark.sources import png
+
+    doc = t("documents").select(F.col("doc_id").alias("frame_idx"), F.encode(F.rpad(F.coalesce(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit("")), 64, " "), "US-ASCII").alias("data"))
+    frames = doc.select("frame_idx", F.lit(1).alias("height"), F.octet_length("data").alias("width"), "data")
+    return png.resized_rows(frames, 16).select("frame_idx", "width", F.hex("data").alias("data"))
+
+
+@query()
+def tile_predict(t):
+    from strataspark.sources import png
+
+    tile = t("documents").select("doc_id", F.encode(F.rpad(F.coalesce(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit("")), 64, " "), "US-ASCII").alias("data"))
+    tile = tile.select("doc_id", F.lit(1).alias("height"), F.octet_length("data").alias("width"), "data")
+    return png.predicted(tile, png.by_brightness, "doc_id").select("doc_id", F.sha2("classes", 256).alias("classes"))
+
+
+@query()
+def xlsx_roundtrip(t):
+    """A workbook of parts for each brand, written and read in tasks."""
+    import pandas as pd
+
+    from strataspark.sources import xlsx
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        book = xlsx.workbook({pdf["p_brand"].iloc[0]: pdf.sort_values("p_partkey")[["p_partkey", "p_size", "p_name"]]})
+        rows = [c for _, y, c in xlsx.rows_of(book) if y > 1]
+        return pd.DataFrame({"p_brand": pdf["p_brand"].iloc[0], "p_partkey": [int(r[0]) for r in rows], "p_size": [int(r[1]) for r in rows], "p_name": [r[2] for r in rows]})
+
+    ORDER = "p_brand string, p_partkey long, p_size int, p_name string"
+    return t("part").select("p_brand", "p_partkey", "p_size", "p_name").groupBy("p_brand").applyInPandas(run, ORDER)
+
+
+ORACLE["xlsx_roundtrip"] = "select p_brand, p_partkey, p_size, p_name from part"
+_STROKES = """with s as (select l_suppkey as segment_id, (l_partkey * 7 % 256)::int as y, (l_orderkey % 256 + d)::int as x, l_returnflag as f from lineitem, range(10) r(d) where l_orderkey % 256 + d < 256),
+c as (select segment_id, y, x, max(case f when 'R' then (128, 0) when 'A' then (0, 128) else (128, 128) end) as rg from s group by all)
+select segment_id, y, x, struct_extract_at(rg, 1)::int as r, struct_extract_at(rg, 2)::int as g, 0::int as b from c"""
+ORACLE["png_roundtrip"] = _STROKES

@@ -67,7 +67,7 @@ def union_with_source(parts: dict[str, DataFrame], order: list[str]) -> DataFram
     for name, df in parts.items():
         df = df.withColumn("source", F.lit(name))
         out = df if out is None else out.unionByName(df)
-    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy(*order)).cast("long"))
 
 
 def tiles(df: DataFrame, height: Column, tile: int) -> DataFrame:

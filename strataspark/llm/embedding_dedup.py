@@ -2,7 +2,7 @@
 
 Vectors are scaled to length one, so cosine >= c is Euclidean distance <= sqrt(2 - 2 c). A table hashes
 a vector by HASHES quantised random projections floor((a x + b) / width); TABLES tables make a link's
-chance of sharing no bucket small (about 0.002 at the threshold itself, less above it). Within each bucket all
+chance of sharing no bucket small (about 0.01 at the threshold itself, less above it). Within each bucket all
 pairs are compared by their exact cosine in double precision.
 
 Equal vectors are one point with a number of copies. A bucket of more than BLOCK points is compared in

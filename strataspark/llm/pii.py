@@ -41,7 +41,7 @@ WIDE = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?+(?:@|\(at\)|\[at\]) ?+[A-Za-z0-9-]++(?:(?: ?+(?:\(dot\)|\[dot\]) ?+|\.)[A-Za-z0-9-]++)*+",
     "ip": r"(?<![0-9A-Za-z])[0-9]++(?:[.,:-][0-9]++){3,}+",
     "card": r"(?<![0-9])[0-9](?:[ ._/-]{0,2}+[0-9]){11,}+",
-    "phone": r"(?<![0-9A-Za-z])(?:\+|00)?+\(?+[0-9](?:[ ().0-9/-]{5,}+)(?<=[0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+|00)?+\(?+[0-9][ ().0-9/-]{5,}[0-9]",
 }
 #: Named features of a candidate and their largest values.
 FEATURES = {"kind": 3, "digits": 20, "size": 12, "spaces": 3, "dots": 4, "hyphens": 3, "brackets": 1, "others": 1, "plus": 1, "at": 1, "before": 4, "after": 4, "named": 1}

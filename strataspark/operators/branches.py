@@ -42,12 +42,12 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 def branch_paths(skeleton: DataFrame) -> DataFrame:
     """(segment_id, root_y, root_x, branch_type, pos, y, x): a branch is what remains joined without junction pixels."""
     nodes = held(skeleton_nodes(skeleton), "nodes")
-    parts = held(label_components(nodes.where("degree <= 2")), "branches")
+    parts = held(label_components(nodes.where("lines <= 2")), "branches")
     on, key = ["segment_id", "y", "x"], ["segment_id", "root_y", "root_x"]
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING))
-    around = nodes.where("degree > 2").select("segment_id", "y", "x", F.explode(steps).alias("d")).select("segment_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct().withColumn("touches", F.lit(1))
-    marked = parts.join(nodes.select(*on, "degree"), on).join(around, on, "left")
-    ends = marked.groupBy(*key).agg(F.count_if(F.col("degree") <= 1).alias("ends"), F.count("touches").alias("joints"))
+    around = nodes.where("lines > 2").select("segment_id", "y", "x", F.explode(steps).alias("d")).select("segment_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct().withColumn("touches", F.lit(1))
+    marked = parts.join(nodes.select(*on, "lines"), on).join(around, on, "left")
+    ends = marked.groupBy(*key).agg(F.count_if(F.col("lines") <= 1).alias("ends"), F.count("touches").alias("joints"))
     kind = F.when(F.col("joints") == 0, F.when(F.col("ends") > 0, END_END).otherwise(CYCLE)).when(F.col("ends") > 0, JUNCTION_END).otherwise(JUNCTION_JUNCTION)
     schema = f"segment_id {dict(skeleton.dtypes)['segment_id']}, root_y int, root_x int, pos int, y int, x int"
     return parts.groupBy("segment_id").applyInPandas(_walk, schema).join(ends.select(*key, kind.alias("branch_type")), key)

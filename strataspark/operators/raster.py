@@ -133,10 +133,23 @@ def skeletonize(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
         n = left
 
 
+def _turns(code: int) -> int:
+    """How often the ring goes from background to foreground: the lines that leave a pixel."""
+    return sum(not code >> k & 1 and code >> (k + 1) % 8 & 1 for k in range(8))
+
+
 def skeleton_nodes(skeleton: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """skeleton pixels with their number of neighbours: 1 at an end, above 2 at a junction."""
-    coded = ring_code(skeleton, keys or ["segment_id"])
-    return coded.withColumn("degree", F.bit_count("ring")).drop("ring")
+    """skeleton pixels with `lines`, the lines that leave each: 1 at an end, above 2 at a junction.
+
+    Neighbours that touch each other belong to one line, so corners of stairs are no junctions; pixels of more
+    than two neighbours next to a junction belong to it, so that its arms come apart.
+    """
+    keys = keys or ["segment_id"]
+    coded = held(ring_code(skeleton, keys), "ring").withColumn("lines", F.element_at(F.array(*(F.lit(_turns(c)) for c in range(256))), F.col("ring") + 1))
+    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING))
+    around = coded.where("lines > 2").select(*keys, "y", "x", F.explode(steps).alias("d")).select(*keys, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct().withColumn("near", F.lit(True))
+    joined = coded.join(around, [*keys, "y", "x"], "left")
+    return joined.select(*keys, "y", "x", F.when(F.col("near") & (F.bit_count("ring") > 2), F.greatest("lines", F.lit(3))).otherwise(F.col("lines")).alias("lines"))
 
 
 def prune_spurs(skeleton: DataFrame, shortest: int, keys: list[str] | None = None) -> DataFrame:
@@ -146,11 +159,11 @@ def prune_spurs(skeleton: DataFrame, shortest: int, keys: list[str] | None = Non
     """
     keys = keys or ["segment_id"]
     nodes = held(skeleton_nodes(skeleton, keys), "nodes")
-    junction = nodes.where("degree > 2").select(*keys, "y", "x")
-    parts = held(label_components(nodes.where("degree <= 2"), keys), "branches")
+    junction = nodes.where("lines > 2").select(*keys, "y", "x")
+    parts = held(label_components(nodes.where("lines <= 2"), keys), "branches")
     at = ["root_y", "root_x"]
     size = parts.groupBy(*keys, *at).agg(F.count("*").alias("n_px"))
-    ends = parts.join(nodes.where("degree = 1"), [*keys, "y", "x"], "left_semi").select(*keys, *at).distinct()
+    ends = parts.join(nodes.where("lines = 1"), [*keys, "y", "x"], "left_semi").select(*keys, *at).distinct()
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING))
     around = junction.select(*keys, "y", "x", F.explode(steps).alias("d")).select(*keys, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
     touching = parts.join(around, [*keys, "y", "x"], "left_semi").select(*keys, *at).distinct()

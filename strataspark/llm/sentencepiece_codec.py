@@ -6,8 +6,8 @@ top is merged until none is left. Characters without a piece become byte pieces.
 
 No piece holds two characters side by side that no piece of the vocabulary has so; therefore a
 text falls apart, without change of its result, wherever such a pair stands, and before each run of
-spaces. Parts and words are kept in bounded caches. In each Arrow batch all words that are new and
-one whole text are also encoded by the sentencepiece library, and the job stops on a difference.
+spaces. Parts and words are kept in bounded caches. In each Arrow batch every hundredth text is also
+encoded by the sentencepiece library, and the job stops on a difference.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; very long words are
 encoded in n log n steps; repeated rows are encoded alike; extra columns are not read.
@@ -29,6 +29,8 @@ from .common import TwoGenerations, read_table, slices, text_of, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Up to this length a list serves as agenda; NEVER ranks pairs that are no piece.
+SHORT, NEVER = 48, 1 << 30
 
 
 class Agenda:
@@ -45,10 +47,33 @@ class Agenda:
         self.rank = {p: order[s] for p, s in scores.items()}  # equal scores, equal rank
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.words, self.parts = TwoGenerations(250_000), TwoGenerations(400_000)
+        self.words, self.parts = TwoGenerations(200_000), TwoGenerations(300_000)
 
     def merge(self, text: str) -> list[int]:
-        """Ids of a text without white space but SPACE. Agenda entries: rank of the joined piece, then place."""
+        """Ids of a text without white space but SPACE."""
+        symbols = self._merged(text) if len(text) <= SHORT else self._merged_long(text)
+        out: list[int] = []
+        for s in symbols:
+            known = self.ids.get(s)
+            out.extend([known] if known is not None else [self.byte[b] for b in s.encode()])
+        return out
+
+    def _merged(self, text: str) -> list[str]:
+        """The agenda of a short text is the list of its pairs' ranks: the least is next, the leftmost among equals."""
+        symbols, rank = list(text), self.rank.get
+        agenda = [rank(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+        while agenda and (top := min(agenda)) != NEVER:
+            i = agenda.index(top)
+            joined = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + joined, NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(joined + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The same with a heap; entries: rank of the joined piece, then place."""
         symbols, n, rank = list(text), len(text), self.rank.get
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [r << 32 | i for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
@@ -71,12 +96,7 @@ class Agenda:
             h = left[i]
             if h >= 0 and (r := rank(symbols[h] + joined)) is not None:
                 heapq.heappush(agenda, r << 32 | h)
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                known = self.ids.get(s)
-                out.extend([known] if known is not None else [self.byte[b] for b in s.encode()])
-        return out
+        return [s for s in symbols if s]
 
     def _cut(self, word: str) -> list[str]:
         pairs, parts, at = self.pairs, [], 0
@@ -88,38 +108,48 @@ class Agenda:
         return parts
 
     def _learn(self, new: list[str]) -> None:
+        """Words, each with its leading spaces: the ids as decimals joined by commas, and as numbers."""
         cut = [self._cut(w) for w in new]
-        merge, parts, words = self.merge, self.parts, self.words.now
-        parts.now.update((p, merge(p)) for p in parts.absent(set().union(*cut)))
+        parts, words = self.parts, self.words.now
+        for p in parts.absent(set().union(*cut)):
+            ids = self.merge(p)
+            parts.now[p] = ",".join(map(str, ids)), ids
         get = parts.now.__getitem__
         for w, own in zip(new, cut, strict=True):
-            ids = list(chain.from_iterable(map(get, own)))
-            words[w] = ",".join(map(str, ids)), ids
+            if len(own) == 1:
+                words[w] = get(own[0])
+            else:
+                found = [get(p) for p in own]
+                words[w] = ",".join([f[0] for f in found]), [i for f in found for i in f[1]]
         parts.make_room()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
         """The ids of each text, as decimals joined by commas and as numbers."""
         for k in range(0, len(texts), 400):
             some = texts[k : k + 400]
-            # a word: spaces, then what follows them; the dummy prefix is the first text's space
-            split = [_WORD.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in some]
-            new = self.words.absent(set().union(*split))
-            self._learn(new)
-            words = self.words.now
-            own = [w for w in new if w[0] == SPACE]
-            self._compare([w[1:] for w in own], [words[w][0] for w in own])
-            for got in split:
-                found = [words[w] for w in got]
-                yield ",".join([g[0] for g in found]), list(chain.from_iterable([g[1] for g in found]))
+            split = [_words(x) for x in some]
+            self._learn(self.words.absent(set().union(*split)))
+            get = self.words.now.__getitem__
+            for words in split:
+                found = list(map(get, words))
+                yield ",".join([f[0] for f in found]), list(chain.from_iterable([f[1] for f in found]))
             self.words.make_room()
 
-    def _compare(self, texts: list[str], ours: list[str]) -> None:
+    def check(self, texts: list[str], ours: list[str]) -> None:
+        """Stops on a difference to the library."""
         for x, own, theirs in zip(texts, ours, self.library.encode(texts, num_threads=1), strict=True):
-            if x and own != ",".join(map(str, theirs)):
+            if own != ",".join(map(str, theirs)):
                 raise ValueError(f"the agenda and the library differ on {x[:200]!r}")
 
-    def check(self, text: str, ids: str) -> None:
-        self._compare([text], [ids])
+
+def _words(text: str) -> list[str]:
+    """A text's words, each with the run of spaces before it; the first has the dummy prefix."""
+    if not text:
+        return []
+    marked = SPACE + text.replace(" ", SPACE)
+    if SPACE in text or SPACE * 2 in marked:
+        return _WORD.findall(marked)
+    return [SPACE + w for w in text.split(" ")]
 
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -151,9 +181,10 @@ def code(docs: DataFrame, model: str | None = None, digests: bool = False) -> Da
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for i, x, (written, ids) in zip(batch.column(0).to_pylist(), texts, own.encode(texts), strict=True):
-                if not rows:
-                    own.check(x, written)
+            checked = range(0, len(texts), 100)
+            for k, (i, x, (written, ids)) in enumerate(zip(batch.column(0).to_pylist(), texts, own.encode(texts), strict=True)):
+                if k in checked:
+                    own.check([x], [written])
                 decoded = own.library.decode(ids) if ids else ""
                 rows.append((i, len(ids), hexed(written), hexed(decoded)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4

@@ -52,11 +52,27 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunks, self.parts = TwoGenerations(200_000), TwoGenerations(250_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _library_parts(self, parts: list[str]) -> list[bytes]:
+        """The same for pre-tokens, many in one call: each ends with the one token of its that ends a word."""
+        out: list[bytes] = []
+        lots = [parts[k : k + 500] for k in range(0, len(parts), 500)]
+        for some, x in zip(lots, self.library.encode_batch_fast([" ".join(p) for p in lots], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, dtype="<u4")
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(at) == len(some) and at[-1] == len(ids):
+                out += [ids[s:e].tobytes() for s, e in zip([0, *at], at, strict=False)]
+            else:
+                out += self._library(some)
+        return out
+
     def _learn(self, new: list[str]) -> None:
         split: dict[str, list[str]] = {}
         whole: list[str] = []
@@ -68,7 +84,7 @@ class WordIds:
         chunks, parts = self.chunks.now, self.parts
         chunks.update(zip(whole, self._library(whole), strict=True))
         ask = parts.absent(set().union(*split.values()))
-        parts.now.update(zip(ask, self._library(ask), strict=True))
+        parts.now.update(zip(ask, self._library_parts(ask), strict=True))
         get = parts.now.__getitem__
         for c, own in split.items():
             chunks[c] = b"".join(map(get, own))

@@ -497,22 +497,27 @@ def png_roundtrip(t):
     return png.foreground(png.render(p, 256, 256))
 
 
+def _pages(docs, key):
+    """A grey frame of each whole text: its UTF-8 bytes in rows of 64, the last row (or an empty text's one row) filled with blanks."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text)
+    fill = F.when(size == 0, 64).otherwise(F.pmod(-size, F.lit(64)))
+    frames = docs.select(F.col("doc_id").alias(key), F.concat(text, F.repeat(F.lit(" "), fill)).cast("binary").alias("data"))
+    return frames.select(key, (F.octet_length("data") / 64).cast("int").alias("height"), F.lit(64).alias("width"), "data")
+
+
 @query()
 def resize_area(t):
     from strataspark.sources import png
 
-    doc = t("documents").select(F.col("doc_id").alias("frame_idx"), F.encode(F.rpad(F.coalesce(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit("")), 64, " "), "US-ASCII").alias("data"))
-    frames = doc.select("frame_idx", F.lit(1).alias("height"), F.octet_length("data").alias("width"), "data")
-    return png.resized_rows(frames, 16).select("frame_idx", "width", F.hex("data").alias("data"))
+    return png.resized_rows(_pages(t("documents"), "frame_idx"), 16).select("frame_idx", "width", F.hex("data").alias("data"))
 
 
 @query()
 def tile_predict(t):
     from strataspark.sources import png
 
-    tile = t("documents").select("doc_id", F.encode(F.rpad(F.coalesce(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit("")), 64, " "), "US-ASCII").alias("data"))
-    tile = tile.select("doc_id", F.lit(1).alias("height"), F.octet_length("data").alias("width"), "data")
-    return png.predicted(tile, png.by_brightness, "doc_id").select("doc_id", F.sha2("classes", 256).alias("classes"))
+    return png.predicted(_pages(t("documents"), "doc_id"), png.by_brightness, "doc_id").select("doc_id", F.sha2("classes", 256).alias("classes"))
 
 
 @query()

@@ -146,3 +146,22 @@ def test_xlsx_round_trip(spark, tmp_path):
 def test_area_resize_keeps_rows_and_means(spark):
     df = spark.createDataFrame([(0, 2, 4, bytes([0, 10, 20, 30, 4, 4, 8, 8]))], "frame_idx long, height int, width int, data binary")
     assert list(png.resized_rows(df, 2).first().data) == [5, 25, 4, 8]
+
+
+def test_page_queries_use_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from strataspark.plans import carriers
+
+    head = "the same sixty-four characters begin each of these documents ok "
+    texts = [head, head + "one end", head + "two ends", head * 700 + "a long tail", "é ü 😀" * 30, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    small = {r.frame_idx: bytes.fromhex(r.data) for r in carriers.QUERIES["resize_area"](spark, str(tmp_path)).collect()}
+    classes = {r.doc_id: r.classes for r in carriers.QUERIES["tile_predict"](spark, str(tmp_path)).collect()}
+    assert len(small) == len(classes) == len(texts)
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        page = np.frombuffer(data + b" " * (-len(data) % 64 if data else 64), np.uint8).reshape(-1, 64)
+        assert small[i] == np.rint(page.reshape(len(page), 16, 4).mean(2)).astype(np.uint8).tobytes()
+        assert classes[i] == hashlib.sha256((page // 64).tobytes()).hexdigest()
+    assert len(set(classes.values())) == len(texts) - 1

@@ -2,12 +2,18 @@
 
 Base spans (email, ip, card, phone) are found by pattern and check. Wide patterns then generate
 overlapping candidates with high recall: obfuscated addresses, other separators, numbers without a
-plus sign. Each candidate has format and context features, all small integers. The trees learn from
-the base checks: a candidate that is a base span of its kind counts as positive, any other as
-negative, and the features hold no check sum or value, so the trees give the share of candidates of
-this form and context that are real. Four fifths of the documents train, the rest calibrate; for each
-kind the threshold is the least probability above which calibration candidates reach PRECISION. Added
-spans are candidates over it that overlap no base span; where added ones overlap, the best stays.
+plus sign. Each candidate has format and context features, all small integers, and `valid`: its
+plain form would pass the check of its kind.
+
+The trees learn which candidates beyond the base spans are real. Positives are base spans rewritten
+in the wide forms, each within what stood around it; base-shaped matches that fail the check are
+rewritten in the same way as negatives, so that a form does not tell the outcome. Candidates of the
+texts that overlap no base span are negatives too, but for those that may well be real: valid
+emails and cards, and valid ips and phones that a word before them names. Four fifths of the
+documents train, the rest calibrate; for each kind the threshold is the least probability above
+which calibration candidates reach PRECISION. The precision holds for forms that are rewritten as
+often as they are plain. Added spans are candidates over it that overlap no base span; where added
+ones overlap, the best stays.
 
 Training reads counts for each kind and feature vector, whose number is bounded by the features'
 ranges, taken over all documents.
@@ -44,11 +50,15 @@ WIDE = {
     "phone": r"(?<![0-9A-Za-z])(?:\+|00)?+\(?+[0-9][ ().0-9/-]{5,}[0-9]",
 }
 #: Named features of a candidate and their largest values.
-FEATURES = {"kind": 3, "digits": 20, "size": 12, "spaces": 3, "dots": 4, "hyphens": 3, "brackets": 1, "others": 1, "plus": 1, "at": 1, "before": 4, "after": 4, "named": 1}
+FEATURES = {"kind": 3, "digits": 20, "size": 12, "spaces": 3, "dots": 4, "hyphens": 3, "brackets": 1, "others": 1, "plus": 1, "at": 1, "before": 4, "after": 4, "named": 1, "valid": 1}
 PRECISION = 0.9
+#: Characters kept on each side of a rewritten match; the features look at 24 before and one after.
+AROUND = 64
 _SPAN = "struct<s:int,k:int,e:int>"
 _CANDIDATE = f"struct<s:int,k:int,e:int,{','.join(f'{f}:int' for f in FEATURES)}>"
 
+_SEED = "struct<k:int,y:boolean,b:string,m:string,a:string>"
+
 
 def _count(m: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(m, f"[^{chars}]", ""))
@@ -70,6 +80,30 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
+def _plain_valid(kind: str, m: Column) -> Column:
+    """Whether a candidate passes the check of its kind once its form is undone."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(m, r" ?(?:@|\(at\)|\[at\]) ?", "@"), r" ?(?:\(dot\)|\[dot\]) ?", ".")
+        return plain.rlike(rf"^[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")
+    if kind == "ip":
+        plain = F.translate(m, ",:-", "...")
+        return (_count(plain, ".") == 3) & _valid(kind, plain)
+    return _valid(kind, F.regexp_replace(m, "^00", "") if kind == "phone" else m)
+
+
+def _rewritten(kind: Column, m: Column) -> Column:
+    """A base-shaped match in one of the wide forms of its kind, chosen by its hash."""
+    of = lambda *forms: F.element_at(F.array(*forms), (F.pmod(F.xxhash64(m), F.lit(len(forms))) + 1).cast("int"))
+    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    dots = lambda d: F.replace(host, F.lit("."), F.lit(d))
+    email = of(*(F.concat(local, F.lit(at), h) for at, h in ((" [at] ", dots(" [dot] ")), ("(at)", host), (" @ ", host), (" (at) ", dots(" (dot) ")), ("[at]", dots("[dot]")))))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    card = of(*(F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{c}") for c in "./_"))
+    bare = F.regexp_replace(m, r"^\+", "")
+    phone = of(bare, F.concat(F.lit("00"), bare), F.translate(bare, ".-", "//"), digits)
+    return F.when(kind == 0, email).when(kind == 1, of(*(F.translate(m, ".", c) for c in ",:-"))).when(kind == 2, card).otherwise(phone)
+
+
 def _class(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^[\x20\x09-\x0D]"), 1).when(c.rlike(r"^[\p{L}\p{N}]"), 2).when(c.rlike("^[\"'=:]"), 3).otherwise(4)
 
@@ -90,6 +124,7 @@ def _features(kind: int, m: Column, before: Column, after: Column) -> dict[str,
         "before": _class(F.right(before, F.lit(1))),
         "after": _class(F.left(after, F.lit(1))),
         "named": F.right(before, F.lit(24)).rlike(r"(?i)(tel|phone|call|fax|mobile|mail|card|visa|\bip\b|host|contact)").cast("int"),
+        "valid": F.coalesce(_plain_valid(KINDS[kind], m), F.lit(False)).cast("int"),
     }
 
 
@@ -106,7 +141,7 @@ def _placed(found: str, pieces: str, name: str, to: str, make) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base_` (sorted base spans) and `cand_` (candidates with features and outcome)."""
+    """docs with `base_` (sorted base spans), `cand_` (candidates with features) and `seeds_` (base-shaped matches, outcome and surroundings)."""
     df = docs.withColumn("t_", text_of(text))
     digit, at = F.col("t_").rlike("[0-9]"), F.col("t_").contains("@")
     gates = {"email": at, "ip": digit, "card": digit, "phone": F.col("t_").contains("+") & digit}
@@ -123,11 +158,13 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     for i, k in enumerate(KINDS):
         span = lambda m, s, b, a, i=i, k=k: F.struct(F.when(_valid(k, m), s).alias("s"), F.lit(i).alias("k"), (s + F.length(m)).alias("e"))
         out.append(_placed(f"f0_{k}", f"p0_{k}", f"b_{k}", _SPAN, span))
+        seed = lambda m, s, b, a, i=i, k=k: F.when(_count(m, "0-9") >= (12 if k == "card" else 0), F.struct(F.lit(i).alias("k"), F.coalesce(_valid(k, m), F.lit(False)).alias("y"), F.right(b, F.lit(AROUND)).alias("b"), m.alias("m"), F.left(a, F.lit(AROUND)).alias("a")))
+        out.append(_placed(f"f0_{k}", f"p0_{k}", f"s_{k}", _SEED, seed))
         full = lambda m, s, b, a, i=i: F.struct(s.alias("s"), F.lit(i).alias("k"), (s + F.length(m)).alias("e"), *(c.alias(n) for n, c in _features(i, m, b, a).items()))
         out.append(_placed(f"f1_{k}", f"p1_{k}", f"c_{k}", _CANDIDATE, full))
     df = df.select(*docs.columns, *out)
     base = F.sort_array(F.filter(F.concat(*(f"b_{k}" for k in KINDS)), lambda x: x["s"].isNotNull()))
-    return df.select(*docs.columns, base.alias("base_"), F.concat(*(f"c_{k}" for k in KINDS)).alias("cand_"))
+    return df.select(*docs.columns, base.alias("base_"), F.concat(*(f"c_{k}" for k in KINDS)).alias("cand_"), F.filter(F.concat(*(f"s_{k}" for k in KINDS)), lambda x: x.isNotNull()).alias("seeds_"))
 
 
 class Redactor:
@@ -148,10 +185,27 @@ class Redactor:
         return out
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+
+
+def outcomes(found: DataFrame) -> DataFrame:
+    """(held, c, y): candidates beyond base spans to learn from, of the texts and of rewritten matches."""
+    free = F.explode(F.filter("cand_", lambda c: ~F.exists("base_", lambda b: _overlap(b, c)))).alias("c")
+    held = (fold_of("doc_id", 5) == 0).alias("held")
+    maybe = (F.col("c.valid") == 1) & (F.col("c.k").isin(0, 2) | (F.col("c.named") == 1))
+    natural = found.select(held, free).where(~maybe).select("held", "c", F.lit(False).alias("y"))
+    seeds = found.select(held, F.explode("seeds_").alias("x")).select("held", "x.*").withColumn("m", _rewritten(F.col("k"), F.col("m")))
+    s = F.length("b")
+    windows = stage(seeds.select("held", "y", F.struct(s.alias("s"), F.col("k"), (s + F.length("m")).alias("e")).alias("w"), F.concat("b", "m", "a").alias("text")), "pii")
+    again = with_spans(windows).select("held", "y", "w", free).where(_overlap(F.col("c"), F.col("w")))
+    same = (F.col("c.s") == F.col("w.s")) & (F.col("c.e") == F.col("w.e")) & (F.col("c.k") == F.col("w.k"))
+    return natural.union(again.select("held", "c", (F.col("y") & same).alias("y")))
+
+
 def fit(found: DataFrame) -> Redactor:
-    """From doc_id, base_ and cand_ of all documents; collects one row for each cell."""
-    each = found.select((fold_of("doc_id", 5) == 0).alias("held"), F.explode(F.transform("cand_", lambda c: F.struct(c.alias("c"), F.exists("base_", lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]) & (b["k"] == c["k"])).alias("y")))).alias("x"))
-    cells = each.groupBy("held", *(F.col(f"x.c.{f}").alias(f) for f in FEATURES)).agg(F.count_if("x.y").alias("pos"), F.count_if(~F.col("x.y")).alias("neg")).orderBy("held", *FEATURES).collect()
+    """From doc_id, base_, cand_ and seeds_ of all documents; collects one row for each cell."""
+    cells = outcomes(found).groupBy("held", *(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")).orderBy("held", *FEATURES).collect()
     x = np.array([[r[f] for f in FEATURES] for r in cells], dtype=np.int64).reshape(-1, len(FEATURES))
     pos, neg = np.array([r["pos"] for r in cells], float), np.array([r["neg"] for r in cells], float)
     held = np.array([r["held"] for r in cells], bool)
@@ -180,12 +234,11 @@ def with_redactions(found: DataFrame, redactor: Redactor) -> DataFrame:
     """found with `spans_`: base spans and accepted candidates, sorted."""
     scored = F.filter(F.transform("cand_", lambda c: F.struct(redactor.accepted(c).alias("v"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))), lambda c: c["v"].isNotNull())
     df = found.withColumn("more_", scored if redactor.thresholds else F.array().cast("array<struct<v:double,s:int,k:int,e:int>>"))
-    overlap = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    df = df.withColumn("free_", F.when(F.size("more_") > 0, F.filter("more_", lambda c: ~F.exists("base_", lambda b: overlap(b, c)))).otherwise(F.col("more_")))
+    df = df.withColumn("free_", F.when(F.size("more_") > 0, F.filter("more_", lambda c: ~F.exists("base_", lambda b: _overlap(b, c)))).otherwise(F.col("more_")))
     rank = lambda c: F.struct(c["v"], c["e"] - c["s"], -c["s"], -c["k"])
-    best = F.when(F.size("free_") > 0, F.filter("free_", lambda c: ~F.exists("free_", lambda d: overlap(c, d) & (rank(d) > rank(c))))).otherwise(F.col("free_"))
+    best = F.when(F.size("free_") > 0, F.filter("free_", lambda c: ~F.exists("free_", lambda d: _overlap(c, d) & (rank(d) > rank(c))))).otherwise(F.col("free_"))
     df = df.withColumn("spans_", F.sort_array(F.concat("base_", F.transform(best, lambda c: F.struct(c["s"], c["k"], c["e"]).cast(_SPAN)))))
-    return df.drop("more_", "free_", "cand_")
+    return df.drop("more_", "free_", "cand_", "seeds_")
 
 
 def written(spans: str) -> Column:
@@ -199,7 +252,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    redactor = fit(stage(with_spans(docs, text).select("doc_id", "base_", "cand_"), "pii"))
+    redactor = fit(stage(with_spans(docs, text).select("doc_id", "base_", "cand_", "seeds_"), "pii"))
     df = with_redactions(with_spans(docs, text), redactor)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["k"] + 1)), F.lit("]"))

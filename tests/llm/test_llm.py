@@ -229,6 +229,38 @@ def test_main_path_has_no_python(docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_planted_forms_beyond_the_base_are_redacted(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(3))
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def card():
+        d = digits(15)
+        total = sum(int(c) if i % 2 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(d[::-1]))
+        return d + str(-total % 10)
+
+    fours = lambda d, c: c.join(d[i : i + 4] for i in range(0, 16, 4))
+    ip = lambda c: c.join(str(rng.randint(1, 255)) for _ in range(4))
+    plain = lambda: (f"{word()}@{word()}.org", ip("."), fours(card(), " "), f"+{digits(2)} {digits(3)} {digits(7)}")
+    rows = [" ".join([word(), x, word(), word()]) for _ in range(60) for x in (*plain(), f"{digits(3)} {word()} 2024-03-{rng.randint(10, 28)}", "999.1.2.3", fours("1" * 15 + "2", " "))]
+    planted = [
+        ("email", f"{word()} [at] {word()} [dot] org"),
+        ("email", f"{word()}(at){word()}.org"),
+        ("ip", ip("-")),
+        ("ip", ip(":")),
+        ("card", fours(card(), "/")),
+        ("card", fours(card(), "_")),
+        ("phone", f"{digits(2)} {digits(3)} {digits(7)}"),
+        ("phone", f"00{digits(2)} {digits(3)} {digits(7)}"),
+    ]
+    clean = ["on 2024-03-11 it was", "about 999:1:2:3 of", "number " + fours("1" * 15 + "2", "/") + " fails"]
+    texts_ = rows + [f"so {x} is" for _, x in planted] + clean
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    at = len(rows)
+    assert [got[at + i] for i in range(len(planted))] == [f"so [{k.upper()}] is" for k, _ in planted]
+    assert [got[at + len(planted) + i] for i in range(len(clean))] == clean
+
+
 # --- SimHash
 
 

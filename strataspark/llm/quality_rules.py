@@ -5,12 +5,15 @@ shuffled). Four transformed statistics follow from them. For each (lang, source)
 covariance determinant estimate gives centre and scatter, and a document whose squared
 Mahalanobis distance passes the cutoff is rejected, as are those that fail the base rules.
 
-The estimate is deterministic: it starts from medians and quartile ranges, takes concentration
-steps (mean and covariance of the three quarters of rows that lie nearest), corrects for
-consistency, and reweights once. Quantiles are exact ones of binned values, so their state is
-bounded by the number of bins and does not depend on how rows are partitioned. To every scatter
-a fixed tolerance is added, because most clean documents have no symbols or repeats at all and
-their plain scatter is singular.
+The estimate is deterministic. It has three starts: medians with quartile ranges, lower quartiles
+with quartile ranges, and the mean and covariance of all rows. Each takes concentration steps (mean
+and covariance of the three quarters of rows that lie nearest) until centre and scatter stay, STEPS
+at most; the start with the least determinant counts, is corrected for consistency, and reweighted
+once. Quantiles are exact ones of binned values, so their state is bounded by the number of bins and
+does not depend on how rows are partitioned. To every scatter a fixed tolerance is added, because
+most clean documents have no symbols or repeats at all and their plain scatter is singular. It is
+set so that in a clean group one repeated line in ten, with its words, stays and anything that
+reaches four tolerances and a third does not.
 
 Defined cases: null and empty texts have no words and fail; groups of fewer than SMALL rows use
 their medians and the tolerance alone; null lang or source is a group of its own; repeated rows
@@ -28,10 +31,11 @@ from .common import stage, text_of, words_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The transformed statistics, each with its tolerance.
-TOLERANCE = {"x_length": 0.12, "x_symbols": 0.35, "x_lines": 0.25, "x_repeats": 0.20}
+TOLERANCE = {"x_length": 0.06, "x_symbols": 0.20, "x_lines": 0.15, "x_repeats": 0.15}
 X = tuple(TOLERANCE)
 SMALL = 20
-STEPS = 2
+#: Concentration steps at most; fewer where nothing moves any more.
+STEPS = 10
 #: Consistency factors of the covariance of the nearest 75 % and 97.5 % in four dimensions,
 #: and the chi-square quantiles (4 degrees) at 0.975 and 0.999.
 NEAREST, FACTOR_NEAREST, FACTOR_REWEIGHTED, REWEIGHT_AT, REJECT_AT = 0.75, 1.485, 1.065, 11.143, 18.467
@@ -86,6 +90,16 @@ def statistics(c: Column) -> dict[str, Column]:
     }
 
 
+def _determinant() -> Column:
+    """The logarithm of the determinant of the scatter c_*, by the same factor as the distance."""
+    low: dict[tuple[int, int], Column] = {}
+    for i in range(len(X)):
+        for j in range(i + 1):
+            rest = reduce(lambda a, k: a - low[i, k] * low[j, k], range(j), F.col(f"c_{i}{j}"))
+            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / low[j, j]
+    return sum((F.log(low[i, i]) for i in range(len(X))), F.lit(0.0))
+
+
 def _distance(scatter: dict[tuple[int, int], Column]) -> Column:
     """Squared Mahalanobis distance from centres m_*, by a Cholesky factor written out as columns."""
     low: dict[tuple[int, int], Column] = {}
@@ -103,35 +117,43 @@ def _binned(d2: Column) -> Column:
     return F.round(F.greatest(F.lit(-7.0), F.least(F.lit(20.0), F.log(d2 + 1e-3))), 1)
 
 
-def _moments(nearest: DataFrame, factor: float) -> DataFrame:
+def _moments(nearest: DataFrame, factor: float, keys: tuple[str, ...] = ("g_",)) -> DataFrame:
     """Centre and corrected scatter, with tolerance, of the rows given for each group."""
     named = [(i, j, f"c_{i}{j}") for i in range(len(X)) for j in range(i + 1)]
-    out = nearest.groupBy("g_").agg(F.count("*").alias("n_"), *(F.avg(x).alias(f"m_{x}") for x in X), *(F.covar_pop(X[i], X[j]).alias(c) for i, j, c in named))
+    out = nearest.groupBy(*keys).agg(F.count("*").alias("n_"), *(F.avg(x).alias(f"m_{x}") for x in X), *(F.covar_pop(X[i], X[j]).alias(c) for i, j, c in named))
     few = F.col("n_") < SMALL
-    return out.select("g_", *(f"m_{x}" for x in X), *((F.when(few, 0.0).otherwise(factor * F.col(c)) + (TOLERANCE[X[i]] ** 2 if i == j else 0.0)).alias(c) for i, j, c in named))
+    return out.select(*keys, *(f"m_{x}" for x in X), *((F.when(few, 0.0).otherwise(factor * F.col(c)) + (TOLERANCE[X[i]] ** 2 if i == j else 0.0)).alias(c) for i, j, c in named))
 
 
-def _measured(rows: DataFrame, moments: DataFrame) -> DataFrame:
+def _measured(rows: DataFrame, moments: DataFrame, keys: tuple[str, ...] = ("g_",)) -> DataFrame:
     scatter = {(i, j): F.col(f"c_{i}{j}") for i in range(len(X)) for j in range(i + 1)}
-    joined = rows.join(moments, "g_", "left")
+    joined = rows.join(moments, list(keys), "left")
     return joined.select(*rows.columns, _distance(scatter).alias("d2_"))
 
 
 def estimate(slim: DataFrame) -> DataFrame:
     """Centre and scatter of each group g_ of rows with X (reads its input several times)."""
     quartiles = slim.groupBy("g_").agg(*(F.percentile(F.round(x, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in X))
-    start = quartiles.select(
-        "g_",
-        *(F.col(x)[1].alias(f"m_{x}") for x in X),
-        *((F.pow((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349, F.lit(2.0)) + TOLERANCE[X[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i in range(len(X)) for j in range(i + 1)),
-    )
-    moments = stage(start, "mcd")
+    ranges = [F.pow((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349, F.lit(2.0)) + TOLERANCE[X[i]] ** 2 if i == j else F.lit(0.0) for i in range(len(X)) for j in range(i + 1)]
+    named = [f"c_{i}{j}" for i in range(len(X)) for j in range(i + 1)]
+    spread = stage(quartiles, "mcd")
+    starts = [spread.select("g_", F.lit(k).alias("start_"), *(F.col(x)[at].alias(f"m_{x}") for x in X), *(c.alias(n) for c, n in zip(ranges, named, strict=True))) for k, at in ((0, 1), (1, 0))]
+    whole = _moments(slim, 1.0)
+    moments = stage(starts[0].union(starts[1]).union(whole.select("g_", F.lit(2).alias("start_"), *whole.columns[1:])), "mcd")
+    keys = ("g_", "start_")
+    many = slim.withColumn("start_", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     for _ in range(STEPS):
-        measured = _measured(slim, moments)
-        # tables of a row for each group: small ones are broadcast, so that a hot group stays spread
-        bound = stage(measured.groupBy("g_").agg(F.percentile(_binned(F.col("d2_")), F.lit(NEAREST)).alias("most_")), "mcd")
-        near = measured.join(bound, "g_").where(_binned(F.col("d2_")) <= F.col("most_"))
-        moments = stage(_moments(near, FACTOR_NEAREST), "mcd")
+        measured = _measured(many, moments, keys)
+        # tables of a row for each group and start: small ones are broadcast, so that a hot group stays spread
+        bound = stage(measured.groupBy(*keys).agg(F.percentile(_binned(F.col("d2_")), F.lit(NEAREST)).alias("most_")), "mcd")
+        near = measured.join(bound, list(keys)).where(_binned(F.col("d2_")) <= F.col("most_"))
+        before, moments = moments, stage(_moments(near, FACTOR_NEAREST, keys), "mcd")
+        both = moments.alias("a").join(before.alias("b"), list(keys))
+        if not both.where(reduce(lambda a, b: a | b, (F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > 1e-10 for c in moments.columns[2:]))).head(1):
+            break
+    rank = F.struct(F.round(_determinant(), 6), F.col("start_"))
+    best = moments.groupBy("g_").agg(F.min_by(F.struct(*moments.columns[2:]), rank).alias("m"))
+    moments = stage(best.select("g_", "m.*"), "mcd")
     measured = _measured(slim, moments)
     return stage(_moments(measured.where(F.col("d2_") <= REWEIGHT_AT), FACTOR_REWEIGHTED), "mcd")
 

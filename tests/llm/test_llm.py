@@ -463,6 +463,22 @@ def test_estimate_equals_numpy(spark):
     assert [[got[f"c_{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)] == [pytest.approx(r, abs=1e-9) for r in scatter.tolist()]
 
 
+def test_planted_junk_is_rejected_in_clean_groups(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 7)))
+    clean = lambda n: [word() for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    rows = [("clean", lines(clean(rng.randint(80, 200)))) for _ in range(120)]
+    rows += [("clean", lines(clean(100) + (w := clean(10)) + clean(10) + w)) for _ in range(3)]
+    rows += [("repeats", " ".join(clean(55) + (w := clean(15)) * 3)) for _ in range(5)]
+    rows += [("symbols", " ".join(clean(70) + ["#"] * 5 + clean(30)).replace(" # # # # #", "".join(f" {word()}#" for _ in range(30)))) for _ in range(5)]
+    rows = [(i, k, t) for i, (k, t) in enumerate(rows)]
+    df = spark.createDataFrame([(i, t, "en", "web") for i, k, t in rows], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(df).select("doc_id", "quality_.kept").collect()}
+    share = {k: sum(kept[i] for i, x, _ in rows if x == k) / sum(x == k for _, x, _ in rows) for k in ("clean", "repeats", "symbols")}
+    assert share["clean"] >= 0.97 and share["repeats"] == share["symbols"] == 0, share
+
+
 def test_quality_of_nothing(empty):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.judge(empty, keep_text=True).count() == 0
 

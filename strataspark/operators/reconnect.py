@@ -75,9 +75,11 @@ def _area(name: str) -> Column:
 
 
 def extensions(coloured: DataFrame, growth: DataFrame) -> DataFrame:
-    """New pixels (segment_id, y, x, class) of growth that joins regions of a coloured mask (class red, green, yellow).
+    """Pixels (segment_id, y, x, class) that growth adds or repaints in a coloured mask (class red, green, yellow).
 
     A joined component of growth needs two regions of one class, or red with another class; regions count by area.
+    Where it joins regions of different classes, the regions take its class; of more than one such component that
+    meets a region, the last by its first pixel (ext_y, ext_x) counts.
     """
     regions = held(label_components(coloured, ["segment_id", "class"]), "regions")
     areas = regions.groupBy("segment_id", "class", "root_y", "root_x").agg(F.count("*").alias("area"))
@@ -85,5 +87,9 @@ def extensions(coloured: DataFrame, growth: DataFrame) -> DataFrame:
     met = grown_parts.join(regions, ON).select("segment_id", "ext_y", "ext_x", "class", "root_y", "root_x").distinct().join(areas, ["segment_id", "class", "root_y", "root_x"])
     sums = met.groupBy("segment_id", "ext_y", "ext_x").agg(F.count("*").alias("regions"), _area("red"), _area("green"), _area("yellow"))
     joined = sums.where("regions >= 2").withColumn("class", mixed_class(F.col("red"), F.col("green"), F.col("yellow"))).where("class is not null")
-    new = grown_parts.join(joined.select("segment_id", "ext_y", "ext_x", "class"), ["segment_id", "ext_y", "ext_x"])
-    return new.join(coloured.select(*ON), ON, "left_anti").select(*ON, "class").distinct()
+    ext, region = ["segment_id", "ext_y", "ext_x"], ["segment_id", "old", "root_y", "root_x"]
+    new = grown_parts.join(joined.select(*ext, "class"), ext).join(coloured.select(*ON), ON, "left_anti").select(*ON, "class").distinct()
+    several = F.expr("int(red > 0) + int(green > 0) + int(yellow > 0) > 1")
+    last = met.withColumnRenamed("class", "old").join(joined.where(several).select(*ext, "class"), ext).groupBy(*region).agg(F.max_by("class", F.struct("ext_y", "ext_x")).alias("class"))
+    repainted = regions.withColumnRenamed("class", "old").join(last, region).select(*ON, "class")
+    return new.union(repainted)

@@ -165,3 +165,26 @@ def test_page_queries_use_whole_texts(spark, tmp_path):
         assert small[i] == np.rint(page.reshape(len(page), 16, 4).mean(2)).astype(np.uint8).tobytes()
         assert classes[i] == hashlib.sha256((page // 64).tobytes()).hexdigest()
     assert len(set(classes.values())) == len(texts) - 1
+
+
+def test_mixed_joins_repaint_their_regions(spark):
+    from strataspark.operators import reconnect
+
+    bars = {"a": ("red", range(0, 10)), "b": ("green", range(12, 16)), "c": ("red", range(18, 19)), "d": ("green", range(30, 34)), "e": ("green", range(36, 40))}
+    coloured = {(1, 0, x): c for c, xs in bars.values() for x in xs}
+    growth = {(1, 0, x) for x in (*range(9, 13), *range(15, 19), *range(33, 37))}
+    new, repaint = {}, {}
+    for xs, parts in ((range(9, 13), "ab"), (range(15, 19), "bc"), (range(33, 37), "de")):
+        areas = {k: sum(len(bars[p][1]) for p in parts if bars[p][0] == k) for k in ("red", "green")}
+        share = areas["red"] / (areas["red"] + areas["green"])
+        to = "red" if share > 0.7 else "green" if share < 0.3 else "mixed"
+        new |= {(1, 0, x): to for x in xs if (1, 0, x) not in coloured}
+        if 0 < share < 1:
+            repaint |= {(1, 0, x): to for p in parts for x in bars[p][1]}
+    got = reconnect.extensions(
+        spark.createDataFrame([(*k, c) for k, c in coloured.items()], "segment_id int, y int, x int, class string"),
+        spark.createDataFrame(sorted(growth), "segment_id int, y int, x int"),
+    ).collect()
+    assert len(got) == len(new | repaint)
+    assert {(r.segment_id, r.y, r.x): r["class"] for r in got} == new | repaint
+    assert repaint[1, 0, 13] == "green" and repaint[1, 0, 3] == "red"

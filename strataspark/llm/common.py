@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,51 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts (strings in `column`) have about `most` bytes, so that what is made of them stays small; none is empty."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield _dense(batch.slice(at, to - at))
+            at = to
+
+
+def _dense(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The same rows in arrays of their own, so that offsets begin at 0."""
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([c]) if not c.offset else c.take(pa.array(np.arange(len(c)))) for c in batch.columns], names=batch.schema.names)
+
+
+class Ragged:
+    """Rows of numbers of different lengths, one after the other."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        self.values, self.lengths = values, lengths.astype(np.int64)
+        self.ends = np.cumsum(self.lengths)
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> Ragged:
+        """From rows of little-endian uint32."""
+        return cls(np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        """The given rows, one after the other."""
+        lengths = self.lengths[rows]
+        begin = (self.ends - self.lengths)[rows]
+        ends = np.cumsum(lengths)
+        return Ragged(self.values[np.repeat(begin - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths)
+
+    def joined(self, counts: np.ndarray) -> Ragged:
+        """Each row made of as many rows as counted."""
+        ends = np.r_[0, self.ends][np.r_[0, np.cumsum(counts)]]
+        return Ragged(self.values, np.diff(ends))
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.values[self.ends[k] - self.lengths[k] : self.ends[k]]
+
+
 class TwoGenerations:
     """A bounded cache of two dicts: when `now` is full it becomes the old one, and what is still in use comes back."""
 

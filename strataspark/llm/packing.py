@@ -14,17 +14,18 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, read_table, slices, stage, text_of, worker_cache
+from .common import Ragged, TwoGenerations, portions, read_table, stage, text_of, worker_cache
 
 MAX_TOKENS = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -33,19 +34,20 @@ PER_PARTITION = 8192
 ROUNDS = 6
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Chunks whose pre-tokens are plain to see; all others go to the library whole.
-_PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-;=-~]+")
-_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-#: Taken for spaces by str.split(), but not by the tokenizer.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Words whose pre-tokens are plain to see; all others go to the library whole.
+_PLAIN = f"^[{_LETTERS}0-9!-&(-;=-~]+$"
+_PARTS = f"([{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+)"
+#: Taken for spaces by Arrow, but not by the tokenizer; and the mark that is used between pre-tokens.
+_SEPARATORS = "[\x01\x1c-\x1f]"
 
 
 class WordIds:
-    """Token ids of texts, as bytes of little-endian uint32.
+    """Token ids of texts, as little-endian uint32.
 
-    The vocabulary has no tokens across white space, so a text's ids are its chunks' ids one after
-    the other. Chunks and, within plain ones, runs of letters are looked up in bounded caches
-    before the library encodes what is new.
+    The vocabulary has no tokens across white space, so a text's ids are its words' ids one after
+    the other, and a plain word's ids those of its pre-tokens. Arrow splits a batch into words, finds
+    the different ones and splits these into pre-tokens; different pre-tokens are looked up in a bounded
+    cache before the library encodes what is new, and numpy puts the ids together.
     """
 
     def __init__(self, path: str):
@@ -55,7 +57,7 @@ class WordIds:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks, self.parts = TwoGenerations(200_000), TwoGenerations(250_000)
+        self.parts = TwoGenerations(300_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,31 +76,34 @@ class WordIds:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        split: dict[str, list[str]] = {}
-        whole: list[str] = []
-        for c in new:
-            if _PLAIN.fullmatch(c):
-                split[c] = _PARTS.findall(c.lower())
-            else:
-                whole.append(c)
-        chunks, parts = self.chunks.now, self.parts
-        chunks.update(zip(whole, self._library(whole), strict=True))
-        ask = parts.absent(set().union(*split.values()))
-        parts.now.update(zip(ask, self._library_parts(ask), strict=True))
-        get = parts.now.__getitem__
-        for c, own in split.items():
-            chunks[c] = b"".join(map(get, own))
-        parts.make_room()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 400):
-            some = texts[k : k + 400]
-            split = [None if _SEPARATORS.search(x) else x.split() for x in some]
-            self._learn(self.chunks.absent(set().union(*(s for s in split if s))))
-            get = self.chunks.now.__getitem__
-            for x, s in zip(some, split, strict=True):
-                yield self._library([x])[0] if s is None else b"".join(map(get, s))
-            self.chunks.make_room()
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), _PLAIN).to_pylist()
+        for kind, encode in ((True, self._library_parts), (False, self._library)):
+            own = [p for p, is_plain in zip(new, plain, strict=True) if is_plain == kind]
+            self.parts.now.update(zip(own, encode(own), strict=True))
+
+    def _words(self, words: pa.Array) -> Ragged:
+        """The ids of different words; plain ones are split, an empty word has none."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        marked = pc.replace_substring_regex(pc.utf8_lower(words), _PARTS, "\x01\\1")
+        cut = pc.split_pattern(pc.if_else(plain, marked, pc.binary_join_element_wise("", words, "\x01")), "\x01", max_splits=None)
+        # the first is the empty piece before a mark
+        parts = cut.flatten().dictionary_encode()
+        known = parts.dictionary.to_pylist()
+        if ask := self.parts.absent(set(known) - {""}):
+            self._learn(ask)
+        get = self.parts.now.get
+        ids = Ragged.of([get(p, b"") for p in known])
+        self.parts.make_room()
+        return ids.take(parts.indices.to_numpy()).joined(np.diff(cut.offsets.to_numpy()))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (no nulls)."""
+        odd = pc.match_substring_regex(texts, _SEPARATORS)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        words = split.flatten().dictionary_encode()
+        found = self._words(words.dictionary).take(words.indices.to_numpy()).joined(np.diff(split.offsets.to_numpy()))
+        for k, strange in enumerate(odd.to_pylist()):
+            yield np.frombuffer(self._library([texts[k].as_py()])[0], "<u4") if strange else found[k]
 
 
 def encoder(path: str) -> WordIds:
@@ -124,14 +129,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        step = 4 * max_tokens
-        for batch in slices(batches):
+        for batch in portions(batches):
             rows: list[tuple] = []
-            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(0)).astype("<u4", copy=False)
+                for k, at in enumerate(range(0, len(ids), max_tokens)):
+                    part = ids[at : at + max_tokens]
+                    rows.append((i, k, at, len(part), zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

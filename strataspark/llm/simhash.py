@@ -1,33 +1,35 @@
-"""SimHash near-duplicates, found through vantage points.
+"""SimHash near-duplicates, found with a vantage-point tree over whole fingerprints.
 
 A text's fingerprint has a bit set where over half of the hashes of its three-word shingles have.
 Fingerprints link when they differ in at most `max_distance` bits.
 
-Equal fingerprints are one point. The bits are split into max_distance + 1 blocks; two linked
-fingerprints agree in one block at least, so in that block's own Hamming metric the search radius is
-max_distance // (max_distance + 1) = 0. For each block a vantage-point tree, with one vantage point
-for each level, sends a point down by its distance to the vantage point. By the triangle bound
-|d(x, p) - d(y, p)| <= d(x, y) a branch can hold a partner only if its distance is within the radius;
-with radius 0 that is the point's own path and no other shard overlaps its boundary. Points of one
-path are a shard, and its pairs are compared over all 64 bits.
+Equal fingerprints are one point. A tree of vantage points parts them by Hamming distance: at each node
+the points no farther from the vantage point than the node's radius go to the inner child, the others to
+the outer one; a leaf is a shard. Vantage points and radii (medians) come from a bounded sample of points;
+below the sample's reach vantage points are drawn by hash and the radius is 32, the median of hashes.
 
-A shard of many points is compared in pairs of sub-blocks, spread over tasks; tasks return stars, not
-pairs. In a shard of more than HUGE points each one is sent instead to itself and its 64 neighbours
-at distance 1: two points within distance 2 meet at one of these, and what meets there links. At
-most 65 points can meet at one place, so the work stays linear and exact.
+Search goes down the same tree. By the triangle bound a point x beyond the radius t of a vantage point p has
+no partner inside where d(x, p) - max_distance > t, so that branch is pruned; where the bound leaves it open,
+x also visits the inner child. A visitor goes on to each child that the bound leaves open. Each pair of linked
+points so meets once as owners of one shard, or where one of them visits the other's shard, for any distance.
+Shards compare owners with owners and with visitors over all 64 bits. A shard of more than SUB_BLOCK points is
+compared in pairs of sub-blocks, spread over tasks; tasks return stars, not pairs.
+
+What this costs: distances of hashes crowd around 32 (deviation 4), so at distance 2 about 39 % of visitors go
+both ways at a level, and rows grow as the number of points to the power 1.48.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of one or
-two words have one shingle; repeated rows get the same class; extra columns are not read.
+two words have one shingle; repeated rows get the same class; a null doc_id counts only where a component
+has no other id; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table, slices, stage, text_of
@@ -35,8 +37,8 @@ from .components import components
 
 BITS, SHINGLE, SEED = 64, 3, 42
 MAX_DISTANCE = 2
-LEVELS = 12
-SUB_BLOCK, HUGE = 128, 8192
+#: Points that a shard owns on average, points compared at once, and points from which vantage points are taken.
+SHARD, SUB_BLOCK, SAMPLE = 1024, 16_384, 16_384
 
 
 def fingerprint(text: str) -> int:
@@ -68,85 +70,128 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _paths(max_distance: int) -> list[Column]:
-    """For each block, the path of column fp down its tree: the distances to all vantage points."""
-    blocks = max_distance + 1
-    random = Random(SEED)
-    out = []
-    for b in range(blocks):
-        low, high = BITS * b // blocks, BITS * (b + 1) // blocks
-        mask = ((1 << high) - 1) ^ ((1 << low) - 1)
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        path = [F.bit_count(F.col("fp").bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.lit(signed(random.getrandbits(64) & mask)))) for _ in range(LEVELS)]
-        out.append(F.xxhash64(F.lit(b), *path))
-    return out
+class Tree:
+    """Vantage points and radii by node: the root is 1, the children of k are 2 k (inner) and 2 k + 1."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        """sample: fingerprints as uint64."""
+        self.depth, known = depth, 1
+        while known < 1 << depth and len(sample) >> known.bit_length() >= 4:
+            known <<= 1
+        self.points, self.radii = self._drawn(np.arange(known, dtype=np.uint64)), np.full(known, BITS // 2, np.int64)
+        rows = {1: sample}
+        for node in range(1, known):
+            own = rows.pop(node, sample[:0])
+            if not len(own):
+                continue
+            self.points[node] = own[0]
+            d = np.bitwise_count(own ^ own[0]).astype(np.int64)
+            self.radii[node] = t = int(np.median(d))
+            rows[2 * node], rows[2 * node + 1] = own[d <= t], own[d > t]
+
+    @staticmethod
+    def _drawn(node: np.ndarray) -> np.ndarray:
+        x = (node + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def shards(self, x: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shard, place in x, whether as a visitor) of each point and of each visit that the bound leaves open."""
+        node, at, visits = np.ones(len(x), np.int64), np.arange(len(x)), np.zeros(len(x), bool)
+        for _ in range(self.depth):
+            here = node < len(self.points)
+            safe = np.where(here, node, 0)
+            d = np.bitwise_count(x[at] ^ np.where(here, self.points[safe], self._drawn(node.astype(np.uint64)))).astype(np.int64)
+            t = np.where(here, self.radii[safe], BITS // 2)
+            inner = np.where(visits, d - max_distance <= t, d <= t)
+            outer = np.where(visits, d + max_distance > t, d > t)
+            calls = ~visits & outer & (d - max_distance <= t)  # an owner of the outer child visits the inner one
+            node = np.r_[2 * node[inner], 2 * node[outer] + 1, 2 * node[calls]]
+            at, visits = np.r_[at[inner], at[outer], at[calls]], np.r_[visits[inner], visits[outer], np.ones(calls.sum(), bool)]
+        return node, at, visits
+
+
+def _routed(tree: Tree, max_distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 20_000):
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            shard, at, visits = tree.shards(x.view(np.uint64), max_distance)
+            for k in range(0, len(shard), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[part]), pa.array(x[at[part]]), pa.array(visits[part])], ["shard", "fp", "visits"])
+
+    return run
 
 
 def _stars(max_distance: int):
-    """Links within the groups (g) of sorted batches, as a star for each connected part of a group."""
-
-    def stars(g: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        for k in range(1, len(g)):
-            same = np.flatnonzero(g[k:] == g[:-k])
-            if not len(same):
-                break
-            near = same[np.bitwise_count(x[same + k] ^ x[same]) <= max_distance]
-            left.append(near)
-            right.append(near + k)
-        a, b = np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
-        root = np.arange(len(g))
-        while True:
-            m = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, a, m)
-            np.minimum.at(root, b, m)
-            root = root[root]
-            if (root == before).all():
-                break
-        moved = np.flatnonzero(root != np.arange(len(g)))
+    """Links within the groups (shard, low, high) of sorted batches, as a star for each connected part of a group."""
+
+    def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins the parts of a and b; root holds each point's smallest place."""
+        while (differ := root[a] != root[b]).any():
+            a, b = a[differ], b[differ]
+            one, other = root[a], root[b]
+            np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    def stars(own: np.ndarray, x: np.ndarray, visits: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        sides = [(own == low, own == low)] if low == high else [(own == low, own == high), (own == high, own == low)]
+        root = np.arange(len(x))
+        for k, (one, other) in enumerate(sides):  # owners of one block with owners (once) and visitors of the other
+            p, q = np.flatnonzero(one & ~visits), np.flatnonzero(other & (visits | (k == 0)))
+            step = max(1, (1 << 20) // max(1, len(q)))
+            for at in range(0, len(p), step):  # a million pairs at a time
+                i, j = np.nonzero(np.bitwise_count(x[p[at : at + step], None] ^ x[q][None, :]) <= max_distance)
+                join(root, p[at + i], q[j])
+        moved = np.flatnonzero(x[root] != x)
         return x[moved].view(np.int64), x[root[moved]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_g, kept_x = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[list[np.ndarray]] = [[] for _ in range(6)]
 
-        def out(g: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            a, b = stars(g, x)
+        def out() -> pa.RecordBatch:
+            shard, low, high, own, fp, visits = (np.concatenate(h) for h in held)
+            a, b = stars(own, fp.view(np.uint64), visits, low[0], high[0])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            g = np.concatenate([kept_g, batch.column(0).to_numpy(zero_copy_only=False)])
-            x = np.concatenate([kept_x, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(g):
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not batch.num_rows:
                 continue
-            whole = np.searchsorted(g != g[-1], False) if g[0] == g[-1] else len(g) - np.argmax(g[::-1] != g[-1])
-            kept_g, kept_x = g[whole:], x[whole:]  # the last group may go on
-            yield out(g[:whole], x[:whole])
-        yield out(kept_g, kept_x)
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            for s, e in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if held[0] and any(h[0][0] != c[s] for h, c in zip(held[:3], columns, strict=False)):
+                    yield out()
+                    held = [[] for _ in range(6)]
+                for h, c in zip(held, columns, strict=True):
+                    h.append(c[s:e])
+        if held[0]:
+            yield out()
 
     return run
 
 
-def links(points: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect exactly what the links between distinct fingerprints (fp) connect."""
-    rows = stage(points.select("fp", F.explode(F.array(*_paths(max_distance))).alias("shard")), "shards")
-    sizes = stage(rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = rows.join(sizes, "shard")
-    small = shared.where(F.col("n") <= HUGE)
-    blocks = F.ceil(F.col("n") / SUB_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp", "shard"), blocks).cast("int")
-    with_block = small.select("fp", "shard", blocks.alias("blocks"), own.alias("own"))
+def links(points: DataFrame, max_distance: int = MAX_DISTANCE, shard: int = SHARD, sub_block: int = SUB_BLOCK, sample: int = SAMPLE) -> DataFrame:
+    """Edges (a, b) that connect exactly what the links between distinct fingerprints (fp) connect.
+
+    The driver gets the number of points and at most `sample` of them.
+    """
+    n = points.count()
+    depth = max(0, (-(-n // shard) - 1).bit_length())
+    some = [r["fp"] for r in points.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(sample).collect()] if depth else []
+    tree = Tree(np.array(some, np.int64).view(np.uint64), depth)
+    rows = stage(points.select("fp").mapInArrow(_routed(tree, max_distance), "shard long, fp long, visits boolean"), "shards")
+    # a shard where two meet: two owners, or one and a visitor
+    sizes = stage(rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(~F.col("visits")).alias("owners")).where("n > 1 and owners > 0").select("shard", F.ceil(F.col("n") / sub_block).cast("int").alias("blocks")), "sizes")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, "shard").withColumn("own", own)
     # a point meets its own sub-block and, as the first or the second of a pair, each other one
-    paired = with_block.select("fp", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    group = F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
-    grouped = paired.select(group.alias("g"), "fp").repartition("g").sortWithinPartitions("g")
-    near = grouped.mapInArrow(_stars(max_distance), "a long, b long")
-    if max_distance > 2 or sizes.where(F.col("n") > HUGE).isEmpty():
-        return near
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(BITS)))
-    met = shared.where(F.col("n") > HUGE).select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    least = met.withColumn("b", F.min("fp").over(Window.partitionBy("at")))
-    return near.union(least.where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    grouped = paired.select(*group, "own", "fp", "visits").repartition("shard", "low", "high").sortWithinPartitions("shard", "low", "high")
+    return grouped.mapInArrow(_stars(max_distance), "a long, b long").distinct()
 
 
 def classes(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -27,9 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.classes(stage(simhash.fingerprints(docs), "prints"))
-    copies = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stage(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return simhash.keep_first(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,15 +194,32 @@ def links(points: DataFrame, max_distance: int = MAX_DISTANCE, shard: int = SHAR
     return grouped.mapInArrow(_stars(max_distance), "a long, b long").distinct()
 
 
-def classes(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """prints (doc_id, fp, ...; a table) with component_id, the smallest doc_id of the component."""
+def named(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of prints (doc_id, fp; a table): the smallest fingerprint and doc_id of its component."""
     points = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     found = components(links(points, max_distance)).withColumnRenamed("v", "fp")
-    rooted = points.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stage(rooted, "rooted")
+    rooted = stage(points.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
-    named = stage(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp")
+    return stage(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+
+
+def classes(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """prints (doc_id, fp, ...; a table) with component_id, the smallest doc_id of the component."""
+    return prints.join(named(prints, max_distance).drop("root"), "fp")
+
+
+def keep_first(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id; docs is read twice, so it should be a table.
+
+    Rows that repeat an id are one document. A row without an id goes where its component has one with an id;
+    else one such row of the component stays. Texts are not shuffled, but for those of rows without an id.
+    """
+    prints = stage(fingerprints(docs), "prints")
+    names = named(prints, max_distance)
+    copies = stage(prints.join(names, "fp").where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    own = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
+    rest = docs.where("doc_id is null").withColumn("fp_", own(text_of())).join(names.where("component_id is null").select(F.col("fp").alias("fp_"), F.col("root").alias("root_")), "fp_").dropDuplicates(["root_"])
+    return docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(*docs.columns).union(rest.select(*docs.columns))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -278,27 +278,61 @@ def test_fingerprints_equal_brute_force(docs):
     assert got == {i: brute_fingerprint(t) for i, t in enumerate(texts())}
 
 
-@pytest.mark.parametrize(("sub_block", "huge"), [(128, 8192), (3, 8192), (3, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, sub_block, huge):
-    monkeypatch.setattr(simhash, "SUB_BLOCK", sub_block)
-    monkeypatch.setattr(simhash, "HUGE", huge)
-    rng = random.Random(9)
-    points = [rng.getrandbits(64) for _ in range(30)]
-    for _ in range(120):  # chains of near copies
-        x = rng.choice(points)
-        for b in rng.sample(range(64), rng.randint(0, 3)):
-            x ^= 1 << b
-        points.append(x)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    prints = stage(spark.createDataFrame([(i, signed(x)) for i, x in enumerate(points)], "doc_id long, fp long"), "p")
-    got = {r.doc_id: r.component_id for r in simhash.classes(prints).collect()}
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_components(points, distance):
     root = list(range(len(points)))
     for i in range(len(points)):
         for j in range(i):
-            if (points[i] ^ points[j]).bit_count() <= 2 and root[i] != root[j]:
+            if (points[i] ^ points[j]).bit_count() <= distance and root[i] != root[j]:
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
-    assert got == dict(enumerate(root))
+    return dict(enumerate(root))
+
+
+def flipped(rng, x, n):
+    for b in rng.sample(range(64), n):
+        x ^= 1 << b
+    return x
+
+
+@pytest.mark.parametrize(("distance", "shard", "sub_block", "sample"), [(0, 8, 5, 20), (1, 8, 1000, 200), (2, 8, 5, 20), (2, 4, 1000, 0), (2, 1000, 1000, 100), (3, 8, 7, 50), (4, 8, 1000, 50)])
+def test_components_equal_brute_force(spark, monkeypatch, distance, shard, sub_block, sample):
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda points, d: links(points, d, shard, sub_block, sample))
+    rng = random.Random(9)
+    points = [rng.getrandbits(64) for _ in range(40)]
+    points += [flipped(rng, points[0], rng.randint(0, 3)) for _ in range(60)]  # a hot shard
+    for _ in range(120):  # chains of near copies
+        points.append(flipped(rng, rng.choice(points), rng.randint(0, 4)))
+    prints = stage(spark.createDataFrame([(i, signed(x)) for i, x in enumerate(points)], "doc_id long, fp long"), "p")
+    got = {r.doc_id: r.component_id for r in simhash.classes(prints, distance).collect()}
+    assert got == brute_components(points, distance)
+
+
+def test_each_visit_that_the_bound_leaves_open_is_made():
+    rng = random.Random(4)
+    points = [rng.getrandbits(64) for _ in range(300)]
+    points += [flipped(rng, x, 2) for x in points]
+    x = np.array(points, np.uint64)
+    shard, at, visits = simhash.Tree(x[:100], 6).shards(x, 2)
+    met = {}
+    for s, i, v in zip(shard.tolist(), at.tolist(), visits.tolist(), strict=True):
+        met.setdefault(i, {})[s] = v
+    assert all(sum(not v for v in m.values()) == 1 for m in met.values())  # one shard owns a point
+    for i in range(300):
+        one, two = met[i], met[i + 300]
+        assert sum(not (one[s] and two[s]) for s in one.keys() & two.keys()) == 1  # a pair meets once
+
+
+def test_one_document_of_each_component_stays(spark):
+    same, other = "a b c d e f g", "h i j k l m n"
+    rows = [(None, same), (3, same), (1, same), (1, same), (None, other), (None, other), (5, None), (6, "")]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "d")
+    got = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, same), (1, same), (None, other), (5, None)], key=str)
 
 
 def test_components_of_a_long_chain(spark):
@@ -412,10 +446,20 @@ def test_archive_round_trip(spark):
 
 def test_missing_segment_stops_the_job(spark):
     pages = spark.createDataFrame([(1, "u", "y" * 5000)], "page_id long, url string, html string")
-    raw = warc.read_records(warc.write(pages, segment_bytes=1000))
-    assert warc.reassembled(raw).count() == 1
+    raw = stage(warc.read_records(warc.write(pages, segment_bytes=1000)), "raw")
+    assert warc.assembled(raw).count() == 1
     with pytest.raises(Exception, match="segments missing"):
-        warc.reassembled(raw.where("segment is null or segment <> 3")).select("block").collect()
+        warc.assembled(raw.where("segment is null or segment <> 3")).collect()
+
+
+def test_archives_with_missing_and_repeated_ids(spark):
+    long = "z" * 5000
+    rows = [(None, long), (4, long), (4, long), (7, long), (None, "alone"), (None, "twice"), (None, "twice"), (9, "own")]
+    pages = spark.createDataFrame([(i, "http://x/\r\n y", h) for i, h in rows], "page_id long, url string, html string").repartition(2)
+    ranges = warc.write(pages, segment_bytes=1000, range_bytes=1)
+    assert ranges.count() >= len(rows) - 2
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(ranges).collect())
+    assert got == Counter([(None, 5000, "revisit", 4), (4, 5000, "response", None), (4, 5000, "response", None), (7, 5000, "revisit", 4), (None, 5, "response", None), (None, 5, "response", None), (None, 5, "response", None), (9, 3, "response", None)])
 
 
 def test_chunked_framing():

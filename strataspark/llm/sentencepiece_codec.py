@@ -234,7 +234,7 @@ def code(docs: DataFrame, model: str | None = None, digests: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(path)
-        for batch in portions(batches, most=12 << 20):
+        for batch in portions(batches, most=8 << 20):
             ids = own.encode(batch.column(1))
             offsets = np.r_[0, ids.ends]
             written = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), own.decimal.take(pa.array(ids.values))), ",").to_pylist()

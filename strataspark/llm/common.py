@@ -50,6 +50,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named in0, in1, ..., which working columns don't clash with, and these names by the old ones."""
+    names = {c: f"in{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def text_of(text: str | Column = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -22,7 +22,7 @@ Patterns are written with possessive loops and anchored starts: the same matches
 without their quadratic time on long runs. Offsets are code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows have the same spans; a table without
-candidates of both outcomes adds none; extra columns stay (`pii_` is replaced).
+candidates of both outcomes adds none; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import fold_of, read_table, stage, text_of
+from .common import fold_of, neutral, read_table, stage, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -142,7 +142,8 @@ def _placed(found: str, pieces: str, name: str, to: str, make) -> Column:
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base_` (sorted base spans), `cand_` (candidates with features) and `seeds_` (base-shaped matches, outcome and surroundings)."""
-    df = docs.withColumn("t_", text_of(text))
+    inner, names = neutral(docs)
+    df = inner.withColumn("t_", text_of(names[text]))
     digit, at = F.col("t_").rlike("[0-9]"), F.col("t_").contains("@")
     gates = {"email": at, "ip": digit, "card": digit, "phone": F.col("t_").contains("+") & digit}
     wide_gates = {"email": at | F.col("t_").rlike(r"[(\[]at[)\]]"), "ip": digit, "card": digit, "phone": digit}
@@ -162,9 +163,10 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         out.append(_placed(f"f0_{k}", f"p0_{k}", f"s_{k}", _SEED, seed))
         full = lambda m, s, b, a, i=i: F.struct(s.alias("s"), F.lit(i).alias("k"), (s + F.length(m)).alias("e"), *(c.alias(n) for n, c in _features(i, m, b, a).items()))
         out.append(_placed(f"f1_{k}", f"p1_{k}", f"c_{k}", _CANDIDATE, full))
-    df = df.select(*docs.columns, *out)
+    df = df.select(*names.values(), *out)
     base = F.sort_array(F.filter(F.concat(*(f"b_{k}" for k in KINDS)), lambda x: x["s"].isNotNull()))
-    return df.select(*docs.columns, base.alias("base_"), F.concat(*(f"c_{k}" for k in KINDS)).alias("cand_"), F.filter(F.concat(*(f"s_{k}" for k in KINDS)), lambda x: x.isNotNull()).alias("seeds_"))
+    own = [F.col(n).alias(c) for c, n in names.items() if c not in ("base_", "cand_", "seeds_")]
+    return df.select(*own, base.alias("base_"), F.concat(*(f"c_{k}" for k in KINDS)).alias("cand_"), F.filter(F.concat(*(f"s_{k}" for k in KINDS)), lambda x: x.isNotNull()).alias("seeds_"))
 
 
 class Redactor:
@@ -252,20 +254,22 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    redactor = fit(stage(with_spans(docs, text).select("doc_id", "base_", "cand_", "seeds_"), "pii"))
-    df = with_redactions(with_spans(docs, text), redactor)
+    inner, names = neutral(docs)
+    text_ = names[text]
+    redactor = fit(stage(with_spans(inner, text_).select(F.col(names["doc_id"]).alias("doc_id"), "base_", "cand_", "seeds_"), "pii"))
+    df = with_redactions(with_spans(inner, text_), redactor)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     mark = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["k"] + 1)), F.lit("]"))
 
     def step(state: Column, x: Column) -> Column:
-        gap = F.concat(state["out"], F.substring(F.col(text), state["at"] + 1, x["s"] - state["at"]), mark(x))
+        gap = F.concat(state["out"], F.substring(F.col(text_), state["at"] + 1, x["s"] - state["at"]), mark(x))
         return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(x["s"] >= state["at"], gap).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("spans_", start, step, lambda z: F.concat(z["out"], F.substring(F.col(text), z["at"] + 1, F.length(F.col(text)))))
-    df = df.withColumn(text, F.when(F.size("spans_") > 0, clean).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("spans_") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    clean = F.aggregate("spans_", start, step, lambda z: F.concat(z["out"], F.substring(F.col(text_), z["at"] + 1, F.length(F.col(text_)))))
+    df = df.withColumn(text_, F.when(F.size("spans_") > 0, clean).otherwise(F.col(text_)))
+    if "n_chars" in names:
+        df = df.withColumn(names["n_chars"], F.when(F.size("spans_") > 0, F.length(text_).cast("long")).otherwise(F.col(names["n_chars"])))
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

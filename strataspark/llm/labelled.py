@@ -12,18 +12,31 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, most_chars: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts and labels of at most `each` labelled rows of either class, for training only, and all rows' number by class.
+#: Characters that all texts of a sample have together at most.
+SAMPLE_CHARS = 24_000_000
 
-    Rows are chosen by the hash of their id among those where `learn` (over doc_id) holds; texts of
-    more than most_chars are left out, so what reaches the driver has a bound. Null labels don't count.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Whole texts and labels of at most `each` labelled rows of either class, for training only, and all rows' number by class.
+
+    Rows are taken in the order of their id's hash among those where `learn` (over doc_id) holds, as long as the
+    sample has at most most_chars characters, so what reaches the driver has a bound. Null labels and null ids don't
+    count; a document that is labelled both ways is one of class 1.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y_")).where(F.col("y_").isin(0, 1) & learn)
-    sizes = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= most_chars)
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y_")).where(F.col("y_").isin(0, 1) & learn)
     chosen = [known.where(F.col("y_") == y).orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(each) for y in (0, 1)]
     # at most 2 * each rows of two numbers
-    rows = sizes.join(F.broadcast(chosen[0].union(chosen[1]).dropDuplicates(["doc_id"])), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(2 * each).select("text", "y_").collect()
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sizes = found.groupBy("doc_id", "y_").agg(F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(2 * each).collect()
+    total, kept = 0, []
+    for r in sizes:
+        if total + r["n"] <= most_chars:
+            total += r["n"]
+            kept.append(r["doc_id"])
     totals = {r["y_"]: r["count"] for r in known.groupBy("y_").count().collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
+    one = found.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y_").agg(F.min("text").alias("text"))
+    rows = one.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").collect()
     return [r["text"] for r in rows], np.array([r["y_"] for r in rows], dtype=np.int64), np.array([totals.get(0, 0), totals.get(1, 0)])
 
 

@@ -6,10 +6,10 @@ number and maximum give the document's score through a logistic fit.
 
 Labels exist for documents only, so words are labelled first: in toxic training documents a word is
 toxic where one of its features stands in far more toxic than clean documents (a likelihood ratio and
-a precision bound). Training reads a bounded sample: EACH labelled rows of either class, texts of at
-most MOST_CHARS, and WINDOWS windows of WINDOW words of each. Scoring reads every word of every text:
-all chains of a batch are one product of 2 x 2 matrices, cut into rows, whose exact prefix products
-numpy forms column by column.
+a precision bound). Training reads a bounded sample: EACH labelled rows of either class with SAMPLE_CHARS
+characters together; each text is one chain, and the gradients of transitions are exact, from the marginals
+of adjacent pairs. Scoring reads every word of every text: all chains of a batch are one product of 2 x 2
+matrices, cut into rows, whose exact prefix products numpy forms column by column.
 
 Defined cases: null and empty texts get the score of a text without toxic words; with no labels of
 one class every score is the share of toxic labels (0 without any); repeated rows score alike; very
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, read_table, slices, text_of, worker_cache
 from .labelled import WordTable, indexed, labelled_sample, portions
 
-EACH, MOST_CHARS, WINDOW, WINDOWS = 2000, 20_000, 64, 4
+EACH = 2000
 BUCKETS = 1 << 18
 RATIO, SHARE = 24.0, 0.95
 _FEATURES = 1 + 6 + 3
@@ -49,9 +49,14 @@ def word_features(word: bytes) -> list[int]:
 
 def marginals(s: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """P(toxic) of each word. s: log-odds of the words; first: whether a chain starts; a: transitions; b: start."""
+    return _forward_backward(s, first, a, b)[0]
+
+
+def _forward_backward(s: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of words and, with pairs, of the states (i, j) of a word and the one before: [2 i + j, word], zero where a chain starts."""
     n = len(s)
     if not n:
-        return np.empty(0)
+        return np.empty(0), np.empty((4, 0))
     cols = max(1, int(np.sqrt(n)))
     rows = -(-n // cols)
     pad = rows * cols - n
@@ -91,7 +96,16 @@ def marginals(s: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) ->
         back[0][:, c], back[1][:, c] = y
         y = norm(m00[:, c] * y[0] + m01[:, c] * y[1], m10[:, c] * y[0] + m11[:, c] * y[1])
     toxic = fore[1] * back[1]
-    return (toxic / (toxic + fore[0] * back[0])).reshape(-1)[:n]
+    p = (toxic / (toxic + fore[0] * back[0])).reshape(-1)[:n]
+    if not pairs:
+        return p, None
+    m, fore, back = m.reshape(4, -1)[:, :n], fore.reshape(2, -1)[:, :n], back.reshape(2, -1)[:, :n]
+    both = np.zeros((4, n))
+    for i in range(2):
+        for j in range(2):
+            both[2 * i + j, 1:] = fore[i, :-1] * m[2 * i + j, 1:] * back[j, 1:]
+    both[:, first[:n]] = 0
+    return p, both / np.maximum(both.sum(0), 1e-300)
 
 
 def _weak_labels(feats: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -127,20 +141,20 @@ class Tagger:
 
 
 def _sums(p: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and maximum of p for each text."""
+    """Sum over offending words (p of 0.5 or more, so that length alone adds nothing) and maximum of p for each text."""
     total, top = np.zeros(len(lengths)), np.zeros(len(lengths))
     full = np.flatnonzero(lengths)
     if len(full):
         at = (np.cumsum(lengths) - lengths)[full]
-        total[full], top[full] = np.add.reduceat(p, at), np.maximum.reduceat(p, at)
+        total[full], top[full] = np.add.reduceat(np.where(p >= 0.5, p, 0), at), np.maximum.reduceat(p, at)
     return total, top
 
 
-def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, epochs: int = 4, seed: int = 7) -> Tagger:
-    """Numpy training; y: 0 or 1 for each text; totals: how many labelled rows of each class these stand for."""
+def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, steps: int = 200, seed: int = 7) -> Tagger:
+    """Numpy training of four epochs, or of more where they have fewer steps; y: 0 or 1 for each text; totals: how many labelled rows of each class these stand for."""
     rng = np.random.default_rng(seed)
     words, tokens, lengths = indexed(texts)
-    weights, a, b = np.zeros(BUCKETS), np.zeros((2, 2)), np.array([0.0, -2.0])
+    weights, a, b = np.zeros(BUCKETS), np.array([[0.0, -3.0], [0.0, -3.0]]), np.array([0.0, -3.0])
     if not (len(tokens) and (y == 1).any() and (y == 0).any()):
         share = float(y.mean()) if len(y) else 0.0
         return Tagger(weights - 3.0 / _FEATURES, a, b, np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0]))
@@ -149,35 +163,29 @@ def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, epo
     strong = _weak_labels(feats, tokens, lengths, y)
     gold = strong[feats].any(1)[tokens] & (y[owner] == 1)
 
-    # windows: those with toxic words first, then others at random
-    inside = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    window = owner * (MOST_CHARS + 1) + inside // WINDOW
-    start = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
-    has = np.add.reduceat(gold, start) > 0
-    rank = np.lexsort((rng.random(len(start)), ~has, owner[start]))
-    place = np.arange(len(rank)) - np.searchsorted(owner[start][rank], owner[start][rank])
-    start, size = start[rank[place < WINDOWS]], np.diff(np.r_[start, len(tokens)])[rank[place < WINDOWS]]
-
-    g_w, g_t = np.full(BUCKETS, 1e-3), np.full(6, 1e-3)
-    for _ in range(epochs):
-        for some in np.array_split(rng.permutation(len(start)), max(1, len(start) // 256)):
-            at = np.concatenate([np.arange(s, s + n) for s, n in zip(start[some], size[some], strict=True)])
+    full = np.flatnonzero(lengths)
+    start, size = (np.cumsum(lengths) - lengths)[full], lengths[full]
+    g_w, g_t = np.full(BUCKETS, 0.3), np.full(4, 1e-3)
+    lots = max(1, len(full) // 64)
+    for _ in range(max(4, steps // lots)):
+        for some in np.array_split(rng.permutation(len(full)), lots):
+            n = size[some]
+            ends = np.cumsum(n)
+            at = np.repeat(start[some] - (ends - n), n) + np.arange(ends[-1])
             first = np.zeros(len(at), bool)
-            first[np.cumsum(size[some]) - size[some]] = True
-            f = feats[tokens[at]]
-            s = weights[f].sum(1)
-            p = marginals(s, first, a, b)
-            gap = p - gold[at]
-            grad = np.bincount(f.ravel(), np.repeat(gap, _FEATURES), BUCKETS) / len(some) + 1e-4 * weights
+            first[ends - n] = True
+            f, seen = feats[tokens[at]], gold[at]
+            p, both = _forward_backward(weights[f].sum(1), first, a, b, pairs=True)
+            grad = np.bincount(f.ravel(), np.repeat(p - seen, _FEATURES), BUCKETS) / len(some) + 1e-4 * weights
             grad[0] = 0
             g_w += grad**2
             weights -= 0.5 * grad / np.sqrt(g_w)
-            # transitions: expected less seen, pairs taken as independent given the marginals
-            q, gq = p[1:][~first[1:]], gold[at][1:][~first[1:]]
-            o, go = p[:-1][~first[1:]], gold[at][:-1][~first[1:]]
-            moves = np.array([((1 - o) * q - (~go & gq)).sum(), (o * (1 - q) - (go & ~gq)).sum(), (o * q - (go & gq)).sum(), (p[first] - gold[at][first]).sum(), 0, 0]) / len(some)
+            # transitions (0, 1), (1, 0), (1, 1) and the start: expected less seen
+            old, new = seen[:-1][~first[1:]], seen[1:][~first[1:]]
+            there = np.array([(~old & new).sum(), (old & ~new).sum(), (old & new).sum()])
+            moves = np.r_[both[1:].sum(1) - there, (p[first] - seen[first]).sum()] / len(some)
             g_t += moves**2
-            step = 0.1 * moves / np.sqrt(g_t)
+            step = 0.5 * moves / np.sqrt(g_t)
             a -= np.array([[0, step[0]], [step[1], step[2]]])
             b[1] -= step[3]
 
@@ -196,7 +204,7 @@ def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, epo
 
 def learn(docs: DataFrame, labels: DataFrame, rows=None, each: int = EACH) -> Tagger:
     """From labelled rows where `rows` (a condition over doc_id; all by default) holds."""
-    return train(*labelled_sample(docs, labels, "toxic", F.lit(True) if rows is None else rows, each, MOST_CHARS))
+    return train(*labelled_sample(docs, labels, "toxic", F.lit(True) if rows is None else rows, each))
 
 
 def _table(key: int, tagger: Tagger) -> WordTable:
@@ -250,7 +258,8 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000):
             scores, found = _scored(batch.column(1).to_pylist(), held.value, _table(key, held.value), True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "score", "n_spans"])
+            spans = [",".join(f"{s}:{e}" for s, e in x) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array([len(x) for x in found], pa.int64()), pa.array(spans, pa.string())], ["doc_id", "score", "n_spans", "spans"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double, n_spans long")
-    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_spans")
+    scored = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double, n_spans long, spans string")
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_spans", "spans")

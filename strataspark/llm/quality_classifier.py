@@ -7,8 +7,8 @@ classes gives the score. Vectors and output are trained together by stochastic g
 numpy. Since output is linear in the mean, at scoring a bucket counts by one number, its vector's
 difference in log-odds, and a word by their sum; these are held in a bounded table in each worker.
 
-Training reads a bounded sample: EACH labelled rows of either class, texts of at most MOST_CHARS, and
-in each epoch WORDS words drawn from each. Scoring reads every word of every text.
+Training reads a bounded sample: EACH labelled rows of either class with SAMPLE_CHARS characters together,
+every word of each in every epoch. Scoring reads every word of every text.
 
 Defined cases: null and empty texts have the score of the bias alone; with labels of one class or none
 the score is their share (0.5 without any); repeated rows score alike; extra columns are not read.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, read_table, slices, text_of, worker_cache
 from .labelled import WordTable, indexed, labelled_sample, portions
 
-EACH, MOST_CHARS, WORDS = 2000, 20_000, 200
+EACH = 2000
 BUCKETS, DIM, NGRAMS, REPEAT = 1 << 17, 8, (3, 4), 10
 
 
@@ -71,27 +71,30 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 0.6, s
     speed_v, speed_o, speed_b = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
     for _ in range(epochs):
         for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-            picked, doc = [], []
-            for k, d in enumerate(some):
-                m = int(min(lengths[d], WORDS))
-                at = begin[d] + (np.arange(m) if m == lengths[d] else rng.integers(0, lengths[d], m))
-                picked.append(at)
-                doc.append(np.full(m, k))
-            at, doc = np.concatenate(picked), np.concatenate(doc)
-            words = tokens[at]
-            n = n_feats[words]
-            f = flat[np.repeat(offset[words], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            again = np.repeat(doc[repeats[at]], REPEAT)
-            f, owner = np.r_[f, np.zeros(len(again), np.int64)], np.r_[np.repeat(doc, n), again]
-            size = np.maximum(np.bincount(owner, minlength=len(some)), 1)[:, None]
-            mean = np.stack([np.bincount(owner, vectors[f, j], len(some)) for j in range(DIM)], axis=1) / size
+            # every word of the texts, equal ones of a text together
+            n = lengths[some]
+            ends = np.cumsum(n)
+            at = np.repeat(begin[some] - (ends - n), n) + np.arange(n.sum())
+            doc = np.repeat(np.arange(len(some)), n)
+            pair, count = np.unique(doc * len(vocabulary) + tokens[at], return_counts=True)
+            words, place = np.unique(pair % max(1, len(vocabulary)), return_inverse=True)
+            doc_of = pair // max(1, len(vocabulary))
+            k = n_feats[words]
+            f = flat[np.repeat(offset[words], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            again = np.bincount(doc[repeats[at]], minlength=len(some)) * REPEAT
+            size = np.maximum(np.bincount(doc_of, count * k[place], len(some)) + again, 1)[:, None]
+            word_sums = np.add.reduceat(vectors[f], np.cumsum(k) - k) if len(words) else np.empty((0, DIM))
+            mean = np.stack([np.bincount(doc_of, count * word_sums[place, j], len(some)) for j in range(DIM)], axis=1)
+            mean = (mean + again[:, None] * vectors[0]) / size
             z = mean @ output.T + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             gap = (p - np.eye(2)[y[some]]) / len(some)
             g_mean = gap @ output / size
             g_out, g_bias = gap.T @ mean, gap.sum(0)
-            g_vec = np.stack([np.bincount(f, g_mean[owner, j], BUCKETS) for j in range(DIM)], axis=1)
+            g_word = np.stack([np.bincount(place, count * g_mean[doc_of, j], len(words)) for j in range(DIM)], axis=1)
+            g_vec = np.stack([np.bincount(f, np.repeat(g_word[:, j], k), BUCKETS) for j in range(DIM)], axis=1)
+            g_vec[0] += again @ g_mean
             speed_v += (g_vec**2).mean(1)
             speed_o += float((g_out**2).mean())
             speed_b += float((g_bias**2).mean())
@@ -139,5 +142,5 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = fold_of("doc_id", 5)
-    model = train(*labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", fold != 0, EACH, MOST_CHARS)[:2])
+    model = train(*labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", fold != 0, EACH)[:2])
     return classify(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -379,7 +379,7 @@ def test_marginals_equal_a_plain_chain():
     s = rng.normal(size=sum(lengths)) * 3
     first = np.zeros(len(s), bool)
     first[np.cumsum([0, *lengths[:-1]])] = True
-    expected = []
+    expected, moves = [], []
     at = 0
     for n in lengths:
         own = s[at : at + n]
@@ -392,7 +392,40 @@ def test_marginals_equal_a_plain_chain():
             back.append(np.exp(a) @ (np.exp(own[k] * np.array([0, 1])) * back[-1]))
         for f, g in zip(fore, back[::-1], strict=True):
             expected.append(f[1] * g[1] / (f * g).sum())
+        back = back[::-1]
+        moves.append(np.zeros(4))
+        for k in range(1, n):
+            both = np.outer(fore[k - 1], np.exp(own[k] * np.array([0, 1])) * back[k]) * np.exp(a)
+            moves.append((both / both.sum()).ravel())
     assert toxicity.marginals(s, first, a, b) == pytest.approx(np.array(expected), abs=1e-9)
+    assert toxicity._forward_backward(s, first, a, b, pairs=True)[1] == pytest.approx(np.array(moves).T, abs=1e-9)
+
+
+def test_classifier_scores_equal_brute_force(spark):
+    docs, labels = labelled(spark)
+    model = quality_classifier.train(*quality_classifier.labelled_sample(docs, labels, "quality", F.lit(True), 100)[:2], epochs=1)
+    got = {r.doc_id: r.score for r in quality_classifier.classify(docs, model).collect()}
+    tagger = toxicity.learn(docs, labels)
+    tagged = {r.doc_id: r.score for r in toxicity.tag(docs, tagger).select("doc_id", "tox_.score").collect()}
+    for r in docs.where("doc_id < 40 or doc_id >= 300").collect():
+        words = (r.text or "").encode().split()
+        total, size = 0.0, 0
+        for k, w in enumerate(words):
+            feats = quality_classifier.word_features(w) + ([0] * quality_classifier.REPEAT if k and words[k - 1] == w else [])
+            total, size = total + sum(float(model.weights[f]) for f in feats), size + len(feats)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(model.bias + total / max(size, 1)))), abs=1e-4)
+        s = np.array([sum(tagger.weights[f] for f in toxicity.word_features(w)) for w in words])
+        p = toxicity.marginals(s, np.arange(len(s)) == 0, tagger.a, tagger.b) if words else np.zeros(1)
+        assert tagged[r.doc_id] == pytest.approx(float(tagger.score(np.array([p[p >= 0.5].sum()]), np.array([p.max()]))[0]), abs=1e-4)
+
+
+def test_sample_is_bounded_and_takes_whole_texts(spark):
+    docs, labels = labelled(spark)
+    rows, y, totals = quality_classifier.labelled_sample(docs, labels, "quality", F.lit(True), 20)
+    assert len(rows) == 40 and y.tolist().count(1) == 20 and totals.tolist() == [100, 200]
+    whole = {r.text for r in docs.collect()}
+    few = quality_classifier.labelled_sample(docs, labels, "quality", F.lit(True), 20, most_chars=3000)[0]
+    assert set(few) <= set(rows) <= whole and 1000 < sum(map(len, few)) <= 3000
 
 
 def test_classifiers_without_labels(spark):
@@ -406,7 +439,7 @@ def test_classifiers_without_labels(spark):
 
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled(spark)
-    model = quality_classifier.train(*quality_classifier.labelled_sample(docs, labels, "quality", F.col("doc_id") % 5 != 0, 500, 20_000)[:2])
+    model = quality_classifier.train(*quality_classifier.labelled_sample(docs, labels, "quality", F.col("doc_id") % 5 != 0, 500)[:2])
     held = [r for r in quality_classifier.classify(docs, model).collect() if r.doc_id < 300 and r.doc_id % 5 == 0]
     assert np.mean([(r.score >= 0.3) == bool(r.doc_id % 3) for r in held]) > 0.97
 

@@ -137,6 +137,14 @@ def test_large_bucket_is_split_without_loss(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(49, 0)}
 
 
+def test_embeddings_with_missing_and_repeated_ids(spark):
+    a, b, far = [0.0, 1.0], [0.01, 0.99], [1.0, 0.0]
+    rows = [(1, a), (1, b), (2, a), (None, b), (7, far), (None, far), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("own"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (7, 1, 7, True), (None, 1, 7, False), (None, 0, None, False)], key=str)
+
+
 # --- language model
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +28,58 @@ def neighbours(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return moved.join(pixels.select(*keys, "y", "x"), [*keys, "y", "x"]).select(*keys, "a", _pixel().alias("b"))
 
 
+#: Rows of an image that one task labels at once.
+BAND = 512
+
+
+def _local_roots(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of some different pixels the place of the first pixel (by row, then column) of its 8-connected component."""
+    order = np.lexsort((x, y))
+    width = int(x.max()) - int(x.min()) + 3
+    code = (y[order].astype(np.int64) - int(y.min())) * width + (x[order] - int(x.min()) + 1)
+    a, b = [], []
+    for dy, dx in _HALF:
+        at = np.minimum(np.searchsorted(code, code + dy * width + dx), len(code) - 1)
+        hit = np.flatnonzero(code[at] == code + dy * width + dx)
+        a.append(hit)
+        b.append(at[hit])
+    a, b, root = np.concatenate(a), np.concatenate(b), np.arange(len(code))
+    while (differ := root[a] != root[b]).any():
+        a, b = a[differ], b[differ]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[root]
+    return out
+
+
 def label_components(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """pixels with root_y, root_x: the first pixel (by row, then column) of the 8-connected component.
 
     Rasters don't wrap. With a class among the keys components are taken by class, else touching classes merge.
+    Bands of BAND rows are labelled each in a task; where pixels touch across a border of bands, their bands'
+    components are joined as a graph, which has a node for each such component only.
     """
     keys = keys or ["segment_id"]
-    pixels = held(pixels.select(*keys, "y", "x").distinct(), "pixels")
-    node = lambda p: F.struct(*(F.col(k).alias(k) for k in keys), F.col(f"{p}.y").alias("y"), F.col(f"{p}.x").alias("x"))
-    roots = components(neighbours(pixels, keys).select(node("a").alias("a"), node("b").alias("b")))
-    roots = roots.select(*(F.col(f"v.{k}").alias(k) for k in keys), F.col("v.y").alias("y"), F.col("v.x").alias("x"), F.col("root.y").alias("ry"), F.col("root.x").alias("rx"))
-    joined = pixels.join(roots, [*keys, "y", "x"], "left")
-    return joined.select(*keys, "y", "x", F.coalesce("ry", "y").alias("root_y"), F.coalesce("rx", "x").alias("root_x"))
+    types = dict(pixels.dtypes)
+    placed = pixels.select(*keys, "y", "x").distinct().withColumn("band_", F.floor(F.col("y") / BAND).cast("int"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        root = _local_roots(y, x)
+        return pdf.assign(ly=y[root], lx=x[root])
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"y {types['y']}, x {types['x']}, band_ int, ly {types['y']}, lx {types['x']}"])
+    local = held(placed.groupBy(*keys, "band_").applyInPandas(run, schema), "bands")
+    node = F.struct(*keys, F.col("ly").alias("y"), F.col("lx").alias("x"))
+    below = local.where(F.pmod("y", F.lit(BAND)) == 0).select(*keys, (F.col("y") - 1).alias("y"), F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)).alias("x"), node.alias("b"))
+    edges = held(local.where(F.pmod("y", F.lit(BAND)) == BAND - 1).select(*keys, "y", "x", node.alias("a")).join(below, [*keys, "y", "x"]).select("a", "b").distinct(), "edges")
+    own = local.select(*keys, "y", "x", "ly", "lx")
+    if edges.isEmpty():
+        return own.withColumnsRenamed({"ly": "root_y", "lx": "root_x"})
+    roots = components(edges).select(*(F.col(f"v.{k}").alias(k) for k in keys), F.col("v.y").alias("ly"), F.col("v.x").alias("lx"), F.col("root.y").alias("ry"), F.col("root.x").alias("rx"))
+    return own.join(roots, [*keys, "ly", "lx"], "left").select(*keys, "y", "x", F.coalesce("ry", "ly").alias("root_y"), F.coalesce("rx", "lx").alias("root_x"))
 
 
 def component_stats(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -114,19 +156,49 @@ def _deletable(step: int) -> list[bool]:
     return out
 
 
+#: Rows beyond a band that a thinning task also sees; each of a round's two steps uses up one of them.
+HALO = 64
+
+
+def _thinned(y: np.ndarray, x: np.ndarray, rounds: int) -> np.ndarray:
+    """Which of some different pixels remain after so many rounds of two-step thinning, or when nothing changes any more."""
+    top, left = int(y.min()) - 1, int(x.min()) - 1
+    image = np.zeros((int(y.max()) - top + 2, int(x.max()) - left + 2), bool)
+    image[y - top, x - left] = True
+    inner = image[1:-1, 1:-1]
+    tables = [np.array(_deletable(step)) for step in (0, 1)]
+    for _ in range(rounds):
+        n = int(inner.sum())
+        for table in tables:
+            ring = np.zeros(inner.shape, np.uint8)
+            for k, (dy, dx) in enumerate(RING):
+                ring |= image[1 + dy : image.shape[0] - 1 + dy, 1 + dx : image.shape[1] - 1 + dx].astype(np.uint8) << k
+            inner &= ~table[ring]
+        if int(inner.sum()) == n:
+            break
+    return image[y - top, x - left]
+
+
 def skeletonize(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Two-step parallel thinning: each step deletes by the eight neighbours, until nothing changes.
 
-    A step is one shuffle by pixel; pixels are held in the shared folder between rounds.
+    A task thins a band of BAND rows with HALO rows on both sides; what lies beyond cannot reach the band within
+    HALO // 2 rounds, so the band's own rows come out as in the whole image. Then bands meet again, until no pixel
+    has gone.
     """
     keys = keys or ["segment_id"]
+    types = dict(pixels.dtypes)
     now = held(pixels.select(*keys, "y", "x").distinct(), "thin")
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"y {types['y']}, x {types['x']}"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stays = _thinned(pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64), HALO // 2)
+        return pdf.loc[stays & (pdf["y"] // BAND == pdf["band_"]).to_numpy(), [*keys, "y", "x"]]
+
     n = now.count()
     while True:
-        for step in (0, 1):
-            table = F.array(*(F.lit(d) for d in _deletable(step)))
-            now = ring_code(now, keys).where(~F.element_at(table, F.col("ring") + 1)).drop("ring")
-        now = held(now, "thin")
+        bands = F.array_distinct(F.transform(F.array(F.lit(-HALO), F.lit(0), F.lit(HALO)), lambda d: F.floor((F.col("y") + d) / BAND).cast("int")))
+        now = held(now.select(*keys, "y", "x", F.explode(bands).alias("band_")).groupBy(*keys, "band_").applyInPandas(run, schema), "thin")
         left = now.count()
         if left == n:
             return now

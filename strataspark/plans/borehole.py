@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions.geometry import CLASSES, orientation_of
 from strataspark.functions.shared import held
-from strataspark.operators import aperture, branches, evaluation, paths, planes, raster
+from strataspark.operators import aperture, branches, evaluation, paths, planes, raster, tables
 
 #: Defaults of a whole run.
 AREA, ASPECT, FILL, SHORTEST, MOST_MEAN, MOST_STD = 100, 0.5, 0.5, 20, 1.7, 1.5
@@ -68,10 +68,20 @@ def collect_hole(fractures: DataFrame, segments: DataFrame, to_segment: bool = T
 
 
 def evaluate_hole(fractures: DataFrame, log: DataFrame, start_m: float, length_m: float) -> DataFrame:
-    """One row: QPI, QAI, CEI, counts, predictions out of range. Both tables: depth_m, dip_direction_deg, dip_angle_deg."""
+    """One row: QPI, QAI, CEI, counts, predictions out of range. Both tables: depth_m, dip_direction_deg, dip_angle_deg.
+
+    A row that is no plane (see validated_triples) stops the job, and so does a log without rows.
+    """
     end_m = start_m + length_m
-    planes_of = lambda df: df.select(F.lit(1).alias("hole"), F.monotonically_increasing_id().alias("id"), F.col("depth_m").alias("depth"), F.coalesce("dip_direction_deg", F.lit(0.0)).alias("azimuth"), F.col("dip_angle_deg").alias("dip"))
+
+    def planes_of(df: DataFrame) -> DataFrame:
+        checked = tables.validated_triples(df.select(F.monotonically_increasing_id().alias("id"), F.col("depth_m").alias("depth"), F.col("dip_direction_deg").alias("az_"), F.col("dip_angle_deg").alias("dip_")), F.col("depth"), F.col("az_"), F.col("dip_"))
+        bad = F.raise_error(F.concat(F.lit("no plane at depth "), F.coalesce(F.col("depth").cast("string"), F.lit("null")), F.lit(": "), F.col("reason")))
+        return checked.select(F.lit(1).alias("hole"), "id", F.when(F.col("reason").isNull(), F.col("depth")).otherwise(bad.cast("double")).alias("depth"), "azimuth", "dip")
+
     pred, ref = held(planes_of(fractures), "pred"), held(planes_of(log), "ref")
+    if ref.isEmpty():
+        raise ValueError("the reference log has no planes")
     outside = ~F.col("depth").between(start_m - 1e-8, end_m + 1e-8)
     counts = pred.agg(F.count("*").alias("n_pred"), F.count_if(outside).alias("n_out_of_range")).join(F.broadcast(ref.agg(F.count("*").alias("n_ref")))).withColumn("hole", F.lit(1))
     q = evaluation.quality_indices(evaluation.score_matrix(pred, ref, "hole", length_m), counts.select("hole", "n_pred", "n_ref"), "hole")

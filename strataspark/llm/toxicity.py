@@ -189,9 +189,14 @@ def train(texts: list[str], y: np.ndarray, totals: np.ndarray | None = None, ste
             a -= np.array([[0, step[0]], [step[1], step[2]]])
             b[1] -= step[3]
 
-    first = np.zeros(len(tokens), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    total, top = _sums(marginals(sum(weights[feats[:, k]] for k in range(_FEATURES))[tokens], first, a, b), lengths)
+    log_odds = sum(weights[feats[:, k]] for k in range(_FEATURES))
+    total, top, ends = np.zeros(len(lengths)), np.zeros(len(lengths)), np.cumsum(lengths)
+    for some in np.array_split(np.arange(len(lengths)), -(-len(lengths) // 200)):  # few texts' chains at a time
+        n = lengths[some]
+        own = tokens[ends[some[0]] - n[0] : ends[some[-1]]]
+        first = np.zeros(len(own), bool)
+        first[(np.cumsum(n) - n)[n > 0]] = True
+        total[some], top[some] = _sums(marginals(log_odds[own], first, a, b), n)
     x = np.stack([np.ones(len(y)), np.log1p(total), top], axis=1)
     final, held = np.zeros(3), np.bincount(y, minlength=2)
     each = ((held if totals is None else np.maximum(totals, held)) / held)[y]

@@ -584,3 +584,45 @@ def test_pipeline_stages_keep_the_columns(spark, data):
         before = ids
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == before
+
+
+def test_pipeline_equals_its_operators_and_brute_force(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts_ = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    (_, quality), (_, toxic), (_, dedup), (_, redact), (_, packed) = corpus_pipeline.STAGES
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+
+    one = stage(quality(spark, docs, data), "one")
+    verdict = {r.doc_id: r.kept for r in quality_rules.judge(docs).select("doc_id", "quality_.kept").collect()}
+    assert ids(one) == {i for i, kept in verdict.items() if kept}
+
+    two = stage(toxic(spark, one, data), "two")
+    tagger = toxicity.learn(one, spark.read.parquet(f"{data}/labels.parquet"))
+    scores = {}
+    for r in one.collect():
+        words = (r.text or "").encode().split()
+        p = toxicity.marginals(np.array([sum(tagger.weights[f] for f in toxicity.word_features(w)) for w in words]), np.arange(len(words)) == 0, tagger.a, tagger.b)
+        scores[r.doc_id] = float(tagger.score(np.array([p[p >= 0.5].sum()]), np.array([p.max()]))[0])
+    near = {i for i, s in scores.items() if abs(s - corpus_pipeline.TOXIC_AT) < 1e-3}
+    assert ids(two) - near == {i for i, s in scores.items() if s < corpus_pipeline.TOXIC_AT} - near
+
+    three = stage(dedup(spark, two, data), "three")
+    order = sorted(ids(two))
+    root = brute_components([brute_fingerprint(texts_[i]) for i in order], simhash.MAX_DISTANCE)
+    assert ids(three) == {order[k] for k, r in root.items() if k == r}
+
+    four = stage(redact(spark, three, data), "four")
+    assert ids(four) == ids(three)
+    for r in four.collect():
+        assert base_spans(r.text or "") == ""
+        if not base_spans(texts_[r.doc_id] or "") and "[" not in r.text:
+            assert r.text == texts_[r.doc_id]
+
+    five = packed(spark, four, data).collect()
+    assert {r.doc_id for r in five} == ids(four)
+    used = Counter()
+    for r in five:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) == packing.lower_bound(np.array([r.length for r in five]), 2048)

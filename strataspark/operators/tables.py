@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.functions.shared import held
+
 
 def type_summary(df: DataFrame, by: str, counted: str, means: dict[str, str]) -> DataFrame:
     """Rows (with a value in `counted`) and means by class; null is a class of its own."""
@@ -62,12 +64,18 @@ def with_contiguity(df: DataFrame, keys: list[str], order: list[str], start: Col
 
 
 def union_with_source(parts: dict[str, DataFrame], order: list[str]) -> DataFrame:
-    """All rows with their source's name and a 1-based number within it."""
+    """All rows with their source's name and a 1-based number within it; order should tell a source's rows apart."""
     out = None
     for name, df in parts.items():
         df = df.withColumn("source", F.lit(name))
         out = df if out is None else out.unionByName(df)
-    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy(*order)).cast("long"))
+    # ranges of rows are numbered each in a task, after the number of rows in the ranges before
+    ranged = held(out.repartitionByRange("source", *order).withColumn("range_", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("source", "range_").agg(F.count("*").alias("n_"))
+    before = sizes.select("source", "range_", F.coalesce(F.sum("n_").over(Window.partitionBy("source").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    inner = F.row_number().over(Window.partitionBy("source", "range_").orderBy(*order))
+    numbered = ranged.withColumn("inner_", inner).join(before, ["source", "range_"])
+    return numbered.select(*out.columns, (F.col("inner_") + F.col("before_")).cast("long").alias("ordinal"))
 
 
 def tiles(df: DataFrame, height: Column, tile: int) -> DataFrame:

@@ -112,6 +112,17 @@ def mask_without(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, a.columns, "left_anti").distinct()
 
 
+def masks_together(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pixels of either mask with in_a and in_b: one shuffle for all that is asked of two masks."""
+    tagged = a.withColumns({"in_a": F.lit(True), "in_b": F.lit(False)}).union(b.select(*a.columns).withColumns({"in_a": F.lit(False), "in_b": F.lit(True)}))
+    return tagged.groupBy(*a.columns).agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+
+
+def with_edges(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Images that have two neighbouring pixels; the border counts as background."""
+    return neighbours(pixels, keys).select(*keys).distinct().withColumn("has_edges", F.lit(True))
+
+
 def overlapping_regions(extensions: DataFrame, regions: DataFrame) -> DataFrame:
     """For each component (ext) how many regions (reg) of another mask share a pixel with it."""
     on = ["segment_id", "y", "x"]

@@ -19,11 +19,11 @@ def fracture_table(mask: DataFrame, segments: DataFrame, width: int, diameter_mm
     """One row for each fracture of each segment.
 
     mask: segment_id, y, x, class (foreground only); segments: segment_id, start_depth_m, ratio_v (mm for each
-    row), rows. Components are filtered, thinned, cut into branches, put into coplanar clusters, and each cluster
+    row), rows. Components are filtered, thinned, freed of spurs, cut into branches, put into coplanar clusters, and each cluster
     becomes a plane, with the trace in order of joining and the mean width along it.
     """
     kept = held(raster.eliminate(mask.select("segment_id", "y", "x"), area, ASPECT, FILL).select("segment_id", "y", "x"), "kept")
-    ways = held(branches.long_branches(branches.branch_paths(raster.skeletonize(kept)), shortest), "ways")
+    ways = held(branches.long_branches(branches.branch_paths(raster.prune_spurs(raster.skeletonize(kept), shortest)), shortest), "ways")
     key = F.xxhash64("root_y", "root_x").alias("branch_id")
     points = ways.select("segment_id", key, "root_y", "root_x", "pos", "y", "x")
     vote = paths.class_vote(points.join(mask.withColumn("fractype", F.col("class")).drop("class"), ["segment_id", "y", "x"]).withColumn("k", F.struct("segment_id", "branch_id")), "k", "fractype", list(CLASSES))
@@ -93,9 +93,3 @@ def report(fractures: DataFrame, rejected: DataFrame, metrics: DataFrame, summar
     """Sheets of a hole's report; rejected fractures have one only where there are any."""
     sheets = {"metrics": metrics, "fractures": fractures, "summary": summary, "method": method}
     return sheets if rejected.isEmpty() else sheets | {"rejected": rejected}
-
-
-def interval_name(start: Column, end: Column) -> Column:
-    """segment_{start}m_to_{end}m.png with numbers as short as they can be."""
-    short = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.9f", c.cast("double")), "0+$", ""), r"\.$", "")
-    return F.concat(F.lit("segment_"), short(start), F.lit("m_to_"), short(end), F.lit("m.png"))

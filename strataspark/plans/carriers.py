@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.geometry import colour_class, normal_of, orientation_of, pair_coefficient
-from strataspark.operators import evaluation, paths, planes, raster, tables
+from strataspark.operators import evaluation, logs, paths, planes, raster, tables
 from strataspark.streaming import depth
 
 QUERIES: dict = {}
@@ -281,9 +281,8 @@ select *, 'u' as k from (select * from a union select * from b) union all select
 def mask_setops(t):
     a = _grid(t).drop("l_returnflag").distinct()
     b = t("lineitem").select(F.col("l_suppkey").alias("segment_id"), (F.col("l_partkey") % 64).cast("int").alias("y"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 64).cast("int").alias("x")).distinct()
-    parts = [f(a, b).withColumn("k", F.lit(k)) for k, f in (("u", raster.union_masks), ("i", raster.common_mask), ("d", raster.mask_without))]
-    n = lambda k, name: F.count_if(F.col("k") == k).alias(name)
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("segment_id").agg(n("u", "n_union"), n("i", "n_common"), n("d", "n_without"))
+    both = raster.masks_together(a, b)
+    return both.groupBy("segment_id").agg(F.count("*").alias("n_union"), F.count_if(F.col("in_a") & F.col("in_b")).alias("n_common"), F.count_if(F.col("in_a") & ~F.col("in_b")).alias("n_without"))
 
 
 @query("select node from (select l_orderkey as node from lineitem union all select -l_partkey from lineitem) group by 1 having count(*) = 1")
@@ -388,8 +387,8 @@ def header_discovery(t):
 from (select event_id, 'segment_' || (user_id * 5) || 'm_to_' || (user_id * 5 + 5) || '.5m.png' as f from events)""")
 def filename_interval(t):
     f = t("events").select("event_id", F.concat(F.lit("segment_"), F.col("user_id") * 5, F.lit("m_to_"), F.col("user_id") * 5 + 5, F.lit(".5m.png")).alias("f"))
-    part = lambda k: F.regexp_extract("f", r"^segment_([0-9.]+)m_to_([0-9.]+)m", k).cast("double")
-    return f.select("event_id", part(1).alias("start_m"), part(2).alias("end_m"))
+    start, end = logs.interval_of(F.col("f"))
+    return f.select("event_id", start.alias("start_m"), end.alias("end_m"))
 
 
 @query("select 'doc/' || doc_id as path, sha256(coalesce(text, '')) as sha256, octet_length(encode(coalesce(text, '')))::bigint as bytes from documents")

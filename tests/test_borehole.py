@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from strataspark.operators import aperture, branches, raster, reconnect
+from strataspark.operators import aperture, branches, logs, raster, reconnect
 from strataspark.plans import borehole
 from strataspark.streaming import depth
 
@@ -63,7 +63,7 @@ def test_whole_hole(spark):
     log = spark.createDataFrame([(1.0, 0.0, 0.0), (2.0, 125.0, 45.0)], "depth_m double, dip_direction_deg double, dip_angle_deg double")
     m = borehole.evaluate_hole(log, log, 0.0, 10.0).first()
     assert (m.qpi, m.qai, m.cei, m.status) == (1, 1, 1, "complete")
-    assert spark.range(1).select(borehole.interval_name(F.lit(45.0), F.lit(46.3))).first()[0] == "segment_45m_to_46.3m.png"
+    assert spark.range(1).select(logs.interval_name(F.lit(45.0), F.lit(46.3))).first()[0] == "segment_45m_to_46.3m.png"
 
 
 def test_stream_equals_table(spark, data):

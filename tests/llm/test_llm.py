@@ -187,6 +187,13 @@ def test_probabilities_sum_to_one(spark):
         assert sum(p) + unknown == pytest.approx(1, abs=1e-9)
 
 
+def test_marks_of_a_text_are_no_words(spark):
+    """A text that spells a mark out counts it as words of its own."""
+    docs = spark.createDataFrame([(0, "a b"), (1, "x" + language_model._END.decode() + " y"), (2, "\x00end end start")], "doc_id long, text string")
+    model = language_model.learn(docs)
+    assert (model.texts, model.tokens, model.kinds) == (3, 2 + 3 + 3 + 3, 8)
+
+
 def test_language_model_without_training(empty, docs):
     model = language_model.learn(empty)
     assert {r.score for r in language_model.score(docs, model).collect()} == {0.0}

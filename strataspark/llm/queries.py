@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, hard_negatives, language_model, packing, pii, pivot_clustering, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, warc
+from . import embedding_dedup, hard_negatives, language_mixture, language_model, packing, pii, pivot_clustering, quality_classifier, quality_rules, sentencepiece_codec, simhash, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_language_mixture": language_mixture.op11_language_mixture,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_pivot_clustering": pivot_clustering.op13_pivot_clustering,
 }

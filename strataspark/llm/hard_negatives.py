@@ -2,7 +2,7 @@
 
 Rows become integers floor(SCALE * x). They are sorted by length, longest first, and cut into blocks of BLOCK rows
 and, in a task, into buckets of BUCKET. A bucket keeps a sorted list of the normalised rows' values for each
-coordinate. A search wants an anchor's best rows with a score of `low` or more. In a bucket whose longest row is l
+coordinate. A search wants an anchor's best rows with a score of `low` or more (of equal scores, the smaller ids). In a bucket whose longest row is l
 they need a cosine of t = low / (|anchor| l) or more: over 1, the bucket is left out. Else the angle to the anchor is
 at most arccos t, so a coordinate that has cos a in the anchor has a value between cos(a + arccos t) and
 cos(a - arccos t) in the row. The ranges of the anchor's FOCUS largest coordinates are looked up in their
@@ -79,18 +79,19 @@ class Bucket:
 class Best:
     """The best `want` rows of a slot so far: score, id, row."""
 
-    def __init__(self, low: int | None, high: int, want: int):
-        self.low, self.high, self.want, self.rows = low, high, want, np.empty((0, 3), np.int64)
+    def __init__(self, low: int | None, last: int | None, high: int, want: int):
+        """Rows of a score of `low` count up to the id `last`: later ones come after `want` known rows."""
+        self.low, self.last, self.high, self.want, self.rows = low, _TOP if last is None else last, high, want, np.empty((0, 3), np.int64)
 
     def add(self, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         fit = score <= self.high
         if self.low is not None:
-            fit &= score >= self.low
+            fit &= (score > self.low) | ((score == self.low) & (ids <= self.last))
         if fit.any():
             both = np.concatenate([self.rows, np.stack([score[fit], ids[fit], rows[fit]], axis=1)])
             self.rows = both[np.lexsort((both[:, 2], both[:, 1], -both[:, 0]))[: self.want]]
             if len(self.rows) == self.want:
-                self.low = int(self.rows[-1, 0])
+                self.low, self.last = int(self.rows[-1, 0]), int(self.rows[-1, 1])
 
 
 _FOUND = "anchor long, slot int, score long, id long, row long"
@@ -121,7 +122,7 @@ def _searched(same: bool, want: int):
             for a, a_row, a_label, want_of in zip(q, _numbers(some.column("row")), _numbers(some.column("label")), [slots[k] for k in own], strict=True):
                 size = float(np.sqrt(float(a @ a)))
                 focus = np.argsort(-np.abs(a), kind="stable")[:FOCUS]
-                best = [Best(s["low"], s["high"], want) for s in want_of]
+                best = [Best(s["low"], s["last"], s["high"], want) for s in want_of]
                 for where, bucket in buckets:
                     low = None if any(b.low is None for b in best) else min(b.low for b in best)
                     at = bucket.candidates(a, size, focus, low)
@@ -154,9 +155,10 @@ def _first(found: DataFrame, want: int) -> DataFrame:
 def _search(rows: DataFrame, anchors: DataFrame, same: bool, want: int, blocks: int, lots: int) -> DataFrame:
     """The best `want` rows between low and high for each slot of each anchor (row, label, q, slots)."""
     seed = _first(_meet(rows.where("block = 0"), anchors, same, want, 1, lots), want)
-    last = seed.where(F.col("rank") == want).select(F.col("anchor").alias("row"), "slot", "score")
-    known = last.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("known"))
-    raised = F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), F.coalesce(F.try_element_at("known", s["slot"]), s["low"]).alias("low"), s["high"].alias("high")))
+    reached = seed.where(F.col("rank") == want).select(F.col("anchor").alias("row"), "slot", F.struct(F.col("score").alias("low"), F.col("id").alias("last")).alias("k"))
+    known = reached.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("slot", "k"))).alias("known"))
+    best = lambda s: F.try_element_at("known", s["slot"])
+    raised = F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), F.coalesce(best(s)["low"], s["low"]).alias("low"), best(s)["last"].alias("last"), s["high"].alias("high")))
     ready = stage(anchors.join(known, "row", "left").select("row", "label", "q", raised.alias("slots")), "anchors")
     return stage(_first(_meet(rows, ready, same, want, blocks, lots), want), "found")
 
@@ -167,7 +169,7 @@ def _tenths(c: Column) -> Column:
 
 
 def _slot(slot: Column, low: Column, high: Column) -> Column:
-    return F.struct(slot.cast("int").alias("slot"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+    return F.struct(slot.cast("int").alias("slot"), low.cast("long").alias("low"), F.lit(None).cast("long").alias("last"), high.cast("long").alias("high"))
 
 
 def mine(vectors: DataFrame, anchor: Column, label: Column | str = "label", scale: int = SCALE, positives: int = POSITIVES, negatives: int = NEGATIVES, block: int = BLOCK, anchors_each: int = ANCHORS) -> DataFrame:

@@ -61,6 +61,15 @@ def pair_coefficient(a: Column, b: Column) -> Column:
     )
 
 
+def pair_weight(a: str, b: str) -> float:
+    """pair_coefficient of two names, for use within tasks."""
+    if a == b and a != "unknown":
+        return 1.2
+    if (a == "cemented") != (b == "cemented"):
+        return 0.6
+    return 0.8 if {a, b} == {"filled", "unfilled"} else 1.0
+
+
 def half_even(x: Column) -> Column:
     """Round to a whole number, halves to the even one."""
     return F.rint(x).cast("long")

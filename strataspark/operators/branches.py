@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.functions.geometry import pair_weight
 from strataspark.functions.shared import held
 
 from .raster import RING, label_components, skeleton_nodes
@@ -16,7 +18,7 @@ END_END, JUNCTION_END, JUNCTION_JUNCTION, CYCLE = range(4)
 
 
 def _path(left: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pixels of one branch in order, from its first free end (or first pixel); straight steps before diagonal ones."""
+    """Pixels of one branch in order, from its first end (or first pixel); straight steps before diagonal ones."""
     near = lambda p: sum((p[0] + dy, p[1] + dx) in left for dy, dx in RING)
     path = [min(left, key=lambda p: (near(p) > 1, p))]
     left.discard(path[0])
@@ -30,27 +32,54 @@ def _path(left: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return path
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All branches of a segment as ordered paths."""
-    parts: dict[tuple[int, int], set[tuple[int, int]]] = {}
-    for ry, rx, y, x in zip(*(pdf[c].tolist() for c in ("root_y", "root_x", "y", "x")), strict=True):
-        parts.setdefault((ry, rx), set()).add((y, x))
-    rows = [(pdf["segment_id"].iloc[0], *root, k, *p) for root, left in parts.items() for k, p in enumerate(_path(left))]
-    return pd.DataFrame(rows, columns=["segment_id", "root_y", "root_x", "pos", "y", "x"])
+def ordered_path(pixels: list[tuple[int, int, int]], joints: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+    """A branch from node to node: (y, x, joint), with a junction pixel at each end that has one.
+
+    pixels: y, x and the lines that leave the pixel; joints: junction pixels beside them. The nearest junction
+    pixel to an end counts, the first by row and column among equally near ones. Paths begin at the node that is first by row and
+    column.
+    """
+    lines = {(y, x): n for y, x, n in pixels}
+    path = _path(set(lines))
+
+    def joint(end: tuple[int, int], taken: tuple[int, int] | None) -> tuple[int, int] | None:
+        beside = [j for j in joints if max(abs(j[0] - end[0]), abs(j[1] - end[1])) == 1 and j != taken]
+        return min(beside, key=lambda j: (abs(j[0] - end[0]) + abs(j[1] - end[1]), j), default=None)
+
+    first = joint(path[0], None) if lines[path[0]] > 1 else None
+    last = joint(path[-1], first if len(path) == 1 else None) if lines[path[-1]] > 1 else None
+    if not first and not last and joints:  # a stub whose only neighbours are the junction's pixels
+        last = joint(path[-1], None)
+        first = None if last else joint(path[0], None)
+    out = [(*p, j) for p, j in ((first, True), *((p, False) for p in path), (last, True)) if p]
+    return out if out[0][:2] <= out[-1][:2] else out[::-1]
 
 
 def branch_paths(skeleton: DataFrame) -> DataFrame:
-    """(segment_id, root_y, root_x, branch_type, pos, y, x): a branch is what remains joined without junction pixels."""
+    """(segment_id, root_y, root_x, branch_type, pos, y, x, joint) of each branch, from node to node.
+
+    A branch is what remains joined without junction pixels, and the junction pixel at either end that has one; so a
+    junction pixel belongs to each of its arms. A task orders one branch at a time.
+    """
     nodes = held(skeleton_nodes(skeleton), "nodes")
     parts = held(label_components(nodes.where("lines <= 2")), "branches")
     on, key = ["segment_id", "y", "x"], ["segment_id", "root_y", "root_x"]
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING))
-    around = nodes.where("lines > 2").select("segment_id", "y", "x", F.explode(steps).alias("d")).select("segment_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct().withColumn("touches", F.lit(1))
-    marked = parts.join(nodes.select(*on, "lines"), on).join(around, on, "left")
-    ends = marked.groupBy(*key).agg(F.count_if(F.col("lines") <= 1).alias("ends"), F.count("touches").alias("joints"))
-    kind = F.when(F.col("joints") == 0, F.when(F.col("ends") > 0, END_END).otherwise(CYCLE)).when(F.col("ends") > 0, JUNCTION_END).otherwise(JUNCTION_JUNCTION)
-    schema = f"segment_id {dict(skeleton.dtypes)['segment_id']}, root_y int, root_x int, pos int, y int, x int"
-    return parts.groupBy("segment_id").applyInPandas(_walk, schema).join(ends.select(*key, kind.alias("branch_type")), key)
+    around = nodes.where("lines > 2").select("segment_id", F.struct("y", "x").alias("j"), "y", "x", F.explode(steps).alias("d")).select("segment_id", "j", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+    joints = parts.join(around, on).groupBy(*key).agg(F.sort_array(F.collect_set("j")).alias("joints"))
+    whole = parts.join(nodes.select(*on, "lines"), on).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("y", "x", "lines"))).alias("pixels"))
+    ends = F.size(F.filter("pixels", lambda p: p["lines"] <= 1))
+    kind = F.when(F.size("joints") == 0, F.when(ends > 0, END_END).otherwise(CYCLE)).when(ends > 0, JUNCTION_END).otherwise(JUNCTION_JUNCTION)
+
+    @F.arrow_udf("array<struct<y:int,x:int,joint:boolean>>")
+    def ordered(pixels: pa.Array, joints: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("y", pa.int32()), ("x", pa.int32()), ("joint", pa.bool_())]))
+        walked = (ordered_path([(p["y"], p["x"], p["lines"]) for p in a], [(j["y"], j["x"]) for j in b]) for a, b in zip(pixels.to_pylist(), joints.to_pylist(), strict=True))
+        return pa.array([[{"y": y, "x": x, "joint": j} for y, x, j in path] for path in walked], kind)
+
+    found = whole.join(joints, key, "left").withColumn("joints", F.coalesce("joints", F.array().cast(dict(joints.dtypes)["joints"])))
+    found = held(found.select(*key, kind.alias("branch_type"), ordered("pixels", "joints").alias("path")), "paths")
+    return found.select(*key, "branch_type", F.posexplode("path").alias("pos", "p")).select(*key, "branch_type", "pos", "p.y", "p.x", "p.joint")
 
 
 def long_branches(paths: DataFrame, shortest: int = 20) -> DataFrame:
@@ -61,14 +90,6 @@ def long_branches(paths: DataFrame, shortest: int = 20) -> DataFrame:
     return paths.join(n, key).where(keep)
 
 
-def _coefficient(a: str, b: str) -> float:
-    if a == b and a != "unknown":
-        return 1.2
-    if (a == "cemented") != (b == "cemented"):
-        return 0.6
-    return 0.8 if {a, b} == {"filled", "unfilled"} else 1.0
-
-
 def _residuals(points: np.ndarray) -> tuple[float, float]:
     """Mean and deviation of distances from the best plane of points (on the cylinder)."""
     far = points - points.mean(0)
@@ -77,6 +98,67 @@ def _residuals(points: np.ndarray) -> tuple[float, float]:
     return float(d.mean()), float(d.std())
 
 
+def _moments(points: np.ndarray) -> np.ndarray:
+    """Number, sums, and sums of products of points: what joins by addition."""
+    return np.concatenate([[len(points)], points.sum(0), (points.T @ points).ravel()])
+
+
+def _least_spread(moments: np.ndarray) -> np.ndarray:
+    """Mean squared distance from the best plane of each set of points, by its moments."""
+    n, mean = moments[:, 0, None], moments[:, 1:4] / moments[:, :1]
+    cov = moments[:, 4:].reshape(-1, 3, 3) / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
+    return np.linalg.eigvalsh(cov)[:, 0]
+
+
+def greedy_clusters(left: list[tuple], width: int, most_mean: float, most_std: float) -> list[list]:
+    """Clusters of branches (id, class, points z and x), as lists of ids in the order of joining; see cluster_branches.
+
+    A union whose mean and deviation of residuals are under their bounds has a mean square under the sum of the bounds' squares,
+    which moments tell without its points; only such candidates are measured.
+    """
+    radius = width / (2 * np.pi)
+    ready = []
+    for i, kind, z, x in left:
+        theta = 2 * np.pi * x / width
+        points = np.stack([radius * np.cos(theta), radius * np.sin(theta), z], axis=1)
+        # moments about a fixed depth, so that little is lost in their differences
+        ready.append((-len(z), float(z.min()), float(x.min()), i, kind, float(z.mean()), points))
+    ready.sort(key=lambda b: b[:4])
+    middle = np.array([0.0, 0.0, np.mean([b[5] for b in ready]) if ready else 0.0])
+    moments = np.array([_moments(b[6] - middle) for b in ready]).reshape(-1, 13)
+    alive, centres = np.ones(len(ready), bool), np.array([b[5] for b in ready])
+    scale = float(np.abs(moments[:, [4, 8, 12]]).max(initial=1.0))
+    out = []
+    while alive.sum() >= 2:
+        seed = int(np.argmax(alive))
+        if -ready[seed][0] < width / 4:
+            break
+        alive[seed] = False
+        points, own, members = ready[seed][6], moments[seed].copy(), [ready[seed][3]]
+        mean, std = _residuals(points)
+        near = np.flatnonzero(alive & (np.abs(centres - ready[seed][5]) < 3 * width))
+        weight = np.array([pair_weight(ready[seed][4], ready[k][4]) for k in near])
+        joined = True
+        while joined and len(near):
+            joined = False
+            both = own + moments[near]
+            wider = weight * both[:, 0] / len(points)
+            a, b = np.minimum(wider * most_mean * mean, width / 50), np.minimum(wider * most_std * std, width / 50)
+            slack = 1e-9 * scale / len(points) + 1e-9
+            for at in np.flatnonzero(_least_spread(both) <= a * a + b * b + slack):
+                union = np.concatenate([points, ready[near[at]][6]])
+                m, s = _residuals(union)
+                if m < a[at] and s < b[at]:
+                    points, mean, std, joined = union, m, s, True
+                    own = own + moments[near[at]]
+                    members.append(ready[near[at]][3])
+                    alive[near[at]] = False
+                    near, weight = np.delete(near, at), np.delete(weight, at)
+                    break
+        out.append(members)
+    return out
+
+
 def cluster_branches(branches: DataFrame, width: int, most_mean: float = 1.7, most_std: float = 1.5) -> DataFrame:
     """Greedy coplanar clusters: (segment_id, branch_id, cluster_id, place), place being the order of joining.
 
@@ -87,34 +169,9 @@ def cluster_branches(branches: DataFrame, width: int, most_mean: float = 1.7, mo
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        radius = width / (2 * np.pi)
-        left = []
-        for r in pdf.itertuples(index=False):
-            z, x = np.array([p["z"] for p in r.path], float), np.array([p["x"] for p in r.path], float)
-            theta = 2 * np.pi * x / width
-            left.append((-len(z), float(z.min()), float(x.min()), r.branch_id, r.fractype, z.mean(), np.stack([radius * np.cos(theta), radius * np.sin(theta), z], axis=1)))
-        left.sort(key=lambda b: b[:4])
-        out, cluster = [], 0
-        while len(left) >= 2 and -left[0][0] >= width / 4:
-            seed = left.pop(0)
-            points, (mean, std) = seed[6], _residuals(seed[6])
-            members = [seed[3]]
-            near = [b for b in left if abs(b[5] - seed[5]) < 3 * width]
-            joined = True
-            while joined:
-                joined = False
-                for b in near:
-                    union = np.concatenate([points, b[6]])
-                    m, s = _residuals(union)
-                    wider = _coefficient(seed[4], b[4]) * len(union) / len(points)
-                    if m < min(wider * most_mean * mean, width / 50) and s < min(wider * most_std * std, width / 50):
-                        points, mean, std, joined = union, m, s, True
-                        members.append(b[3])
-                        near = [x for x in near if x[3] != b[3]]
-                        left = [x for x in left if x[3] != b[3]]
-                        break
-            out += [(pdf["segment_id"].iloc[0], i, cluster, k) for k, i in enumerate(members)]
-            cluster += 1
+        left = [(r.branch_id, r.fractype, np.array([p["z"] for p in r.path], float), np.array([p["x"] for p in r.path], float)) for r in pdf.itertuples(index=False)]
+        found = greedy_clusters(left, width, most_mean, most_std)
+        out = [(pdf["segment_id"].iloc[0], i, c, k) for c, members in enumerate(found) for k, i in enumerate(members)]
         return pd.DataFrame(out, columns=["segment_id", "branch_id", "cluster_id", "place"])
 
     types = dict(branches.dtypes)

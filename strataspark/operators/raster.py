@@ -190,6 +190,11 @@ def _thinned(y: np.ndarray, x: np.ndarray, rounds: int) -> np.ndarray:
     return image[y - top, x - left]
 
 
+def thinned(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of some different pixels a whole thinning leaves; for shapes of one task's size."""
+    return _thinned(y, x, len(y) + 1)
+
+
 def skeletonize(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Two-step parallel thinning: each step deletes by the eight neighbours, until nothing changes.
 
@@ -203,17 +208,20 @@ def skeletonize(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"y {types['y']}, x {types['x']}"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stays = _thinned(pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64), HALO // 2)
-        return pdf.loc[stays & (pdf["y"] // BAND == pdf["band_"]).to_numpy(), [*keys, "y", "x"]]
+        own = (pdf["y"] // BAND == pdf["band_"]).to_numpy()
+        # what doesn't come near another band is alone in its own, and thinned to the end
+        whole = bool(own.all())
+        stays = _thinned(pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64), len(pdf) + 1 if whole else HALO // 2)
+        return pdf.loc[stays & own, [*keys, "y", "x"]].assign(open_=not whole)
 
     n = now.count()
     while True:
         bands = F.array_distinct(F.transform(F.array(F.lit(-HALO), F.lit(0), F.lit(HALO)), lambda d: F.floor((F.col("y") + d) / BAND).cast("int")))
-        now = held(now.select(*keys, "y", "x", F.explode(bands).alias("band_")).groupBy(*keys, "band_").applyInPandas(run, schema), "thin")
-        left = now.count()
-        if left == n:
+        made = held(now.select(*keys, "y", "x", F.explode(bands).alias("band_")).groupBy(*keys, "band_").applyInPandas(run, schema + ", open_ boolean"), "thin")
+        now, left = made.drop("open_"), made.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("open_"), F.lit(False)).alias("open_")).first()
+        if left["n"] == n or not left["open_"]:
             return now
-        n = left
+        n = left["n"]
 
 
 def _turns(code: int) -> int:
@@ -238,7 +246,7 @@ def skeleton_nodes(skeleton: DataFrame, keys: list[str] | None = None) -> DataFr
 def prune_spurs(skeleton: DataFrame, shortest: int, keys: list[str] | None = None) -> DataFrame:
     """The skeleton without branches of fewer than `shortest` pixels that end freely at a junction.
 
-    A branch is a component of the skeleton without its junction pixels; junctions stay.
+    A branch is a component of the skeleton without its junction pixels, and counts one of these as well; junctions stay.
     """
     keys = keys or ["segment_id"]
     nodes = held(skeleton_nodes(skeleton, keys), "nodes")
@@ -250,5 +258,5 @@ def prune_spurs(skeleton: DataFrame, shortest: int, keys: list[str] | None = Non
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING))
     around = junction.select(*keys, "y", "x", F.explode(steps).alias("d")).select(*keys, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
     touching = parts.join(around, [*keys, "y", "x"], "left_semi").select(*keys, *at).distinct()
-    spurs = size.where(F.col("n_px") < shortest).join(ends, [*keys, *at], "left_semi").join(touching, [*keys, *at], "left_semi")
+    spurs = size.where(F.col("n_px") + 1 < shortest).join(ends, [*keys, *at], "left_semi").join(touching, [*keys, *at], "left_semi")
     return parts.join(spurs, [*keys, *at], "left_anti").select(*keys, "y", "x").unionByName(junction)

@@ -1,13 +1,17 @@
-"""Reconnection of broken traces: endpoints grow discs ahead until they meet another part."""
+"""Reconnection of broken traces: endpoints grow discs ahead until their skeleton meets that of the rest."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.shared import held
 
-from .raster import label_components, mixed_class
+from .branches import branch_paths
+from .raster import label_components, mixed_class, skeletonize, thinned
 
 ON = ["segment_id", "y", "x"]
 
@@ -15,17 +19,16 @@ ON = ["segment_id", "y", "x"]
 def path_ends(paths: DataFrame, reference: int = 50) -> DataFrame:
     """Free ends of branches with the pixel `reference` steps back and the direction ahead (unit vector, y and x).
 
-    Ends of branches that are not longer than that are left out.
+    Ends of branches that are not longer than that are left out; junction pixels count as part of a branch, but
+    are no ends.
     """
     key = ["segment_id", "root_y", "root_x"]
-    n = paths.where(F.col("branch_type") < 2).groupBy(*key, "branch_type").agg(F.count("*").alias("n"))
-    both = paths.join(n, [*key, "branch_type"]).where(F.col("n") > reference)
-    at = lambda p, c: F.max(F.when(F.col("pos") == p, F.col(c)))
-    pixel = lambda p: F.struct(at(p, "y").alias("y"), at(p, "x").alias("x"))
+    free = paths.where(F.col("branch_type") < 2)
+    at = lambda p: F.min(F.when(F.col("pos") == p, F.struct("y", "x", "joint")))
+    n = free.groupBy(*key).agg(F.count("*").alias("n"))
     last = F.col("n") - 1
-    one = both.groupBy(*key, "branch_type").agg(F.struct(pixel(F.lit(0)).alias("end"), pixel(F.lit(reference)).alias("ref")).alias("p"), F.struct(pixel(last).alias("end"), pixel(last - reference).alias("ref")).alias("q"))
-    # a path begins at its free end; the other is free where the branch has no junction
-    ends = one.select("segment_id", F.explode(F.when(F.col("branch_type") == 0, F.array("p", "q")).otherwise(F.array("p"))).alias("e"))
+    one = free.join(n.where(F.col("n") > reference), key).groupBy(*key).agg(*(F.struct(at(F.lit(0) if end else last).alias("end"), at(F.lit(reference) if end else last - reference).alias("ref")).alias(name) for name, end in (("p", True), ("q", False))))
+    ends = one.select("segment_id", F.explode(F.array("p", "q")).alias("e")).where("not e.end.joint")
     ends = ends.select("segment_id", F.col("e.end.y").alias("y"), F.col("e.end.x").alias("x"), F.col("e.ref.y").alias("ref_y"), F.col("e.ref.x").alias("ref_x"))
     dy, dx = F.col("y") - F.col("ref_y"), F.col("x") - F.col("ref_x")
     size = F.sqrt((dy * dy + dx * dx).cast("double")) + 1e-8
@@ -42,32 +45,149 @@ def local_widths(ends: DataFrame, mask: DataFrame, most: int = 100) -> DataFrame
     return ends.join(width.select("endpoint_id", "width"), "endpoint_id").where(F.col("width") <= most)
 
 
-def discs(ends: DataFrame, steps: int, height: int, width: int) -> DataFrame:
-    """(endpoint_id, segment_id, k, y, x): filled discs at steps 0..steps, whose centres lie on the image."""
+def discs(ends: DataFrame, steps: int | Column, height: int | Column, width: int) -> DataFrame:
+    """(endpoint_id, segment_id, k, y, x): filled discs at steps 0..steps, whose centres lie on the image.
+
+    steps and height are numbers, or columns of ends.
+    """
     r = F.rint(F.col("width") / 2).cast("int")
-    d = ends.withColumn("r", r).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    bottom = (F.lit(height) if isinstance(height, int) else height) - 1
+    d = ends.withColumns({"r": r, "bottom_": bottom}).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps) if isinstance(steps, int) else steps)))
     ahead = lambda c, v: F.rint(F.col(c) + F.col("k") * F.col(v) * F.col("width") / 2).cast("int")
-    d = d.withColumn("cy", ahead("y", "dir_y")).withColumn("cx", ahead("x", "dir_x")).where(F.col("cy").between(0, height - 1) & F.col("cx").between(0, width - 1))
+    d = d.withColumn("cy", ahead("y", "dir_y")).withColumn("cx", ahead("x", "dir_x")).where((F.col("cy") >= 0) & (F.col("cy") <= F.col("bottom_")) & F.col("cx").between(0, width - 1))
     d = d.withColumn("oy", F.explode(F.sequence(-F.col("r"), F.col("r")))).withColumn("ox", F.explode(F.sequence(-F.col("r"), F.col("r"))))
     d = d.where(F.col("oy") * F.col("oy") + F.col("ox") * F.col("ox") <= F.col("r") * F.col("r"))
-    d = d.select("endpoint_id", "segment_id", "k", (F.col("cy") + F.col("oy")).alias("y"), (F.col("cx") + F.col("ox")).alias("x"))
-    return d.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    d = d.select("endpoint_id", "segment_id", "k", (F.col("cy") + F.col("oy")).alias("y"), (F.col("cx") + F.col("ox")).alias("x"), "bottom_")
+    return d.where((F.col("y") >= 0) & (F.col("y") <= F.col("bottom_")) & F.col("x").between(0, width - 1)).drop("bottom_")
 
 
-def grown(ends: DataFrame, mask: DataFrame, steps: int, height: int, width: int) -> DataFrame:
-    """Pixels (endpoint_id, segment_id, y, x) by which ends reach another component or another component's end.
+def meeting_ends(d: DataFrame, labelled: DataFrame) -> DataFrame:
+    """endpoint_id of the ends whose discs ahead (k > 0) meet another part, or a disc ahead of an end on another part.
 
-    An end grows to the first step at which its disc meets a pixel of another component, or a disc of an end on
-    another component. Ends that meet nothing don't grow.
+    d: discs with `own`, the part of their end. Per pixel only the least and the greatest part of its discs count, so discs
+    are never paired.
+    """
+    ahead = d.where("k > 0").select("endpoint_id", *ON, "own").distinct()
+    hits = ahead.join(labelled, ON).where("part <> own").select("endpoint_id")
+    ends = ahead.groupBy(*ON).agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most")
+    return hits.union(ahead.join(ends, ON).select("endpoint_id")).distinct()
+
+
+def _reached(seeds: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Nodes that hang together with each end's first nodes, without its own part and its own discs; one image's graph."""
+    around: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b in zip(zip(edges["kind"], edges["node"], strict=True), zip(edges["kind_b"], edges["node_b"], strict=True), strict=True):
+        around.setdefault(a, []).append(b)
+    out = []
+    for (end, own), first in seeds.groupby(["endpoint_id", "own"], sort=False):
+        seen = {(0, own), (1, end)}
+        todo = [n for n in zip(first["kind"], first["node"], strict=True) if n not in seen]
+        seen.update(todo)
+        while todo:
+            node = todo.pop()
+            out.append((end, *node))
+            new = [n for n in around.get(node, ()) if n not in seen]
+            seen.update(new)
+            todo += new
+    found = pd.DataFrame(out, columns=["endpoint_id", "kind", "node"])
+    found.insert(0, "segment_id", seeds["segment_id"].iloc[0] if len(seeds) else None)
+    return found
+
+
+def _near_parts(d: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Pixels (segment_id, endpoint_id, y, x) of what each end's discs may meet, all that hangs together with it included.
+
+    Nodes are parts of the mask (kind 0) and the discs ahead of each end (kind 1); pixels that touch join nodes. An end's own
+    part and own discs are no nodes for it, so chains that lead through these are not followed. A task walks the graph of
+    one image, which has a node for each part and end, not its pixels.
+    """
+    part = lambda c: F.col(f"{c}.root_y").cast("long") * (1 << 32) + F.col(f"{c}.root_x")
+    ahead = d.where("k > 0").select(*ON, F.lit(1).alias("kind"), F.col("endpoint_id").alias("node")).distinct()
+    pixels = held(labelled.select(*ON, F.lit(0).alias("kind"), part("part").alias("node")).unionByName(ahead), "nodes")
+    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    moved = ahead.withColumn("s", F.explode(around)).select("segment_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("kind").alias("kind_b"), F.col("node").alias("node_b")).distinct()
+    touch = moved.join(pixels, ON).where("kind <> kind_b or node <> node_b").select("segment_id", "kind", "node", "kind_b", "node_b").distinct()
+    back = touch.select("segment_id", *(F.col(a).alias(b) for a, b in (("kind_b", "kind"), ("node_b", "node"), ("kind", "kind_b"), ("node", "node_b"))))
+    edges = held(touch.union(back).distinct(), "touching")
+    window = d.select("endpoint_id", *ON, part("own").alias("own")).distinct()
+    seeds = held(window.join(pixels, ON).select("segment_id", "endpoint_id", "own", "kind", "node").distinct(), "met")
+    schema = f"segment_id {dict(d.dtypes)['segment_id']}, endpoint_id long, kind int, node long"
+    reached = held(seeds.groupBy("segment_id").cogroup(edges.groupBy("segment_id")).applyInPandas(_reached, schema), "reached")
+    return reached.join(pixels, ["segment_id", "kind", "node"]).select("segment_id", "endpoint_id", "y", "x").distinct()
+
+
+def free_steps(discs_of: list[tuple[np.ndarray, np.ndarray]], rest: set[tuple[int, int]]) -> int:
+    """How many discs (y, x) an end takes before the skeleton of their union meets the pixels of the rest's skeleton."""
+    union: set[tuple[int, int]] = set()
+    for k, (dy, dx) in enumerate(discs_of):
+        union.update(zip(dy.tolist(), dx.tolist(), strict=True))
+        if not rest.isdisjoint(union):
+            y, x = (np.array(c, np.int64) for c in zip(*union, strict=True))
+            stays = thinned(y, x)
+            if not rest.isdisjoint(zip(y[stays].tolist(), x[stays].tolist(), strict=True)):
+                return k
+    return len(discs_of)
+
+
+def _free(discs_of: pa.Array, rest: pa.Array) -> pa.Array:
+    out = []
+    for own, under in zip(discs_of, rest, strict=True):
+        k, y, x = (own.values.field(c).to_numpy(zero_copy_only=False) for c in ("k", "y", "x"))
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        met = zip(*(under.values.field(c).to_pylist() for c in ("y", "x")), strict=True) if under.is_valid else ()
+        out.append(free_steps(list(zip(np.split(y, cuts), np.split(x, cuts), strict=True)), set(met)))
+    return pa.array(out, pa.int32())
+
+
+def growth_counts(ends: DataFrame, mask: DataFrame, steps: int, height: int | Column, width: int) -> DataFrame:
+    """The ends that can meet something, with expand_count, the discs by which each grows.
+
+    An end that can't meet a part or an end's discs on another part is left out. The others grow disc by disc from
+    k = 0, until the skeleton of their discs meets the skeleton of the rest: the mask without their own part, and the
+    discs ahead of all other such ends. Growth also ends at the image's border. Where all steps pass
+    without contact, the count is the first k whose disc touches another part of the mask, or 0.
+
+    The rest is thinned by bands for each end, and only what hangs together with its discs: thinning
+    never looks across a gap, so that is the skeleton of the whole. A task holds one end's discs and the
+    skeleton's pixels under them.
     """
     labelled = held(label_components(mask).select(*ON, F.struct("root_y", "root_x").alias("part")), "parts")
     own = ends.join(labelled, ON).select("endpoint_id", F.col("part").alias("own"))
-    d = held(discs(ends, steps, height, width).join(own, "endpoint_id"), "discs")
-    hits = d.join(labelled, ON).where("part <> own").select("endpoint_id", "k")
-    other = d.select(*ON, F.col("own").alias("part"), F.col("endpoint_id").alias("other")).distinct()
-    hits = hits.union(d.where("k > 0").join(other, ON).where("part <> own and other <> endpoint_id").select("endpoint_id", "k"))
-    stop = hits.groupBy("endpoint_id").agg(F.min("k").alias("stop"))
-    return d.join(stop, "endpoint_id").where("k <= stop").select("endpoint_id", *ON).distinct()
+    every = held(discs(ends, steps, height, width).join(own, "endpoint_id"), "discs")
+    d = held(every.join(meeting_ends(every, labelled), "endpoint_id"), "meeting")
+    skeleton = skeletonize(_near_parts(d, labelled), ["segment_id", "endpoint_id"])
+    under = skeleton.join(d.select("segment_id", "endpoint_id", "y", "x").distinct(), ["segment_id", "endpoint_id", "y", "x"])
+    rest = under.groupBy("endpoint_id").agg(F.collect_list(F.struct("y", "x")).alias("rest"))
+    own_discs = d.groupBy("endpoint_id").agg(F.sort_array(F.collect_list(F.struct("k", "y", "x"))).alias("discs"))
+    walked = own_discs.join(rest, "endpoint_id", "left").select("endpoint_id", F.arrow_udf(_free, "int")("discs", "rest").alias("free"))
+    touched = d.join(labelled, ON).where("part <> own").groupBy("endpoint_id").agg(F.min("k").alias("touch"))
+    count = F.when(F.col("free") == steps + 1, F.coalesce("touch", F.lit(0))).otherwise(F.col("free"))
+    return held(ends.join(walked.join(touched, "endpoint_id", "left").select("endpoint_id", count.alias("expand_count")), "endpoint_id"), "counted")
+
+
+def growth_pixels(counted: DataFrame, height: int | Column, width: int) -> DataFrame:
+    """Pixels (endpoint_id, segment_id, y, x) of the discs 0 to expand_count of each end."""
+    return discs(counted, F.col("expand_count"), height, width).select("endpoint_id", *ON).distinct()
+
+
+def grown(ends: DataFrame, mask: DataFrame, steps: int, height: int, width: int) -> DataFrame:
+    """Pixels (endpoint_id, segment_id, y, x) by which ends grow; see growth_counts."""
+    return growth_pixels(growth_counts(ends, mask, steps, height, width), height, width)
+
+
+def reconnect(coloured: DataFrame, height: int | DataFrame, width: int, reference: int = 50, steps: int = 5, widest: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The coloured mask (segment_id, y, x, class) with its broken traces joined, and the ends that grew with their counts.
+
+    height: of all images, or a table (segment_id, rows) of each image's. Ends come from the skeleton of all classes together; a mask whose skeleton has no long branch comes back as it is.
+    """
+    mask = held(coloured.select(*ON).distinct(), "mask")
+    ends = local_widths(path_ends(branch_paths(skeletonize(mask)), reference), mask, widest)
+    if isinstance(height, DataFrame):
+        ends, height = ends.join(height.select("segment_id", "rows"), "segment_id"), F.col("rows")
+    ends = held(ends, "ends")
+    counted = growth_counts(ends, mask, steps, height, width)
+    changed = held(extensions(coloured, growth_pixels(counted, height, width)), "changed")
+    return coloured.join(changed.select(*ON), ON, "left_anti").select(*ON, "class").unionByName(changed), counted
 
 
 def _area(name: str) -> Column:
@@ -84,7 +204,7 @@ def extensions(coloured: DataFrame, growth: DataFrame) -> DataFrame:
     regions = held(label_components(coloured, ["segment_id", "class"]), "regions")
     areas = regions.groupBy("segment_id", "class", "root_y", "root_x").agg(F.count("*").alias("area"))
     grown_parts = held(label_components(growth).select(*ON, F.col("root_y").alias("ext_y"), F.col("root_x").alias("ext_x")), "growth")
-    met = grown_parts.join(regions, ON).select("segment_id", "ext_y", "ext_x", "class", "root_y", "root_x").distinct().join(areas, ["segment_id", "class", "root_y", "root_x"])
+    met = grown_parts.join(regions, ON).select("segment_id", "ext_y", "ext_x", "class", "root_y", "root_x").distinct().join(areas, ["segment_id", "class", "root_y", "root_x"]).where(F.col("class").isin("red", "green", "yellow"))
     sums = met.groupBy("segment_id", "ext_y", "ext_x").agg(F.count("*").alias("regions"), _area("red"), _area("green"), _area("yellow"))
     joined = sums.where("regions >= 2").withColumn("class", mixed_class(F.col("red"), F.col("green"), F.col("yellow"))).where("class is not null")
     ext, region = ["segment_id", "ext_y", "ext_x"], ["segment_id", "old", "root_y", "root_x"]

@@ -1,51 +1,94 @@
-"""Aperture: the width of a mask across its skeleton, by rays that meet the mask's outline."""
+"""Aperture: the width of a mask across its skeleton, by rays that meet the mask's contours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import neighbours
+from .contours import KEY, contours
+from .planes import directions, nearest
 
+#: Side of the cells through which rays and edges meet.
 CELL = 16
+_NEAR = 1e-9
 
 
-def outline(mask: DataFrame) -> DataFrame:
-    """Pixels of a mask that have background to a side."""
-    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))))
-    around = mask.select("segment_id", "y", "x", F.explode(steps).alias("d")).select("segment_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    inner = around.join(mask.select("segment_id", "y", "x"), ["segment_id", "y", "x"]).groupBy("segment_id", "y", "x").count().where("count = 4").drop("count")
-    return mask.select("segment_id", "y", "x").distinct().join(inner, ["segment_id", "y", "x"], "left_anti")
+def contour_edges(found: DataFrame, least_area: float = 0.0) -> DataFrame:
+    """(segment_id, contour_id, ay, ax, by, bx): edges of the closed polygons of contours whose area is larger."""
+    kept = found.where((F.col("area") > least_area) & (F.size("path") > 1))
+    turned = F.concat(F.slice("path", F.lit(2), F.size("path") - 1), F.slice("path", 1, 1))
+    pairs = kept.select("segment_id", F.struct(*KEY[1:], "contour").alias("contour_id"), F.explode(F.arrays_zip(F.col("path").alias("a"), turned.alias("b"))).alias("e"))
+    return pairs.select("segment_id", "contour_id", *(F.col(f"e.{p}.{c}").cast("double").alias(f"{p}{c}") for p in "ab" for c in "yx"))
 
 
-def ray_widths(samples: DataFrame, mask: DataFrame, reach: int = 128, ratio: float = 1.0) -> DataFrame:
-    """(segment_id, id, width_mm) of sample points (segment_id, id, y, x, normal_deg).
+def _crossings(at: str, step: str, reach: float) -> Column:
+    """Where a ray crosses the borders of cells in one direction."""
+    ends = [F.col(at) - reach * F.abs(step), F.col(at) + reach * F.abs(step)]
+    borders = F.sequence(F.ceil(ends[0] / CELL), F.greatest(F.ceil(ends[0] / CELL), F.floor(ends[1] / CELL)))
+    return F.when(F.abs(step) > 1e-12, F.transform(borders, lambda k: (k * CELL - F.col(at)) / F.col(step))).otherwise(F.array().cast("array<double>"))
 
-    A ray goes `reach` pixels along either side of the normal; the nearest meetings with the outline on both
-    sides add up. Samples without one on each side are left out. Rays and outline edges meet through cells of
-    CELL pixels, so pairs are made only along a ray.
+
+def ray_cells(rays: DataFrame, reach: float) -> DataFrame:
+    """rays (y, x, dy, dx) with each cell (cy, cx) that they pass, from border to border."""
+    ends = F.array(F.lit(-float(reach)), F.lit(float(reach)))
+    stops = F.sort_array(F.concat(ends, _crossings("y", "dy", reach), _crossings("x", "dx", reach)))
+    middle = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda k: (F.element_at("stops", k) + F.element_at("stops", k + 1)) / 2)
+    cell = F.transform(middle, lambda t: F.struct(F.floor((F.col("y") + t * F.col("dy")) / CELL).alias("cy"), F.floor((F.col("x") + t * F.col("dx")) / CELL).alias("cx")))
+    return rays.withColumn("stops", stops).withColumn("c", F.explode(F.array_distinct(cell))).withColumn("cy", F.col("c.cy")).withColumn("cx", F.col("c.cx")).drop("stops", "c")
+
+
+def edge_cells(edges: DataFrame) -> DataFrame:
+    """edges with each cell that they may touch, its border included."""
+    span = lambda c: F.sequence(F.floor((F.least(f"a{c}", f"b{c}") - 1e-6) / CELL), F.floor((F.greatest(f"a{c}", f"b{c}") + 1e-6) / CELL))
+    return edges.withColumn("cy", F.explode(span("y"))).withColumn("cx", F.explode(span("x")))
+
+
+def ray_hits(samples: DataFrame, edges: DataFrame, reach: float = 1000) -> DataFrame:
+    """(segment_id, id, contour_id, hits): places where the line of each sample point (segment_id, id, y, x, normal_deg) meets a contour.
+
+    Places are distances along the normal, within `reach` on either side. Only contours that are met in two or more points count, and
+    none of which an edge lies on the line: a lone point or a common stretch tells no width. Lines and edges meet
+    through the cells that both touch, so pairs are made along a ray only.
     """
-    edges = neighbours(outline(mask), ["segment_id"]).select("segment_id", *(F.col(f"{p}.{c}").cast("double").alias(f"{p}{c}") for p in "ab" for c in "yx"))
-    cells = lambda lo, hi: F.sequence(F.floor(lo / CELL), F.floor(hi / CELL))
-    edges = edges.withColumn("cy", F.explode(cells(F.least("ay", "by"), F.greatest("ay", "by")))).withColumn("cx", F.explode(cells(F.least("ax", "bx"), F.greatest("ax", "bx"))))
     dy, dx = F.sin(F.radians("normal_deg")), F.cos(F.radians("normal_deg"))
-    rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), dy.alias("dy"), dx.alias("dx"))
-    steps = F.explode(F.sequence(F.lit(-2 * reach), F.lit(2 * reach)))
-    visited = rays.withColumn("t2", steps).withColumn("t", F.col("t2") / 2).drop("t2").withColumn("cy", F.floor((F.col("y") + F.col("t") * F.col("dy")) / CELL)).withColumn("cx", F.floor((F.col("x") + F.col("t") * F.col("dx")) / CELL)).drop("t").distinct()
-    met = visited.join(edges, ["segment_id", "cy", "cx"])
+    exact = lambda c: F.when(F.abs(c) < 1e-15, 0.0).otherwise(c)
+    rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), exact(dy).alias("dy"), exact(dx).alias("dx"))
+    met = ray_cells(rays, reach).join(edge_cells(edges), ["segment_id", "cy", "cx"])
     ey, ex = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
     det = F.col("dx") * ey - F.col("dy") * ex
     gy, gx = F.col("ay") - F.col("y"), F.col("ax") - F.col("x")
-    met = met.where(F.abs(det) > 1e-12).withColumn("t", (gx * ey - gy * ex) / det).withColumn("u", (gx * F.col("dy") - gy * F.col("dx")) / det)
-    met = met.where(F.col("u").between(0, 1) & (F.abs("t") <= reach))
-    sides = met.groupBy("segment_id", "id").agg(F.min(F.when(F.col("t") > 0, F.col("t"))).alias("ahead"), F.min(F.when(F.col("t") < 0, -F.col("t"))).alias("behind"))
+    off = gx * F.col("dy") - gy * F.col("dx")
+    along = F.abs(det) < _NEAR
+    t = F.when(~along, (gx * ey - gy * ex) / det)
+    u = F.when(~along, off / det)
+    at = [gx * F.col("dx") + gy * F.col("dy"), (F.col("bx") - F.col("x")) * F.col("dx") + (F.col("by") - F.col("y")) * F.col("dy")]
+    within = (F.least(*at) <= reach) & (F.greatest(*at) >= -reach)
+    met = met.select("segment_id", "id", "contour_id", t.alias("t"), u.alias("u"), (along & (F.abs(off) < _NEAR) & within).alias("lies"))
+    met = met.where("lies" + f" or (u between -{_NEAR} and {1 + _NEAR} and abs(t) <= {float(reach)})")
+    hits = met.groupBy("segment_id", "id", "contour_id").agg(F.sort_array(F.collect_set(F.round("t", 7))).alias("hits"), F.bool_or("lies").alias("lies"))
+    return hits.where((F.size("hits") > 1) & ~F.col("lies")).drop("lies")
+
+
+def ray_widths(samples: DataFrame, mask: DataFrame, reach: float = 1000, ratio: float = 1.0, least_area: float = 0.0) -> DataFrame:
+    """(segment_id, id, width_mm) of sample points: the nearest meetings with contours on both sides together.
+
+    Samples without one on each side are left out. least_area: contours must be larger.
+    """
+    hits = ray_hits(samples, contour_edges(contours(mask), least_area), reach)
+    nearest_ = lambda s: F.min(F.array_min(F.filter(F.transform("hits", lambda t: t * s), lambda t: t > 1e-6)))
+    sides = hits.groupBy("segment_id", "id").agg(nearest_(1).alias("ahead"), nearest_(-1).alias("behind"))
     return sides.where("ahead is not null and behind is not null").select("segment_id", "id", ((F.col("ahead") + F.col("behind")) * ratio).alias("width_mm"))
 
 
-def sampled_normals(paths: DataFrame, every: int = 10, n: int = 4) -> DataFrame:
-    """Every tenth point of each branch with the direction across it, from its n nearest branch points in order."""
-    by = Window.partitionBy("segment_id", "root_y", "root_x").orderBy("pos").rowsBetween(-(n // 2), n - n // 2 - 1)
-    a, b, d = (F.covar_pop(p, q).over(by) for p, q in (("x", "x"), ("x", "y"), ("y", "y")))
-    near = paths.select("*", a.alias("a_"), b.alias("b_"), d.alias("d_"))
-    across = F.pmod(F.degrees(0.5 * F.atan2(2 * F.col("b_"), F.col("a_") - F.col("d_"))) + 90.0, F.lit(180.0))
-    return near.where(F.col("pos") % every == 0).select("segment_id", F.xxhash64("root_y", "root_x", "pos").alias("id"), "root_y", "root_x", "y", "x", across.alias("normal_deg"))
+def sampled_normals(paths: DataFrame, every: int = 10, n: int = 4, path: list[str] | None = None) -> DataFrame:
+    """Every tenth point of each path with the direction across it, from its n nearest points of the path.
+
+    path: the columns that name a path; pos is the place in it.
+    """
+    path = path or KEY
+    points = paths.select(F.struct(*path).alias("path_"), "pos", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    near = nearest(points, "path_", "pos", ["y", "x"], n, points.where(F.col("pos") % every == 0))
+    around = near.join(points.withColumnRenamed("pos", "neighbour"), ["path_", "neighbour"]).withColumn("sample_", F.struct("path_", "pos"))
+    across = directions(around, "sample_", F.col("x"), F.col("y")).select(F.col("sample_.path_").alias("path_"), F.col("sample_.pos").alias("pos"), "normal_deg")
+    found = points.join(across, ["path_", "pos"]).select("path_.*", "pos", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "normal_deg")
+    return found.withColumn("id", F.xxhash64(*[c for c in path if c != "segment_id"], "pos"))

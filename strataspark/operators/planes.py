@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.functions.shared import held
+
 
 def let(values: dict[str, Column], body) -> Column:
     """body of a struct of values that are computed once, however often the body uses them."""
@@ -79,16 +81,71 @@ def directions(points: DataFrame, key: str, x: Column, y: Column) -> DataFrame:
     return c.select(key, F.pmod(along + 90.0, F.lit(180.0)).alias("normal_deg"))
 
 
-def nearest(points: DataFrame, group: str, identity: str, coordinates: list[str], k: int = 4) -> DataFrame:
+#: Positions that a cell of the finest grid holds at most, and how often a group's span is halved at most for that.
+CROWDED, HALVINGS = 64, 30
+
+
+def _located(points: DataFrame, group: str, identity: str, coordinates: list[str], k: int) -> DataFrame:
+    """Different positions of each group with their first k identities, their offset in the group's span, and a level.
+
+    The span halved `level` times is the side of the group's finest cells: k positions a cell on average, and none
+    crowded, as far as halving helps.
+    """
+    on = [group, *coordinates]
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy(identity))
+    firsts = points.withColumn("r_", rank).where(F.col("r_") <= k).groupBy(*on).agg(F.sort_array(F.collect_list(identity)).alias("ids_"))
+    positions = held(firsts, "positions")
+    stats = positions.groupBy(group).agg(F.count("*").alias("n_"), *(F.min(c).alias(f"low{i}_") for i, c in enumerate(coordinates)), F.greatest(*(F.max(c) - F.min(c) for c in coordinates), F.lit(0.0)).alias("span_"))
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("n_") / k) / len(coordinates))).cast("int")
+    offsets = [(F.col(c) - F.col(f"low{i}_")).alias(f"off{i}_") for i, c in enumerate(coordinates)]
+    out = held(positions.join(stats.withColumn("level_", F.when(F.col("span_") > 0, level).otherwise(0)), group).select(*on, "ids_", *offsets, "span_", "level_"), "located")
+    while True:
+        crowded = out.where(F.col("level_").between(1, HALVINGS - 1)).groupBy(group, *_cell(len(coordinates), 0)).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select(group, F.lit(2).alias("more_")).distinct()
+        if crowded.isEmpty():
+            return out
+        out = held(out.join(crowded, group, "left").withColumn("level_", F.col("level_") + F.coalesce("more_", F.lit(0))).drop("more_"), "located")
+
+
+def _cell(dimensions: int, up: int) -> list[Column]:
+    """Cell numbers of located positions, `up` levels above their finest."""
+    size = F.col("span_") / F.pow(F.lit(2.0), F.col("level_") - up)
+    return [F.when(F.col("span_") > 0, F.floor(F.col(f"off{i}_") / size)).otherwise(0).cast("long").alias(f"cell{i}_") for i in range(dimensions)]
+
+
+def nearest(points: DataFrame, group: str, identity: str, coordinates: list[str], k: int = 4, of: DataFrame | None = None) -> DataFrame:
     """The k nearest points (with itself) of each point within its group, by squared distance, then id.
 
-    Groups are branches of a skeleton, of bounded size.
+    of: the points to search for, all by default. Points with a null coordinate are left out. Equal positions are searched once. A
+    round looks into the cells around a position's own; what lies further is at least a cell's side away, so
+    a position is done when its k-th distance is less, and goes on with cells of twice the side if not, until they
+    span the group. So a position meets about as many others as a few cells hold, however large its group is.
     """
-    other = points.select(group, F.col(identity).alias("neighbour"), *(F.col(c).alias(f"{c}_n") for c in coordinates))
-    far = sum(((F.col(c) - F.col(f"{c}_n")) * (F.col(c) - F.col(f"{c}_n")) for c in coordinates), F.lit(0.0))
-    both = points.join(other, group).withColumn("distance2", far)
-    rank = F.row_number().over(Window.partitionBy(group, identity).orderBy("distance2", "neighbour"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select(group, identity, "neighbour", "rank", "distance2")
+    on, d = [group, *coordinates], len(coordinates)
+    known = lambda df: df.select(group, identity, *(F.col(c).cast("double").alias(c) for c in coordinates)).dropna(subset=coordinates)
+    points, of = known(points), known(points if of is None else of)
+    located = _located(points, group, identity, coordinates, k)
+    cells, names = [f"cell{i}_" for i in range(d)], [f"{c}_q" for c in coordinates]
+    steps = [()]
+    for _ in range(d):
+        steps = [(*s, m) for s in steps for m in (-1, 0, 1)]
+    around = F.array(*(F.struct(*(F.lit(m).alias(f"d{i}") for i, m in enumerate(s))) for s in steps))
+    far = sum(((F.col(q) - F.col(c)) * (F.col(q) - F.col(c)) for q, c in zip(names, coordinates, strict=True)), F.lit(0.0))
+    left = held(located.join(of.select(*on).distinct(), on, "left_semi").select(group, *(F.col(c).alias(q) for c, q in zip(coordinates, names, strict=True)), *(f"off{i}_" for i in range(d)), "span_", "level_"), "searched")
+    done, up = None, 0
+    while done is None or not left.isEmpty():
+        asked = left.select(group, *names, *_cell(d, up), F.explode(around).alias("s_")).select(group, *names, *((F.col(c) + F.col(f"s_.d{i}")).alias(c) for i, c in enumerate(cells)))
+        there = located.where(F.col("level_") >= up).select(*on, "ids_", *_cell(d, up))
+        met = asked.join(there, [group, *cells]).select(group, *names, far.alias("distance2"), F.explode("ids_").alias("neighbour"))
+        rank = F.row_number().over(Window.partitionBy(group, *names).orderBy("distance2", "neighbour"))
+        best = met.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(group, *names).agg(F.collect_list(F.struct("rank", "neighbour", "distance2")).alias("found_"), F.max("distance2").alias("far_"))
+        side = F.col("span_") / F.pow(F.lit(2.0), F.col("level_") - up)
+        ends = (F.col("level_") <= up) | ((F.size("found_") >= k) & (F.sqrt("far_") < side * (1 - 1e-9)))
+        both = held(left.join(best, [group, *names]).withColumn("ends_", ends), "found")
+        new = both.where("ends_").select(group, *names, "found_")
+        done = new if done is None else done.union(new)
+        left, up = both.where("not ends_").drop("found_", "far_", "ends_"), up + 1
+    named = done.select(group, *(F.col(q).alias(c) for c, q in zip(coordinates, names, strict=True)), F.explode("found_").alias("f_"))
+    return of.join(named, on).select(group, identity, "f_.neighbour", "f_.rank", "f_.distance2")
 
 
 def trace_points(planes: DataFrame, width: int, center: Column, radius: Column, dip: Column, azimuth: Column) -> DataFrame:

@@ -473,7 +473,7 @@ def aperture_rays(t):
     mask = _strokes(t).select("segment_id", "y", "x").distinct()
     thick = mask.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + 2))).distinct()
     samples = aperture.sampled_normals(branches.branch_paths(raster.skeletonize(thick)), 10)
-    return aperture.ray_widths(samples, thick, 32, 0.25).select("segment_id", "id", F.round("width_mm", 6).alias("width_mm"))
+    return aperture.ray_widths(samples, thick, ratio=0.25).select("segment_id", "id", F.round("width_mm", 6).alias("width_mm"))
 
 
 @query()

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -25,53 +25,117 @@ def encode(pixels: np.ndarray) -> bytes:
     return _SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+#: Passes of an interlaced image: first row and column, and the steps of both.
+_PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+
+
 def decode(data: bytes) -> np.ndarray:
-    """The image; ValueError where it can't be decoded (interlaced, palette, other depths)."""
+    """The image as bytes, height x width (grey) or height x width x 3; ValueError where it can't be decoded.
+
+    All colour types and depths, plain or interlaced. Of 16 bits the upper eight count, fewer bits are spread over 0 to 255,
+    palettes are looked up, transparency is left out.
+    """
     if data[:8] != _SIGNATURE:
         raise ValueError("not a PNG")
-    at, body, head = 8, [], None
-    while at < len(data):
+    at, body, head, palette = 8, [], None, None
+    while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
+        chunk = data[at + 8 : at + 8 + n]
         if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data[at + 8 : at + 8 + n])
+            head = struct.unpack(">IIBBBBB", chunk)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            body.append(data[at + 8 : at + 8 + n])
+            body.append(chunk)
         at += n + 12
     if head is None:
         raise ValueError("no header")
     w, h, depth, colour, _, _, interlaced = head
-    channels = {0: 1, 2: 3, 6: 4}.get(colour)
-    if depth != 8 or channels is None or interlaced:
+    if depth not in _DEPTHS.get(colour, ()) or interlaced > 1 or (colour == 3 and palette is None) or not w or not h:
         raise ValueError("unsupported PNG")
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, w * channels + 1)
-    out = np.zeros((h, w * channels), np.uint8)
-    before = np.zeros(w * channels, np.uint8)
-    for y in range(h):
-        out[y] = before = _unfilter(int(raw[y, 0]), raw[y, 1:], before, channels)
-    image = out.reshape(h, w, channels)
-    return image[:, :, 0] if channels == 1 else image[:, :, :3]
-
-
-def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    if kind == 0:
-        return row.copy()
-    if kind == 2:
-        return row + above
-    pixels, up = row.reshape(-1, step).astype(np.int32), above.reshape(-1, step).astype(np.int32)
-    if kind == 1:
-        return np.cumsum(pixels, axis=0).astype(np.uint8).reshape(-1)
-    left, corner = np.zeros(step, np.int32), np.zeros(step, np.int32)
-    out = np.empty_like(pixels)
-    for x in range(len(pixels)):
-        if kind == 3:
-            guess = (left + up[x]) // 2
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    channels = _CHANNELS[colour]
+    image = np.zeros((h, w, channels), np.uint8)
+    at = 0
+    for y, x, dy, dx in _PASSES if interlaced else ((0, 0, 1, 1),):
+        rows, cols = -(-(h - y) // dy), -(-(w - x) // dx)
+        if rows > 0 and cols > 0:
+            width = -(-cols * channels * depth // 8)
+            if len(raw) < at + rows * (width + 1):
+                raise ValueError("too few bytes")
+            part = raw[at : at + rows * (width + 1)].reshape(rows, width + 1)
+            at += rows * (width + 1)
+            image[y::dy, x::dx] = samples(unfiltered(part[:, 0], part[:, 1:], max(1, channels * depth // 8)), cols, channels, depth, colour != 3)
+    if colour == 3:
+        if int(image.max()) >= len(palette):
+            raise ValueError("a colour is not in the palette")
+        return palette[image[:, :, 0]]
+    return image[:, :, 0] if channels < 3 else image[:, :, :3]
+
+
+def samples(rows: np.ndarray, width: int, channels: int, depth: int, spread: bool = True) -> np.ndarray:
+    """Packed rows of bytes as (rows, width, channels) bytes; spread: fewer bits than eight reach up to 255."""
+    n = width * channels
+    if depth == 16:
+        rows = rows[:, : 2 * n : 2]
+    elif depth < 8:
+        shifts = np.arange(8 - depth, -1, -depth, dtype=np.uint8)
+        rows = (rows[:, :, None] >> shifts & np.uint8((1 << depth) - 1)).reshape(len(rows), -1) * np.uint8(255 // ((1 << depth) - 1) if spread else 1)
+    return rows[:, :n].reshape(len(rows), width, channels)
+
+
+#: Rows that are unfiltered together.
+_TOGETHER = 256
+
+
+def unfiltered(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of filtered rows; step: bytes of a pixel.
+
+    A byte needs those to the left, above, and left above, so bands of rows are sheared until these lie in the columns before,
+    and a column of a band is done at once.
+    """
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown filter")
+    height, width = rows.shape
+    n = -(-width // step)
+    padded = np.zeros((height, n * step), np.uint8)
+    padded[:, :width] = rows
+    out, above = np.empty((height, n, step), np.uint8), np.zeros((n, step), np.int16)
+    for top in range(0, height, _TOGETHER):
+        kind, part = kinds[top : top + _TOGETHER], padded[top : top + _TOGETHER].reshape(-1, n, step)
+        if (kind == 0).all():
+            out[top : top + len(part)] = part
+        elif (kind == 2).all():
+            out[top : top + len(part)] = (np.cumsum(part, axis=0, dtype=np.int64) + above).astype(np.uint8)
+        elif (kind <= 1).all():
+            out[top : top + len(part)] = np.where(kind[:, None, None] == 1, np.cumsum(part, axis=1, dtype=np.int64).astype(np.uint8), part)
         else:
-            p = left + up[x] - corner
-            da, db, dc = abs(p - left), abs(p - up[x]), abs(p - corner)
-            guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up[x], corner))
-        left = out[x] = (pixels[x] + guess) & 255
-        corner = up[x]
-    return out.astype(np.uint8).reshape(-1)
+            out[top : top + len(part)] = _sheared(kind, part, above)
+        above = out[top + len(part) - 1].astype(np.int16)
+    return out.reshape(height, -1)[:, :width]
+
+
+def _sheared(kind: np.ndarray, part: np.ndarray, above: np.ndarray) -> np.ndarray:
+    rows, n, step = part.shape
+    # line 0 is the row above; pixel x of line k stands in column x + k + 2
+    raw = np.zeros((n + rows, rows, step), np.int16)
+    done = np.zeros((n + rows + 2, rows + 1, step), np.int16)
+    at = np.arange(rows)
+    for k in range(rows):
+        raw[k : k + n, k] = part[k]
+    done[1 : n + 1, 0] = above
+    k = kind[:, None]
+    for d in range(n + rows - 1):
+        left, up, corner = done[d + 1, 1:], done[d + 1, :-1], done[d, :-1]
+        p = left + up - corner
+        da, db, dc = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        guess = np.select([k == 1, k == 2, k == 3, k == 4], [left, up, (left + up) >> 1, paeth], 0)
+        inside = ((d - at >= 0) & (d - at < n))[:, None]
+        done[d + 2, 1:] = np.where(inside, (raw[d] + guess) & 255, 0)
+    return np.stack([done[k + 2 : k + 2 + n, k + 1] for k in range(rows)]).astype(np.uint8)
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
@@ -97,12 +161,16 @@ def pixels(images: DataFrame, band_rows: int = 256) -> DataFrame:
     return images.mapInPandas(run, "path string, height int, width int, band int, y0 int, data binary, error string")
 
 
-def render(raster: DataFrame, height: int, width: int, key: str = "segment_id") -> DataFrame:
-    """(key, png) from sparse pixels (key, y, x, r, g, b); background is black, the largest colour wins a place."""
-    once = raster.groupBy(key, "y", "x").agg(F.max(F.struct("r", "g", "b")).alias("c")).select(key, "y", "x", "c.*")
+def render(raster: DataFrame, height: int | Column, width: int, key: str = "segment_id") -> DataFrame:
+    """(key, png) from sparse pixels (key, y, x, r, g, b); background is black, the largest colour wins a place.
+
+    height: of all images, or a column of the pixels.
+    """
+    tall = F.lit(height) if isinstance(height, int) else height
+    once = raster.groupBy(key, "y", "x").agg(F.max(F.struct("r", "g", "b")).alias("c"), F.max(tall).alias("height_")).select(key, "y", "x", "c.*", "height_")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((height, width, 3), np.uint8)
+        image = np.zeros((int(pdf["height_"].iloc[0]), width, 3), np.uint8)
         image[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy(np.uint8)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "png": [encode(image)]})
 
@@ -122,8 +190,8 @@ def foreground(images: DataFrame, key: str = "segment_id") -> DataFrame:
     return images.select(key, "png").mapInPandas(run, f"{key} {dict(images.dtypes)[key]}, y int, x int, r int, g int, b int")
 
 
-def resized_rows(frames: DataFrame, to_width: int) -> DataFrame:
-    """Frames (frame_idx, height, width, data: one byte for each pixel) narrowed to a width by area; rows keep their number.
+def resized_rows(frames: DataFrame, to_width: int, channels: int = 1) -> DataFrame:
+    """Frames (frame_idx, height, width, data: a byte for each channel of a pixel) narrowed to a width by area; rows keep their number.
 
     Each target column is the mean of the source columns that it covers, by the share covered.
     """
@@ -142,8 +210,8 @@ def resized_rows(frames: DataFrame, to_width: int) -> DataFrame:
             for i, h, w, data in batch[["frame_idx", "height", "width", "data"]].itertuples(index=False):
                 if w not in known:
                     known[w] = weights(w)
-                image = np.frombuffer(data, np.uint8).reshape(h, w)
-                out.append((i, h, to_width, np.rint(image @ known[w]).astype(np.uint8).tobytes()))
+                image = np.moveaxis(np.frombuffer(data, np.uint8).reshape(h, w, channels), 2, 1)
+                out.append((i, h, to_width, np.moveaxis(np.rint(image @ known[w]).astype(np.uint8), 1, 2).tobytes()))
             yield pd.DataFrame(out, columns=["frame_idx", "height", "width", "data"])
 
     return frames.select("frame_idx", "height", "width", "data").mapInPandas(run, "frame_idx long, height int, width int, data binary")

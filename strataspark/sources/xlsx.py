@@ -1,4 +1,4 @@
-"""XLSX workbooks by zipfile and XML alone: a source of rows and a sink for small reports."""
+"""XLSX workbooks by zipfile and XML alone: a source of rows and a sink whose tasks make one workbook each."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .folder import write_files
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _TYPES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>%s</Types>"""
@@ -102,11 +105,58 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, sheet string, row int, cells array<string>")
 
 
-def write_report(path: str, sheets: dict[str, DataFrame]) -> None:
-    """Small tables (a report's) as one local workbook; the folder is made."""
-    from pathlib import Path
+def _as_cells(df: DataFrame) -> Column:
+    """All columns of a row as (kind, text): n for numbers, b for booleans, s for the rest; missing values stay null."""
+    kind = lambda t: "b" if t == "boolean" else "n" if re.match("tinyint|smallint|int|bigint|float|double|decimal", t) else "s"
+    return F.array(*(F.struct(F.lit(kind(t)).alias("kind"), F.col(f"`{c}`").cast("string").alias("text")) for c, t in df.dtypes))
+
+
+def _value(kind: str, text: str | None):
+    if text is None or kind == "s":
+        return text
+    if kind == "b":
+        return text == "true"
+    return int(text) if re.fullmatch(r"-?\d+", text) else float(text)
+
+
+def workbooks(sheets: dict[str, tuple[DataFrame, list[str]]], book: str) -> DataFrame:
+    """(book, content): a workbook for each value of the column `book`, with the sheets (rows and the columns that order them) in order.
+
+    A sheet shows all columns but `book`; one without rows for a book has its header alone. One task makes one workbook, whose
+    sheets the format bounds at 2^20 rows.
+    """
+    if not sheets:
+        raise ValueError("a workbook needs a sheet")
+    rows = None
+    headers = F.array(*(F.struct(F.lit(k).alias("sheet"), F.lit(name).alias("name"), F.array(*(F.lit(c) for c in df.columns if c != book)).cast("array<string>").alias("header")) for k, (name, (df, _)) in enumerate(sheets.items())))
+    for k, (name, (df, order)) in enumerate(sheets.items()):
+        shown = df.drop(book)
+        place = F.row_number().over(Window.partitionBy(book).orderBy(*order)) if order else F.lit(1)
+        part = df.select(F.col(book).cast("string").alias("book"), F.lit(k).alias("sheet"), F.lit(name).alias("name"), F.array(*(F.lit(c) for c in shown.columns)).cast("array<string>").alias("header"), place.alias("row"), _as_cells(shown).alias("cells"))
+        rows = part if rows is None else rows.unionByName(part)
+
+    # row 0 of each sheet of a book: its header
+    heads = rows.select("book").distinct().select("book", F.explode(headers).alias("h")).select("book", "h.sheet", "h.name", "h.header", F.lit(0).alias("row"), F.lit(None).cast(dict(rows.dtypes)["cells"]).alias("cells"))
+    rows = rows.unionByName(heads)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {}
+        for _, own in pdf.sort_values(["sheet", "row"], kind="stable").groupby("sheet"):
+            made = [[_value(c["kind"], c["text"]) for c in cells] for cells in own["cells"] if cells is not None]
+            out[own["name"].iloc[0]] = pd.DataFrame(made, columns=list(own["header"].iloc[0]), dtype=object)
+        return pd.DataFrame({"book": pdf["book"].iloc[:1], "content": [workbook(out)]})
+
+    return rows.groupBy("book").applyInPandas(run, "book string, content binary")
+
+
+def write_report(path: str, sheets: dict[str, DataFrame | tuple[DataFrame, list[str]]]) -> None:
+    """Tables as one workbook, made and written by a task; its folder, which must be shared, is made.
 
+    A sheet is a table, or a table and the columns that order it.
+    """
     if not path.endswith(".xlsx"):
         raise ValueError("the name must end in .xlsx")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_bytes(workbook({k: v.toPandas() for k, v in sheets.items()}))
+    folder, _, name = path.rpartition("/")
+    placed = {k: v if isinstance(v, tuple) else (v, v.columns) for k, v in sheets.items()}
+    headed = {k: (df.withColumn("book_", F.lit(name)), order) for k, (df, order) in placed.items()}
+    write_files(workbooks(headed, "book_"), folder or ".", "book", "content", into_used=True)

@@ -38,7 +38,8 @@ def test_broken_line_is_joined(spark):
     mask = pixels(spark, left | right)
     ends = reconnect.path_ends(branches.branch_paths(mask), 10)
     ends = reconnect.local_widths(ends, mask).withColumn("width", F.lit(4))
-    new = reconnect.extensions(mask.withColumn("class", F.lit("red")), reconnect.grown(ends, mask, 6, 64, 96))
+    # discs of the other end that already cover this one stop it at once, so both reach into the gap only
+    new = reconnect.extensions(mask.withColumn("class", F.lit("red")), reconnect.grown(ends, mask, 3, 64, 96))
     assert {(r.y, r.x) for r in new.collect()} >= {(30, x) for x in range(40, 46)}
     assert {r["class"] for r in new.collect()} == {"red"}
 
@@ -57,9 +58,13 @@ def test_whole_hole(spark):
     assert steep.depth_m == pytest.approx(10 + 0.151 * ratio, abs=0.005)
     assert steep.dip_angle_deg == pytest.approx(40, abs=2) and steep.dip_direction_deg == pytest.approx(120, abs=4)
     assert steep.fractype == "filled" and steep.trace_mm > 200
+    assert steep.aperture_mm == pytest.approx(2 * ratio, rel=0.35)
+    assert (steep.normal_x**2 + steep.normal_y**2 + steep.normal_z**2) == pytest.approx(1) and math.degrees(math.acos(steep.normal_z)) == pytest.approx(steep.dip_angle_deg)
     table = spark.createDataFrame([(1, 1, 10.2), (1, 2, 10.5), (1, 3, 10.6)], "segment_id int, fracture_id int, depth_m double")
     kept, rejected = borehole.collect_hole(table, segments)
     assert [r.fracture_id for r in kept.collect()] == [1, 2] and [r.reason for r in rejected.collect()] == ["below segment"]
+    with pytest.raises(ValueError):
+        borehole.collect_hole(table, segments.union(segments.selectExpr("segment_id + 1", "start_depth_m + 0.6", "end_depth_m + 0.6", "ratio_v", "rows")))
     log = spark.createDataFrame([(1.0, 0.0, 0.0), (2.0, 125.0, 45.0)], "depth_m double, dip_direction_deg double, dip_angle_deg double")
     m = borehole.evaluate_hole(log, log, 0.0, 10.0).first()
     assert (m.qpi, m.qai, m.cei, m.status) == (1, 1, 1, "complete")

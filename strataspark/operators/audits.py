@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +105,26 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def write_csv(df: DataFrame, folder: str) -> None:
     """UTF-8 with a header and no index; refuses a folder that is there, so that runs do not mix."""
     df.write.mode("errorifexists").option("header", True).csv(folder)
+
+
+def syntax_errors(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, line, message) of each file of Python that can't be parsed; a null text is an empty file."""
+    types = dict(files.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, source in enumerate(batch.column(1).to_pylist()):
+                try:
+                    ast.parse(source or "")
+                except (SyntaxError, ValueError) as e:
+                    out.append((k, getattr(e, "lineno", None), getattr(e, "msg", None) or str(e)))
+            at, lines, messages = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(lines, pa.int32()), pa.array(messages, pa.string())], [path, "line", "message"])
+
+    return files.select(path, text).mapInArrow(run, f"`{path}` {types[path]}, line int, message string")
+
+
+def exit_code(*violations: DataFrame) -> int:
+    """0 where no check found anything, else 1."""
+    return int(any(not v.isEmpty() for v in violations))

@@ -73,15 +73,34 @@ def interval_of(name: Column) -> tuple[Column, Column]:
 
 
 def interval_name(start: Column, end: Column) -> Column:
-    """segment_{start}m_to_{end}m.png with twelve significant digits, zeros cut (depths from 0.0001 to below 10^12, or 0)."""
+    """segment_{start}m_to_{end}m.png with twelve significant digits, zeros cut; an exponent below 0.0001 and from 10^12 on."""
 
     def short(c: Column) -> Column:
-        digits = F.format_string("%.11e", c.cast("double")).cast("decimal(38, 16)").cast("string")
-        return F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", "")
+        digits = F.format_string("%.11e", c.cast("double"))
+        power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int")
+        plain = F.regexp_replace(F.regexp_replace(digits.try_cast("decimal(38, 16)").cast("string"), r"0+$", ""), r"\.$", "")
+        return F.when((power < -4) | (power >= 12), F.regexp_replace(digits, r"\.?0*e", "e")).otherwise(plain)
 
     return F.concat(F.lit("segment_"), short(start), F.lit("m_to_"), short(end), F.lit("m.png"))
 
 
+def tables_by_interval(rows: DataFrame, sheet: str | None = None) -> DataFrame:
+    """(start_m, end_m, name, row, values) of workbooks' rows (path, sheet, row, cells), in order of the interval in each file's name.
+
+    The first row of a sheet names its columns; values maps these names to the cells below, as text. Files without an
+    interval in their name come last. sheet: the sheet that counts, all by default.
+    """
+    own = rows if sheet is None else rows.where(F.col("sheet") == sheet)
+    name = F.element_at(F.split("path", "/"), -1)
+    start, end = interval_of(F.regexp_replace(name, r"%20", " "))
+    heads = own.where("row = 1").select("path", "sheet", F.col("cells").alias("head"))
+    width = F.size("head")
+    padded = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.get("cells", k))
+    named = own.where("row > 1").join(heads, ["path", "sheet"]).where(width > 0)
+    out = named.select(start.alias("start_m"), end.alias("end_m"), name.alias("name"), (F.col("row") - 1).alias("row"), F.map_from_arrays("head", padded).alias("values"))
+    return out.orderBy(F.col("start_m").asc_nulls_last(), "end_m", "name", "row")
+
+
 def parameter_table(fractures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys and the labelled columns of fractures, numbered from 1 by order within keys.
 

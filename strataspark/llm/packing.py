@@ -5,7 +5,8 @@ sequence are cut. Full pieces are sequences by themselves. All others are dealt
 at random, and each partition packs its own pieces by best-fit decreasing. A lower bound from
 dual-feasible functions says how few sequences could hold a partition's pieces. Where a partition
 uses more, it has a gap: such partitions exchange pieces - theirs are dealt out anew, among fewer
-partitions, together with what lies in sequences that are not full - and pack again.
+partitions, together with what lies in sequences that are not full - and pack again. Pieces are dealt by row, not by
+content, so copies spread like any others. A gap that is still open in the last round is reported with its pieces.
 
 Defined cases: null and empty texts are one piece of length 1 (the end id); ties go by doc_id and
 piece; repeated rows are packed as rows of their own; an empty table gives no pieces; extra
@@ -192,7 +193,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-PACKED = f"{PIECES}, group long, bin long, offset long, loose boolean"
+PACKED = f"{PIECES}, group long, bin long, offset long, loose boolean, gap long"
 
 
 def _pack(capacity: int, last: bool):
@@ -211,29 +212,35 @@ def _pack(capacity: int, last: bool):
         partial = np.flatnonzero(filled < capacity)
         give = partial if gap > 0 else partial[np.argsort(filled[partial], kind="stable")][:1]
         pdf["bin"], pdf["offset"] = b, before - np.maximum.accumulate(np.where(first, before, 0))
-        pdf["loose"] = np.isin(b, give) & (not last)
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "group", "bin", "offset", "loose"]]
+        pdf["loose"], pdf["gap"] = np.isin(b, give) & (not last), gap if last else 0
+        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "group", "bin", "offset", "loose", "gap"]]
 
     return run
 
 
+def dealt(pieces: DataFrame, groups: int, seed: int) -> DataFrame:
+    """pieces, a table, with `group`: rows spread at random over groups, whatever they hold."""
+    numbered = pieces.withColumn("row_", F.monotonically_increasing_id())
+    return numbered.withColumn("group", F.pmod(F.xxhash64("row_", F.lit(seed)), F.lit(groups))).drop("row_")
+
+
 def pack(cut: DataFrame, capacity: int = MAX_TOKENS, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """PIECES with sequence_id and offset; cut is read more than once, so it should be a table.
+    """PIECES with sequence_id, offset and gap; cut is read more than once, so it should be a table.
 
-    Each round's result is held in the shared folder. Round by round the pieces that are still
+    gap: by how many sequences the piece's partition is above its lower bound at the end, 0 where it is certified; pieces
+    that found a place in an earlier round lie in full sequences, or in the one that need not be full. Each round's result is held in the shared folder. Round by round the pieces that are still
     loose go to fewer partitions; once they fit into one, all places stand.
     """
     full = cut.where(F.col("length") >= capacity)
     # full pieces have sequences by themselves: a number for each row
-    done = full.select("*", F.lit(-1).cast("long").alias("group"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
+    done = full.select("*", F.lit(-1).cast("long").alias("group"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
     parts = [done.withColumn("round_", F.lit(0))]
     rest = cut.where(F.col("length") < capacity)
     n = rest.count()
     for k in range(1, rounds + 1):
         groups = max(1, -(-n // per_partition))
         last = k == rounds or groups == 1
-        dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(groups)))
-        packed = stage(dealt.groupBy("group").applyInPandas(_pack(capacity, last), PACKED), f"pack{k}")
+        packed = stage(dealt(rest, groups, k).groupBy("group").applyInPandas(_pack(capacity, last), PACKED), f"pack{k}")
         parts.append(packed.where(~F.col("loose")).drop("loose").withColumn("round_", F.lit(k)))
         rest = packed.where("loose").select(*cut.columns)
         if last or not (n := rest.count()):
@@ -243,7 +250,7 @@ def pack(cut: DataFrame, capacity: int = MAX_TOKENS, per_partition: int = PER_PA
         out = out.unionByName(p)
     # full pieces have their own number; others, below zero, round (3 bits), group (31) and bin (29)
     number = F.when(F.col("round_") == 0, F.col("bin")).otherwise(-(F.shiftleft(F.shiftleft(F.col("round_").cast("long"), 31).bitwiseOR(F.col("group")), 29).bitwiseOR(F.col("bin"))) - 1)
-    return out.select(*cut.columns, number.alias("sequence_id"), "offset")
+    return out.select(*cut.columns, number.alias("sequence_id"), "offset", "gap")
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

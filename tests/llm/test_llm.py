@@ -74,6 +74,30 @@ def test_packing_is_gapless_and_whole(docs, per_partition):
     assert len(by) <= math.ceil(sum(r.length for r in rows) / 256) + 2
 
 
+def test_copies_are_dealt_like_others(spark):
+    same = [(1, 0, 0, 10, 5)] * 3000 + [(k, 0, 0, 10, 5) for k in range(2, 3002)]
+    cut = stage(spark.createDataFrame(same, packing.PIECES).repartition(5), "same")
+    sizes = [r["count"] for r in packing.dealt(cut, 60, 1).groupBy("group").count().collect()]
+    assert len(sizes) == 60 and max(sizes) < 160 and min(sizes) > 50
+
+
+def test_open_gaps_are_reported(spark):
+    rng = random.Random(3)
+    sizes = [rng.randint(30, 70) for _ in range(900)]
+    cut = stage(spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES).repartition(3), "cut")
+    rows = packing.pack(cut, 100, 60, rounds=1).collect()
+    groups = {}
+    for r in rows:  # the group stands in the sequence's number
+        groups.setdefault((-(r.sequence_id + 1)) >> 29, []).append(r)
+    assert len(groups) == 15
+    for own in groups.values():
+        used = len({r.sequence_id for r in own})
+        assert {r.gap for r in own} == {used - packing.lower_bound(np.array([r.length for r in own]), 100)}
+    assert any(r.gap > 0 for r in rows)
+    better = packing.pack(cut, 100, 60).collect()
+    assert len({r.sequence_id for r in better}) <= len({r.sequence_id for r in rows})
+
+
 def test_packing_nothing(empty):
     assert packing.pack(stage(packing.pieces(empty), "none")).count() == 0
 

@@ -73,7 +73,7 @@ def interval_of(name: Column) -> tuple[Column, Column]:
 
 
 def interval_name(start: Column, end: Column) -> Column:
-    """segment_{start}m_to_{end}m.png with twelve significant digits, zeros cut; an exponent below 0.0001 and from 10^12 on."""
+    """segment_{start}m_to_{end}m.png with twelve significant digits, zeros cut; an exponent below 0.0001 and from 10^12 on; exact halves go up."""
 
     def short(c: Column) -> Column:
         digits = F.format_string("%.11e", c.cast("double"))

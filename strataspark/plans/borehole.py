@@ -25,6 +25,7 @@ RGB = {"red": (128, 0, 0), "green": (0, 128, 0), "yellow": (128, 128, 0), "mixed
 #: Sheets of a hole's report, columns of its metrics, and the lines of its method.
 SHEETS = {"metrics": "评价指标", "fractures": "全孔裂隙参数", "log": "标准裂隙", "method": "计算说明", "rejected": "孔段范围外裂隙"}
 METRICS = {"qpi": "QPI", "qai": "QAI", "cei": "CEI", "n_pred": "预测裂隙数", "n_ref": "标准裂隙数", "n_out_of_range": "全孔范围外预测数", "start_m": "起始深度(m)", "end_m": "终止深度(m)", "length_m": "评价长度(m)", "status": "状态"}
+LOG_COLUMNS = {"row": "源Excel行号", "depth": "深度(m)", "azimuth": "倾向(°)", "dip": "倾角(°)"}
 NO_PLANES, DONE = "无预测裂隙，三个指标为0", "已计算"
 REASON = ("筛除原因", "拟合中心不在所属孔段深度范围")
 METHOD = (
@@ -294,7 +295,7 @@ def report(fractures: DataFrame, rejected: DataFrame, metrics: DataFrame, log: D
     out = {
         SHEETS["metrics"]: (labelled, []),
         SHEETS["fractures"]: (_parameters(fractures), [number]),
-        SHEETS["log"]: (log.select("row", "depth", "azimuth", "dip"), ["row"]),
+        SHEETS["log"]: (log.select(*(F.col(c).alias(label) for c, label in LOG_COLUMNS.items())), [LOG_COLUMNS["row"]]),
         SHEETS["method"]: (method, ["place"]),
     }
     return out if not n else out | {SHEETS["rejected"]: (_parameters(rejected, {REASON[0]: F.lit(REASON[1])}), [number])}

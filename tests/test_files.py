@@ -29,6 +29,12 @@ def test_names_of_intervals(spark, start):
     assert spark.range(1).select(*logs.interval_of(F.lit(name))).first()[0] == float(f"{start:.12g}")
 
 
+@pytest.mark.parametrize("start", [1e-7, 2.5e-5, 3e15, 123456789012.3, 1234567890123.0])
+def test_names_with_exponents(spark, start):
+    name = spark.range(1).select(logs.interval_name(F.lit(start), F.lit(start * 2))).first()[0]
+    assert name == f"segment_{start:.12g}m_to_{start * 2:.12g}m.png"
+
+
 def test_parameter_table(spark):
     values = dict.fromkeys(logs.LABELS, 1.0) | {"fractype": "odd", "hole": 7, "segment_name": "s"}
     del values["number"], values["type_name"]

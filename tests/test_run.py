@@ -4,11 +4,9 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from strataspark.operators import recognition
 from strataspark.plans import borehole
-from strataspark.sources import images, png, xlsx
+from strataspark.sources import png, xlsx
 
 WIDTH, LENGTH, DIAMETER = 120, 1.2, 76.0
 ROWS = math.ceil(LENGTH * 1000 * WIDTH / (math.pi * DIAMETER))
@@ -104,6 +102,7 @@ def test_from_frames_to_a_report(spark, frames, log_rows, tmp_path):
     assert rows[book, borehole.SHEETS["metrics"]][1] == list(borehole.METRICS.values())
     method = rows[book, borehole.SHEETS["method"]]
     assert len(method) == 12 and method[2][-2:] == ["标准来源", "log.xlsx"] and method[11][-1] == "0"
+    assert rows[book, borehole.SHEETS["log"]][1] == ["源Excel行号", "深度(m)", "倾向(°)", "倾角(°)"] and len(rows[book, borehole.SHEETS["log"]]) == 3
     assert len(rows[book, borehole.SHEETS["fractures"]]) == 3 and rows[f"{stem}-fracture_parameters.xlsx", "裂隙参数"][2][:3] == ["1", "充填", "filled"]
     with pytest.raises(FileExistsError):
         borehole.run_hole(frames, log_rows, by_colour(), {1: "filled", 2: "unfilled"}, out, length_m=LENGTH, start_depth_m=20.0)
@@ -141,4 +140,3 @@ def test_squares_and_back():
     found = recognition.by_squares(shares, 64)([image, image[:20]])
     assert [f.shape for f in found] == [(30, 60), (20, 60)]
     assert (found[0][:, :27] == 0).all() and (found[0][:, 33:] == 1).all()
-    assert images.SUFFIXES[0] == "png" and F is not None

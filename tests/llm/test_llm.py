@@ -83,7 +83,7 @@ def test_copies_are_dealt_like_others(spark):
 
 def test_open_gaps_are_reported(spark):
     rng = random.Random(3)
-    sizes = [rng.randint(30, 70) for _ in range(900)]
+    sizes = [rng.randint(26, 51) for _ in range(900)]
     cut = stage(spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES).repartition(3), "cut")
     rows = packing.pack(cut, 100, 60, rounds=1).collect()
     groups = {}

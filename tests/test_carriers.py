@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from strataspark.plans import audits, carriers, shapes  # noqa: F401
+from strataspark.plans import audits, carriers, files, shapes  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

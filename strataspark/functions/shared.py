@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that the open scratches have held, the innermost last.
+_SCRATCHES: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one is made only where the session names none."""
+    """spark.checkpoint.dir; where the session names none, a local one is made, but only for a master on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -23,5 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 def held(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if _SCRATCHES:
+        _SCRATCHES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are held within when it ends; results must have been written elsewhere by then."""
+    _SCRATCHES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCHES.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -101,6 +101,40 @@ def tables_by_interval(rows: DataFrame, sheet: str | None = None) -> DataFrame:
     return out.orderBy(F.col("start_m").asc_nulls_last(), "end_m", "name", "row")
 
 
+#: The columns of a table of all segments' fractures, by the keys of LABELS.
+SUMMARY = {
+    "number": "fracture_id",
+    "type_name": "fracture_type_label",
+    "fractype": "fracture_type",
+    "depth_m": "depth_m",
+    "aperture_mm": "aperture_mm",
+    "trace_mm": "trace_length_mm",
+    "flaw_mm2": "aperture_trace_product_mm2",
+    "dip_direction_deg": "dip_direction_deg",
+    "dip_angle_deg": "dip_angle_deg",
+    "normal_x": "normal_x",
+    "normal_y": "normal_y",
+    "normal_z": "normal_z",
+    "n_px": "skeleton_pixel_count",
+}
+
+
+def all_segments(rows: DataFrame) -> DataFrame:
+    """Fractures of all parameter tables among workbooks' rows (path, sheet, row, cells), with workbook and interval, in order of the interval.
+
+    A workbook whose name has no interval, or whose sheet lacks a column, stops the job; one without fractures adds none.
+    """
+    heads = rows.where((F.col("sheet") == SHEET) & (F.col("row") == 1))
+    start, _ = interval_of(F.element_at(F.split("path", "/"), -1))
+    lacking = F.array_except(F.array(*(F.lit(v) for v in LABELS.values())), "cells")
+    wrong = heads.select("path", F.when(start.isNull(), F.lit("no interval in its name")).when(F.size(lacking) > 0, F.concat(F.lit("no columns "), F.array_join(lacking, ", "))).alias("problem")).where("problem is not null").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['path']}: {wrong[0]['problem']}")
+    kind = {"number": "long", "n_px": "long", "type_name": "string", "fractype": "string"}
+    values = [F.try_element_at("values", F.lit(LABELS[k])).cast(kind.get(k, "double")).alias(v) for k, v in SUMMARY.items()]
+    return tables_by_interval(rows, SHEET).select(F.col("name").alias("source_workbook"), F.col("start_m").alias("segment_start_m"), F.col("end_m").alias("segment_end_m"), *values)
+
+
 def parameter_table(fractures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys and the labelled columns of fractures, numbered from 1 by order within keys.
 

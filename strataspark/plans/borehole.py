@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions.geometry import CLASSES, orientation_of
 from strataspark.functions.shared import held
-from strataspark.operators import aperture, branches, evaluation, logs, mosaic, paths, planes, raster, recognition, reconnect, tables
+from strataspark.operators import aperture, audits, branches, evaluation, logs, mosaic, paths, planes, raster, recognition, reconnect, tables
 from strataspark.sources import folder as files
 from strataspark.sources import png, xlsx
 
@@ -299,3 +299,19 @@ def report(fractures: DataFrame, rejected: DataFrame, metrics: DataFrame, log: D
         SHEETS["method"]: (method, ["place"]),
     }
     return out if not n else out | {SHEETS["rejected"]: (_parameters(rejected, {REASON[0]: F.lit(REASON[1])}), [number])}
+
+
+def summarise(tables_folder: str, out: str, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Unites the parameter workbooks of a folder, and writes all fractures and a row for each type as CSV under `out`.
+
+    Returns both tables. FileNotFoundError where the folder has no parameter table.
+    """
+    rows = held(xlsx.scan(spark, tables_folder), "workbooks")
+    if rows.where(F.col("sheet") == logs.SHEET).isEmpty():
+        raise FileNotFoundError(f"no parameter tables in {tables_folder}")
+    whole = held(logs.all_segments(rows), "whole")
+    means = {"mean_aperture_mm": "aperture_mm", "mean_trace_length_mm": "trace_length_mm"}
+    kinds = tables.type_summary(whole, "fracture_type", "fracture_id", means)
+    audits.write_csv(whole.orderBy("segment_start_m", "fracture_id"), f"{out.rstrip('/')}/all_segment_fractures")
+    audits.write_csv(kinds.orderBy("fracture_type"), f"{out.rstrip('/')}/fracture_type_summary")
+    return whole, kinds

@@ -39,6 +39,19 @@ def ray_contacts(t):
     return aperture.ray_widths(samples, mask).select("id", F.round("width_mm", 6).alias("width_mm"))
 
 
+@query("""with c as (select c_custkey as segment_id, c_custkey % 3 + 1 as n from customer), r as (select segment_id, n, unnest(range(n)) as k from c)
+select segment_id, 2 * n as n_contours, 1::bigint as n_top, n - 1 as n_nested, sum(8 * (2 * k + 1) * (2 * k + 1) - 2)::double as area from r group by segment_id, n""")
+def contour_tree(t):
+    """Up to three square rings in each other for each customer: all contours, and each ring inside the hole of the next."""
+    rings = t("customer").select(F.col("c_custkey").alias("segment_id"), F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int"))).alias("k"))
+    side = F.explode(F.sequence(-2 * F.col("k") - 1, 2 * F.col("k") + 1))
+    square = rings.withColumn("y", side).withColumn("x", side).where(F.greatest(F.abs("y"), F.abs("x")) == 2 * F.col("k") + 1)
+    found = held(contours.contours(square.select("segment_id", "y", "x")), "found")
+    tree = contours.hierarchy(found)
+    nested = ~F.col("hole") & (F.col("parent.root_y") == F.col("root_y") - 2) & (F.col("parent.contour") > 0)
+    return tree.groupBy("segment_id").agg(F.count("*").alias("n_contours"), F.count_if(F.col("parent").isNull()).alias("n_top"), F.count_if(nested).alias("n_nested"), F.sum("area").alias("area"))
+
+
 @query("""with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
 p as (select doc_id, octet_length(b) as n, hex(b) || repeat('20', (case when octet_length(b) = 0 then 64 else (64 - octet_length(b) % 64) % 64 end)::int) as h from d)
 select doc_id, greatest(1, ceil(n / 64.0))::int as height, 16::int as width, sha256(regexp_replace(h, '(..)(..)(..)..', '\\3\\2\\1', 'g')) as pixels from p""")

@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
-from strataspark.operators import recognition
+from pyspark.sql import functions as F
+from strataspark.functions.shared import held, scratch
+from strataspark.operators import logs, recognition
 from strataspark.plans import borehole
 from strataspark.sources import png, xlsx
 
@@ -104,6 +106,16 @@ def test_from_frames_to_a_report(spark, frames, log_rows, tmp_path):
     assert len(method) == 12 and method[2][-2:] == ["标准来源", "log.xlsx"] and method[11][-1] == "0"
     assert rows[book, borehole.SHEETS["log"]][1] == ["源Excel行号", "深度(m)", "倾向(°)", "倾角(°)"] and len(rows[book, borehole.SHEETS["log"]]) == 3
     assert len(rows[book, borehole.SHEETS["fractures"]]) == 3 and rows[f"{stem}-fracture_parameters.xlsx", "裂隙参数"][2][:3] == ["1", "充填", "filled"]
+    whole, kinds = borehole.summarise(f"file://{tmp_path}/run/result", f"file://{tmp_path}/csv", spark)
+    united = whole.collect()
+    assert [(r.source_workbook, r.segment_start_m, r.segment_end_m, r.fracture_id, r.fracture_type) for r in united] == [(f"{stem}-fracture_parameters.xlsx", 20.0, 21.2, k, t) for k, t in ((1, "filled"), (2, "unfilled"))]
+    assert [r.depth_m for r in united] == [pytest.approx(r.depth_m) for r in found] and len(united[0]) == 16
+    csv = spark.read.option("header", True).csv(f"file://{tmp_path}/csv/fracture_type_summary").collect()
+    assert [(r.fracture_type, r.fracture_count) for r in csv] == [("filled", "1"), ("unfilled", "1")] and len(kinds.columns) == 4
+    with pytest.raises(ValueError):
+        logs.all_segments(xlsx.scan(spark, f"file://{tmp_path}/run/result").withColumn("path", F.lit("x/none.xlsx"))).count()
+    with pytest.raises(FileNotFoundError):
+        borehole.summarise(f"file://{tmp_path}/run/recognize", f"file://{tmp_path}/none", spark)
     with pytest.raises(FileExistsError):
         borehole.run_hole(frames, log_rows, by_colour(), {1: "filled", 2: "unfilled"}, out, length_m=LENGTH, start_depth_m=20.0)
     with pytest.raises(ValueError):
@@ -140,3 +152,13 @@ def test_squares_and_back():
     found = recognition.by_squares(shares, 64)([image, image[:20]])
     assert [f.shape for f in found] == [(30, 60), (20, 60)]
     assert (found[0][:, :27] == 0).all() and (found[0][:, 33:] == 1).all()
+
+
+def test_scratch_goes_with_what_it_held(spark):
+    with scratch(spark):
+        inner = held(spark.range(5), "inner")
+        kept = inner.count()
+    outer = held(spark.range(3), "outer")
+    assert kept == 5 and outer.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(*inner.inputFiles())

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+
 from strataspark.functions.shared import held, scratch
 from strataspark.operators import logs, recognition
 from strataspark.plans import borehole

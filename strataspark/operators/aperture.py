@@ -21,20 +21,41 @@ def contour_edges(found: DataFrame, least_area: float = 0.0) -> DataFrame:
     return pairs.select("segment_id", "contour_id", *(F.col(f"e.{p}.{c}").cast("double").alias(f"{p}{c}") for p in "ab" for c in "yx"))
 
 
-def _crossings(at: str, step: str, reach: float) -> Column:
-    """Where a ray crosses the borders of cells in one direction."""
-    ends = [F.col(at) - reach * F.abs(step), F.col(at) + reach * F.abs(step)]
-    borders = F.sequence(F.ceil(ends[0] / CELL), F.greatest(F.ceil(ends[0] / CELL), F.floor(ends[1] / CELL)))
-    return F.when(F.abs(step) > 1e-12, F.transform(borders, lambda k: (k * CELL - F.col(at)) / F.col(step))).otherwise(F.array().cast("array<double>"))
+def _crossings(at: str, step: str, low: Column, high: Column) -> Column:
+    """Where a ray crosses the borders of cells in one direction, between two places."""
+    ends = [F.col(at) + low * F.col(step), F.col(at) + high * F.col(step)]
+    first, last = F.ceil(F.least(*ends) / CELL), F.floor(F.greatest(*ends) / CELL)
+    crossed = F.transform(F.sequence(first, last), lambda k: (k * CELL - F.col(at)) / F.col(step))
+    return F.when((F.abs(step) > 1e-12) & (first <= last), crossed).otherwise(F.array().cast("array<double>"))
 
 
 def ray_cells(rays: DataFrame, reach: float) -> DataFrame:
-    """rays (y, x, dy, dx) with each cell (cy, cx) that they pass, from border to border."""
-    ends = F.array(F.lit(-float(reach)), F.lit(float(reach)))
-    stops = F.sort_array(F.concat(ends, _crossings("y", "dy", reach), _crossings("x", "dx", reach)))
+    """rays (y, x, dy, dx) with each cell (cy, cx) that they pass, from border to border.
+
+    Rays that have columns low and high are followed between these places only.
+    """
+    low, high = (F.col(c) if c in rays.columns else F.lit(v) for c, v in (("low", -float(reach)), ("high", float(reach))))
+    stops = F.sort_array(F.concat(F.array(low, high), _crossings("y", "dy", low, high), _crossings("x", "dx", low, high)))
     middle = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda k: (F.element_at("stops", k) + F.element_at("stops", k + 1)) / 2)
     cell = F.transform(middle, lambda t: F.struct(F.floor((F.col("y") + t * F.col("dy")) / CELL).alias("cy"), F.floor((F.col("x") + t * F.col("dx")) / CELL).alias("cx")))
-    return rays.withColumn("stops", stops).withColumn("c", F.explode(F.array_distinct(cell))).withColumn("cy", F.col("c.cy")).withColumn("cx", F.col("c.cx")).drop("stops", "c")
+    return rays.withColumn("stops", stops).withColumn("c", F.explode(F.array_distinct(cell))).withColumn("cy", F.col("c.cy")).withColumn("cx", F.col("c.cx")).drop("stops", "c", "low", "high")
+
+
+def within_bounds(rays: DataFrame, bounds: DataFrame, reach: float) -> DataFrame:
+    """rays (segment_id, y, x, dy, dx) that pass the rectangle of their segment (y0, y1, x0, x1), with the places low and high between which they do.
+
+    The rectangle is taken a pixel larger on all sides, so that rounding loses nothing.
+    """
+    met = rays.join(bounds.hint("merge"), "segment_id")
+    low, high, hits = [F.lit(-float(reach))], [F.lit(float(reach))], F.lit(True)
+    for c in "yx":
+        ends = [(F.col(f"{c}0") - 1 - F.col(c)) / F.col(f"d{c}"), (F.col(f"{c}1") + 1 - F.col(c)) / F.col(f"d{c}")]
+        moves = F.abs(f"d{c}") > 1e-12
+        low.append(F.when(moves, F.least(*ends)).otherwise(-float(reach)))
+        high.append(F.when(moves, F.greatest(*ends)).otherwise(float(reach)))
+        hits &= moves | F.col(c).between(F.col(f"{c}0") - 1, F.col(f"{c}1") + 1)
+    met = met.withColumns({"low": F.greatest(*low), "high": F.least(*high)}).where(hits & (F.col("low") <= F.col("high")))
+    return met.drop("y0", "y1", "x0", "x1")
 
 
 def edge_cells(edges: DataFrame) -> DataFrame:
@@ -48,12 +69,15 @@ def ray_hits(samples: DataFrame, edges: DataFrame, reach: float = 1000) -> DataF
 
     Places are distances along the normal, within `reach` on either side. Only contours that are met in two or more points count, and
     none of which an edge lies on the line: a lone point or a common stretch tells no width. Lines and edges meet
-    through the cells that both touch, so pairs are made along a ray only.
+    through the cells that both touch, so pairs are made along a ray only, and only where the segment has edges. Neither
+    side is sent whole to the driver: tables of few bytes on disk become many rows here.
     """
     dy, dx = F.sin(F.radians("normal_deg")), F.cos(F.radians("normal_deg"))
     exact = lambda c: F.when(F.abs(c) < 1e-15, 0.0).otherwise(c)
     rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), exact(dy).alias("dy"), exact(dx).alias("dx"))
-    met = ray_cells(rays, reach).join(edge_cells(edges), ["segment_id", "cy", "cx"])
+    # the corners of a closed polygon are the beginnings of its edges
+    bounds = edges.groupBy("segment_id").agg(*(f(f"a{c}").alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))))
+    met = ray_cells(within_bounds(rays, bounds, reach), reach).join(edge_cells(edges).hint("merge"), ["segment_id", "cy", "cx"])
     ey, ex = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
     det = F.col("dx") * ey - F.col("dy") * ex
     gy, gx = F.col("ay") - F.col("y"), F.col("ax") - F.col("x")

@@ -26,3 +26,54 @@ def test_rays_are_neither_broadcast_nor_followed_beyond_the_edges(spark):
     inside = aperture.ray_cells(aperture.within_bounds(rays, bounds, 1000), 1000)
     assert inside.groupBy("segment_id").count().count() == 2
     assert inside.where("cy not between -1 and 0 or cx not between -1 and 0").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_groups_stay_whole_across_batches(monkeypatch, rows):
+    monkeypatch.setattr(groups, "ROWS", rows)
+    sizes = [1, 3, 2, 40, 1, 1, 9]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table({"a": pa.array([None if k == 0 else str(k) for k in keys]), "b": keys, "v": np.arange(len(keys))})
+    got = list(groups.whole_groups(table.to_batches(max_chunksize=5), ["a", "b"]))
+    assert pa.concat_tables([t for t, _ in got]).equals(table)
+    for t, starts in got:
+        b = t["b"].to_numpy()
+        assert len(starts) == len(set(b.tolist())) and [int(v) for v in b[starts]] == sorted(set(b.tolist()))
+    assert sum(len(starts) for _, starts in got) == len(sizes)
+
+
+@pytest.fixture(scope="module")
+def tall():
+    """Masks that cross the border of two bands, and one that doesn't."""
+    rng = np.random.default_rng(3)
+    out = [rng.random((48, 30)) < 0.5, rng.random((40, 24)) < 0.6, np.zeros((40, 20), bool)]
+    out[2][2:38, 4:16] = True
+    out[2][6:34, 7:13] = False
+    return out
+
+
+def moved(spark, masks, by):
+    return pixels(spark, masks).withColumn("y", F.col("y") + by)
+
+
+def collected(df, by):
+    return sorted(tuple(tuple(sorted((p.y - by, p.x) for p in v)) if isinstance(v, list) else v for v in r) for r in df.collect())
+
+
+def test_branches_are_the_same_wherever_bands_end(spark, tall):
+    made = []
+    for by in (0, raster.BAND - 20):
+        df = moved(spark, tall, by)
+        paths = branches.branch_paths(raster.skeletonize(df))
+        made.append(sorted((r.segment_id, r.root_y - by, r.root_x, r.branch_type, r.n_px, r.pos, r.y - by, r.x, r.joint) for r in paths.collect()))
+    assert made[0] == made[1] and made[0]
+
+
+def test_nodes_and_paths_are_dealt_once_a_pixel(spark, tall):
+    skeleton = raster.skeletonize(pixels(spark, tall))
+    n = skeleton.count()
+    coded = raster.in_bands(skeleton, ["segment_id"], 1, lambda p, own: {"of": np.arange(p.n), "y": p.y}, "y int")
+    assert coded.count() <= 1.2 * n
+    assert raster.ring_code(skeleton, ["segment_id"]).count() == n
+    # no aggregate over nine rows a pixel
+    assert "Aggregate" not in plan_of(raster.ring_code(skeleton, ["segment_id"]))

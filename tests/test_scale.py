@@ -77,3 +77,11 @@ def test_nodes_and_paths_are_dealt_once_a_pixel(spark, tall):
     assert raster.ring_code(skeleton, ["segment_id"]).count() == n
     # no aggregate over nine rows a pixel
     assert "Aggregate" not in plan_of(raster.ring_code(skeleton, ["segment_id"]))
+
+
+def test_pruning_is_the_same_wherever_bands_end(spark, tall):
+    made = []
+    for by in (0, raster.BAND - 20):
+        kept = raster.prune_spurs(raster.skeletonize(moved(spark, tall, by)), 4).collect()
+        made.append(sorted((r.segment_id, r.y - by, r.x) for r in kept))
+    assert made[0] == made[1] and made[0]

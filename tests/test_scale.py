@@ -85,3 +85,13 @@ def test_pruning_is_the_same_wherever_bands_end(spark, tall):
         kept = raster.prune_spurs(raster.skeletonize(moved(spark, tall, by)), 4).collect()
         made.append(sorted((r.segment_id, r.y - by, r.x) for r in kept))
     assert made[0] == made[1] and made[0]
+
+
+def test_small_components_are_followed_together(spark):
+    """No group, and no aggregate that puts an outline together, for each component."""
+    plan = plan_of(raster.in_bands(pixels(spark, [np.ones((2, 2), bool)]), ["segment_id"], 1, lambda p, own: {"of": np.arange(p.n), "y": p.y}, "y int"))
+    assert "FlatMapGroups" not in plan and "Aggregate" not in plan
+    p = raster.Pixels(np.repeat(np.arange(3000), 4), np.tile([0, 0, 1, 1], 3000), np.tile([0, 1, 0, 1], 3000))
+    got = contours.borders(p, np.repeat(np.arange(0, 12000, 4), 4), p.ring())
+    assert len(got["of"]) == 3000 and set(got["area"].tolist()) == {1.0}
+    assert got["path"][2999].as_py() == [{"y": 0, "x": 0}, {"y": 0, "x": 1}, {"y": 1, "x": 1}, {"y": 1, "x": 0}]

@@ -122,10 +122,10 @@ def painted(points: DataFrame, keys: list[str], order: str, colour: str, height:
     """
     inside = points.where(F.col("row").between(0, height - 1) & F.col("column").between(0, width - 1))
     ahead = STAMP - BORDER - 1
-    spans = inside.select(*keys, order, colour, "row", F.explode(F.sequence(F.greatest(F.col("column") - BORDER, F.lit(0)), F.least(F.col("column") + ahead, F.lit(width - 1)))).alias("x"))
-    # a column's rows of one plane, at most `height`, are put together before they become pixels
-    reach = lambda r: F.sequence(F.greatest(r - BORDER, F.lit(0)), F.least(r + ahead, F.lit(height - 1)))
-    columns = spans.groupBy(*keys, order, colour, "x").agg(F.collect_set("row").alias("rows_"))
-    dots = columns.select(*keys, order, colour, "x", F.explode(F.array_distinct(F.flatten(F.transform("rows_", reach)))).alias("y"))
-    top = dots.groupBy(*keys, "y", "x").agg(F.max(F.struct(order, colour)).alias("top_"))
+    reach = lambda c, size: F.explode(F.sequence(F.greatest(F.col(c) - BORDER, F.lit(0)), F.least(F.col(c) + ahead, F.lit(size - 1))))
+    # the last plane wins a place whatever way it is covered, so it is asked for points, then along rows, then along columns
+    last = lambda df, *at: df.groupBy(*keys, *at).agg(F.max("top_").alias("top_"))
+    centres = last(inside.select(*keys, "row", "column", F.struct(order, colour).alias("top_")), "row", "column")
+    across = last(centres.select(*keys, "row", reach("column", width).alias("x"), "top_"), "row", "x")
+    top = last(across.select(*keys, reach("row", height).alias("y"), "x", "top_"), "y", "x")
     return top.select(*keys, "y", "x", F.col(f"top_.{colour}").alias(colour))

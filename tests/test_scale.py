@@ -1,0 +1,120 @@
+"""Steps whose work must grow no faster than their input: no copies sent whole, few rows shuffled, many groups at once."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from strataspark.functions import groups
+from strataspark.operators import aperture, branches, contours, mosaic, raster
+
+from test_contours import pixels
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rays_are_neither_broadcast_nor_followed_beyond_the_edges(spark):
+    found = contours.contours(pixels(spark, [np.ones((3, 3), bool)] * 3))
+    samples = spark.createDataFrame([(k, k, 1, 1, 90.0 * k + 10) for k in range(3)], "segment_id int, id long, y int, x int, normal_deg double")
+    hits = aperture.ray_hits(samples, aperture.contour_edges(found), 1000)
+    assert hits.count() == 3
+    assert "Broadcast" not in plan_of(hits)
+    rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.sin(F.radians("normal_deg")).alias("dy"), F.cos(F.radians("normal_deg")).alias("dx"))
+    bounds = spark.createDataFrame([(k, 0, 2, 0, 2) for k in range(2)], "segment_id int, y0 int, y1 int, x0 int, x1 int")
+    inside = aperture.ray_cells(aperture.within_bounds(rays, bounds, 1000), 1000)
+    assert inside.groupBy("segment_id").count().count() == 2
+    assert inside.where("cy not between -1 and 0 or cx not between -1 and 0").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_groups_stay_whole_across_batches(monkeypatch, rows):
+    monkeypatch.setattr(groups, "ROWS", rows)
+    sizes = [1, 3, 2, 40, 1, 1, 9]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table({"a": pa.array([None if k == 0 else str(k) for k in keys]), "b": keys, "v": np.arange(len(keys))})
+    got = list(groups.whole_groups(table.to_batches(max_chunksize=5), ["a", "b"]))
+    assert pa.concat_tables([t for t, _ in got]).equals(table)
+    for t, starts in got:
+        b = t["b"].to_numpy()
+        assert len(starts) == len(set(b.tolist())) and [int(v) for v in b[starts]] == sorted(set(b.tolist()))
+    assert sum(len(starts) for _, starts in got) == len(sizes)
+
+
+@pytest.fixture(scope="module")
+def tall():
+    """Masks that cross the border of two bands, and one that doesn't."""
+    rng = np.random.default_rng(3)
+    out = [rng.random((48, 30)) < 0.5, rng.random((40, 24)) < 0.6, np.zeros((40, 20), bool)]
+    out[2][2:38, 4:16] = True
+    out[2][6:34, 7:13] = False
+    return out
+
+
+def moved(spark, masks, by):
+    return pixels(spark, masks).withColumn("y", F.col("y") + by)
+
+
+def collected(df, by):
+    return sorted(tuple(tuple(sorted((p.y - by, p.x) for p in v)) if isinstance(v, list) else v for v in r) for r in df.collect())
+
+
+def test_branches_are_the_same_wherever_bands_end(spark, tall):
+    made = []
+    for by in (0, raster.BAND - 20):
+        df = moved(spark, tall, by)
+        paths = branches.branch_paths(raster.skeletonize(df))
+        made.append(sorted((r.segment_id, r.root_y - by, r.root_x, r.branch_type, r.n_px, r.pos, r.y - by, r.x, r.joint) for r in paths.collect()))
+    assert made[0] == made[1] and made[0]
+
+
+def test_nodes_and_paths_are_dealt_once_a_pixel(spark, tall):
+    skeleton = raster.skeletonize(pixels(spark, tall))
+    n = skeleton.count()
+    coded = raster.in_bands(skeleton, ["segment_id"], 1, lambda p, own: {"of": np.arange(p.n), "y": p.y}, "y int")
+    assert coded.count() <= 1.2 * n
+    assert raster.ring_code(skeleton, ["segment_id"]).count() == n
+    # no aggregate over nine rows a pixel
+    assert "Aggregate" not in plan_of(raster.ring_code(skeleton, ["segment_id"]))
+
+
+def test_contours_are_the_same_wherever_bands_end(spark, tall):
+    made = []
+    for by in (0, raster.BAND - 20):
+        found = contours.contours(moved(spark, tall, by))
+        made.append(collected(found.withColumn("root_y", F.col("root_y") - by), by))
+    assert made[0] == made[1] and made[0]
+
+
+def test_small_components_are_followed_together(spark):
+    """No group, and no aggregate that puts an outline together, for each component."""
+    plan = plan_of(raster.in_bands(pixels(spark, [np.ones((2, 2), bool)]), ["segment_id"], 1, lambda p, own: {"of": np.arange(p.n), "y": p.y}, "y int"))
+    assert "FlatMapGroups" not in plan and "Aggregate" not in plan
+    p = raster.Pixels(np.repeat(np.arange(3000), 4), np.tile([0, 0, 1, 1], 3000), np.tile([0, 1, 0, 1], 3000))
+    got = contours.borders(p, np.repeat(np.arange(0, 12000, 4), 4), p.ring())
+    assert len(got["of"]) == 3000 and set(got["area"].tolist()) == {1.0}
+    assert got["path"][2999].as_py() == [{"y": 0, "x": 0}, {"y": 0, "x": 1}, {"y": 1, "x": 1}, {"y": 1, "x": 0}]
+
+
+def test_pruning_is_the_same_wherever_bands_end(spark, tall):
+    made = []
+    for by in (0, raster.BAND - 20):
+        kept = raster.prune_spurs(raster.skeletonize(moved(spark, tall, by)), 4).collect()
+        made.append(sorted((r.segment_id, r.y - by, r.x) for r in kept))
+    assert made[0] == made[1] and made[0]
+
+
+def test_painting_does_not_keep_planes_apart(spark):
+    rows = [(0, k, k, y, x) for k in range(200) for y, x in ((5, 5), (k % 3 + 20, 7))]
+    points = spark.createDataFrame(rows, "segment_id int, plane int, paint int, row int, column int")
+    done = mosaic.painted(points, ["segment_id"], "plane", "paint", 64, 64)
+    # many planes at one place are one row before they become pixels
+    assert "rows_" not in plan_of(done) and "collect_set" not in plan_of(done)
+    got = {(r.y, r.x): r.paint for r in done.collect()}
+    expected = {}
+    for _, plane, _, row, column in rows:
+        for y in range(max(0, row - 3), min(64, row + 27)):
+            for x in range(max(0, column - 3), min(64, column + 27)):
+                expected[y, x] = max(plane, expected.get((y, x), -1))
+    assert got == expected

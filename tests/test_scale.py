@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import groups
 from strataspark.operators import aperture, branches, contours, mosaic, raster
+from strataspark.sources import png
 
 from test_contours import pixels
 
@@ -126,3 +127,11 @@ def test_masks_meet_without_a_table_of_their_pixels(spark):
     both = raster.masks_together(a.union(a), b.union(b))
     assert "HashAggregate" not in plan_of(both) and plan_of(both).count("Exchange hashpartitioning") == 1
     assert sorted(both.where("segment_id = 1").drop("segment_id").collect()) == sorted([(k, k, True, k == 2) for k in range(5)] + [(k, 2, False, True) for k in range(5) if k != 2])
+
+
+def test_pixels_of_an_image_are_dealt_once(spark):
+    rows = [(k, y, y % 3, c, 9 - c, 5) for k in range(3) for y in range(4) for c in (1, 7, 4)]
+    made = png.render(spark.createDataFrame(rows, "segment_id int, y int, x int, r int, g int, b int"), 4, 3)
+    assert plan_of(made).count("Exchange hashpartitioning") == 1
+    got = sorted(tuple(r) for r in png.foreground(made).collect())
+    assert got == [(k, y, y % 3, 7, 2, 5) for k in range(3) for y in range(4)]

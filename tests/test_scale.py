@@ -135,3 +135,25 @@ def test_pixels_of_an_image_are_dealt_once(spark):
     assert plan_of(made).count("Exchange hashpartitioning") == 1
     got = sorted(tuple(r) for r in png.foreground(made).collect())
     assert got == [(k, y, y % 3, 7, 2, 5) for k in range(3) for y in range(4)]
+
+
+def test_few_candidates_of_a_cluster_are_decomposed(monkeypatch):
+    rng = np.random.default_rng(5)
+    left = [(k, "filled", rng.uniform(0, 250) + np.arange(n) * rng.uniform(-1, 1), (rng.uniform(0, 250) + np.arange(n)) % 256) for k, n in enumerate(rng.integers(8, 30, 200))]
+    seen, spread = [0, 0], branches._least_spread
+    screen = branches._may_spread_less
+
+    def counted(moments):
+        seen[0] += len(moments)
+        return spread(moments)
+
+    def all_of(moments, bound):
+        seen[1] += len(moments)
+        return screen(moments, bound)
+
+    monkeypatch.setattr(branches, "_least_spread", counted)
+    monkeypatch.setattr(branches, "_may_spread_less", all_of)
+    got = branches.greedy_clusters(left, 64, 1.7, 1.5)
+    assert seen[0] < seen[1] / 5
+    monkeypatch.setattr(branches, "_may_spread_less", lambda moments, bound: np.arange(len(moments)))
+    assert got == branches.greedy_clusters(left, 64, 1.7, 1.5)

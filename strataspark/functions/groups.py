@@ -19,8 +19,13 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     """Places where another group begins."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
-    for k in keys:
-        code = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    columns = [table[k].combine_chunks() for k in keys]
+    while columns:
+        column = columns.pop()
+        if pa.types.is_struct(column.type):
+            columns += column.flatten()
+            continue
+        code = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= code[1:] != code[:-1]
     return np.flatnonzero(new)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.functions.groups import by_groups
 from strataspark.functions.shared import held
 
 
@@ -112,17 +115,55 @@ def _cell(dimensions: int, up: int) -> list[Column]:
     return [F.when(F.col("span_") > 0, F.floor(F.col(f"off{i}_") / size)).otherwise(0).cast("long").alias(f"cell{i}_") for i in range(dimensions)]
 
 
+#: Points of a group that are all held against each other.
+SMALL = 1024
+
+
+def _nearest_of_small(points: DataFrame, asked: DataFrame | None, group: str, identity: str, coordinates: list[str], k: int) -> DataFrame:
+    """nearest for groups of up to SMALL points: dealt once by group, each group's distances in one go."""
+    types, every = dict(points.dtypes), asked is None
+    rows = points.withColumn("asked_", F.lit(True)) if every else points.withColumn("asked_", F.lit(False)).unionByName(asked.withColumn("asked_", F.lit(True)))
+
+    def run(table: pa.Table, starts: np.ndarray) -> dict:
+        places, asks = [table[c].to_numpy() for c in coordinates], table["asked_"].to_numpy()
+        of, to, rank, far = [], [], [], []
+        for a, b in zip(starts, np.append(starts[1:], len(asks)), strict=True):
+            q = a + np.flatnonzero(asks[a:b])
+            c = np.arange(a, b) if every else a + np.flatnonzero(~asks[a:b])
+            d = np.zeros((len(q), len(c)))
+            for p in places:
+                d += (p[q][:, None] - p[c]) ** 2
+            # rows come by identity, so of equal distances the first counts
+            first = np.argsort(d, axis=1, kind="stable")[:, :k]
+            of.append(np.repeat(q, first.shape[1]))
+            to.append(c[first].ravel())
+            rank.append(np.tile(np.arange(1, first.shape[1] + 1), len(q)))
+            far.append(np.take_along_axis(d, first, 1).ravel())
+        of, to, rank, far = map(np.concatenate, (of, to, rank, far))
+        take = lambda c, at: table[c].combine_chunks().take(pa.array(at))
+        return {group: take(group, of), identity: take(identity, of), "neighbour": take(identity, to), "rank": rank, "distance2": far}
+
+    return by_groups(rows, [group], run, f"`{group}` {types[group]}, `{identity}` {types[identity]}, neighbour {types[identity]}, rank int, distance2 double", [identity])
+
+
 def nearest(points: DataFrame, group: str, identity: str, coordinates: list[str], k: int = 4, of: DataFrame | None = None) -> DataFrame:
     """The k nearest points (with itself) of each point within its group, by squared distance, then id.
 
-    of: the points to search for, all by default. Points with a null coordinate are left out. Equal positions are searched once. A
+    of: the points to search for, all by default. Points with a null coordinate are left out. Groups of up to SMALL points are
+    dealt once; the others go through a grid, where equal positions are searched once. A
     round looks into the cells around a position's own; what lies further is at least a cell's side away, so
     a position is done when its k-th distance is less, and goes on with cells of twice the side if not, until they
     span the group. So a position meets about as many others as a few cells hold, however large its group is.
     """
     on, d = [group, *coordinates], len(coordinates)
     known = lambda df: df.select(group, identity, *(F.col(c).cast("double").alias(c) for c in coordinates)).dropna(subset=coordinates)
-    points, of = known(points), known(points if of is None else of)
+    points, asked = known(points), None if of is None else known(of)
+    large = held(points.groupBy(group).agg(F.count("*").alias("n_")).where(F.col("n_") > SMALL).select(group), "large")
+    if large.isEmpty():
+        return _nearest_of_small(points, asked, group, identity, coordinates, k)
+    part = lambda df, how: df.join(large, group, how)
+    small = _nearest_of_small(part(points, "left_anti"), None if asked is None else part(asked, "left_anti"), group, identity, coordinates, k)
+    points, of = part(points, "left_semi"), part(points if asked is None else asked, "left_semi")
     located = _located(points, group, identity, coordinates, k)
     cells, names = [f"cell{i}_" for i in range(d)], [f"{c}_q" for c in coordinates]
     steps = [()]
@@ -145,7 +186,7 @@ def nearest(points: DataFrame, group: str, identity: str, coordinates: list[str]
         done = new if done is None else done.union(new)
         left, up = both.where("not ends_").drop("found_", "far_", "ends_"), up + 1
     named = done.select(group, *(F.col(q).alias(c) for c, q in zip(coordinates, names, strict=True)), F.explode("found_").alias("f_"))
-    return of.join(named, on).select(group, identity, "f_.neighbour", "f_.rank", "f_.distance2")
+    return small.unionByName(of.join(named, on).select(group, identity, "f_.neighbour", "f_.rank", "f_.distance2"))
 
 
 def trace_points(planes: DataFrame, width: int, center: Column, radius: Column, dip: Column, azimuth: Column) -> DataFrame:

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.functions import groups
-from strataspark.operators import aperture, branches, contours, mosaic, raster
+from strataspark.operators import aperture, branches, contours, mosaic, planes, raster
 from strataspark.sources import png
 
-from test_contours import pixels
+from test_contours import brute_force_nearest, pixels
 
 
 def plan_of(df):
@@ -157,3 +157,19 @@ def test_few_candidates_of_a_cluster_are_decomposed(monkeypatch):
     assert seen[0] < seen[1] / 5
     monkeypatch.setattr(branches, "_may_spread_less", lambda moments, bound: np.arange(len(moments)))
     assert got == branches.greedy_clusters(left, 64, 1.7, 1.5)
+
+
+@pytest.mark.parametrize("small", [0, 20, 1024])
+def test_nearest_points_of_small_and_large_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(planes, "SMALL", small)
+    rng = np.random.default_rng(8)
+    sizes = {1: 40, 2: 3, 3: 1, 4: 20}
+    rows = [(g, k, float(rng.integers(0, 9)), float(rng.integers(0, 9))) for g, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double")
+    found = planes.nearest(df, "g", "id", ["x", "y"], 4)
+    if small == 1024:
+        assert plan_of(found).count("Exchange hashpartitioning") == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.g, set()).add((r.id, r.neighbour, r["rank"]))
+    assert got == {g: brute_force_nearest([r[1:] for r in rows if r[0] == g], 4) for g in sizes}

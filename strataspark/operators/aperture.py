@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.functions.groups import by_groups
+from strataspark.functions.shared import held
+
 from .contours import KEY, contours
 from .planes import directions, nearest
 
-#: Side of the cells through which rays and edges meet.
+#: Side of the cells that tell which part of an image a ray passes.
 CELL = 16
+#: Side of the tiles by which rays and edges are dealt to tasks. Images begin at zero, so tiles end half a side from it.
+TILE = 1024
+#: Side of the blocks of edges within a tile that are held against the rays that pass them, and pairs that are held at once.
+BLOCK, PAIRS = 64, 1 << 21
+#: Edges of a contour that travel in one row.
+EDGES = 256
 _NEAR = 1e-9
+_EDGE = pa.struct([(c, pa.float64()) for c in ("ay", "ax", "by", "bx")])
 
 
 def contour_edges(found: DataFrame, least_area: float = 0.0) -> DataFrame:
@@ -21,24 +35,27 @@ def contour_edges(found: DataFrame, least_area: float = 0.0) -> DataFrame:
     return pairs.select("segment_id", "contour_id", *(F.col(f"e.{p}.{c}").cast("double").alias(f"{p}{c}") for p in "ab" for c in "yx"))
 
 
-def _crossings(at: str, step: str, low: Column, high: Column) -> Column:
+def _crossings(at: str, step: str, low: Column, high: Column, side: int, shift: int) -> Column:
     """Where a ray crosses the borders of cells in one direction, between two places."""
-    ends = [F.col(at) + low * F.col(step), F.col(at) + high * F.col(step)]
-    first, last = F.ceil(F.least(*ends) / CELL), F.floor(F.greatest(*ends) / CELL)
-    crossed = F.transform(F.sequence(first, last), lambda k: (k * CELL - F.col(at)) / F.col(step))
+    ends = [F.col(at) + shift + low * F.col(step), F.col(at) + shift + high * F.col(step)]
+    first, last = F.ceil(F.least(*ends) / side), F.floor(F.greatest(*ends) / side)
+    crossed = F.transform(F.sequence(first, last), lambda k: (k * side - shift - F.col(at)) / F.col(step))
     return F.when((F.abs(step) > 1e-12) & (first <= last), crossed).otherwise(F.array().cast("array<double>"))
 
 
-def ray_cells(rays: DataFrame, reach: float) -> DataFrame:
+def ray_cells(rays: DataFrame, reach: float, side: int = CELL, shift: int = 0) -> DataFrame:
     """rays (y, x, dy, dx) with each cell (cy, cx) that they pass, from border to border.
 
-    Rays that have columns low and high are followed between these places only.
+    Rays that have columns low and high are followed between these places only. alone: whether a ray passes no other cell. The borders of cells
+    lie at multiples of side, less shift.
     """
     low, high = (F.col(c) if c in rays.columns else F.lit(v) for c, v in (("low", -float(reach)), ("high", float(reach))))
-    stops = F.sort_array(F.concat(F.array(low, high), _crossings("y", "dy", low, high), _crossings("x", "dx", low, high)))
+    stops = F.sort_array(F.concat(F.array(low, high), *(_crossings(c, f"d{c}", low, high, side, shift) for c in "yx")))
     middle = F.transform(F.sequence(F.lit(1), F.size("stops") - 1), lambda k: (F.element_at("stops", k) + F.element_at("stops", k + 1)) / 2)
-    cell = F.transform(middle, lambda t: F.struct(F.floor((F.col("y") + t * F.col("dy")) / CELL).alias("cy"), F.floor((F.col("x") + t * F.col("dx")) / CELL).alias("cx")))
-    return rays.withColumn("stops", stops).withColumn("c", F.explode(F.array_distinct(cell))).withColumn("cy", F.col("c.cy")).withColumn("cx", F.col("c.cx")).drop("stops", "c", "low", "high")
+    at = lambda c, t: F.floor((F.col(c) + shift + t * F.col(f"d{c}")) / side).alias(f"c{c}")
+    cells = rays.withColumn("stops", stops).withColumn("cells", F.array_distinct(F.transform(middle, lambda t: F.struct(at("y", t), at("x", t)))))
+    found = cells.withColumn("alone", F.size("cells") == 1).withColumn("c", F.explode("cells"))
+    return found.withColumn("cy", F.col("c.cy")).withColumn("cx", F.col("c.cx")).drop("stops", "cells", "c", "low", "high")
 
 
 def within_bounds(rays: DataFrame, bounds: DataFrame, reach: float) -> DataFrame:
@@ -58,10 +75,165 @@ def within_bounds(rays: DataFrame, bounds: DataFrame, reach: float) -> DataFrame
     return met.drop("y0", "y1", "x0", "x1")
 
 
-def edge_cells(edges: DataFrame) -> DataFrame:
-    """edges with each cell that they may touch, its border included."""
-    span = lambda c: F.sequence(F.floor((F.least(f"a{c}", f"b{c}") - 1e-6) / CELL), F.floor((F.greatest(f"a{c}", f"b{c}") + 1e-6) / CELL))
-    return edges.withColumn("cy", F.explode(span("y"))).withColumn("cx", F.explode(span("x")))
+def _in_tiles(ay: np.ndarray, ax: np.ndarray, by: np.ndarray, bx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each edge (its place) with each tile (cy, cx) that it may touch, borders included."""
+    tile = lambda c: np.floor((c + TILE // 2) / TILE).astype(np.int64)
+    low = [tile(np.minimum(a, b) - 1e-6) for a, b in ((ay, by), (ax, bx))]
+    n = [tile(np.maximum(a, b) + 1e-6) - c + 1 for (a, b), c in zip(((ay, by), (ax, bx)), low, strict=True)]
+    edge = np.repeat(np.arange(len(ay)), n[0] * n[1])
+    k = np.arange(len(edge)) - np.repeat(np.cumsum(n[0] * n[1]) - n[0] * n[1], n[0] * n[1])
+    return edge, low[0][edge] + k // n[1][edge], low[1][edge] + k % n[1][edge]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], ends) -> Iterator[pa.RecordBatch]:
+    """(segment_id, contour_id, cy, cx, edges): the edges of each row that a tile touches, at most EDGES in a row.
+
+    ends(batch): the row of each edge, and its ends ay, ax, by, bx.
+    """
+    for batch in batches:
+        row, *corners = ends(batch)
+        edge, cy, cx = _in_tiles(*corners)
+        if not len(edge):
+            continue
+        by = np.lexsort((cx, cy, row[edge]))
+        edge, cy, cx = edge[by], cy[by], cx[by]
+        new = np.r_[True, (row[edge][1:] != row[edge][:-1]) | (cy[1:] != cy[:-1]) | (cx[1:] != cx[:-1])]
+        first = np.flatnonzero(new)
+        at = np.arange(len(edge)) - first[np.cumsum(new) - 1]
+        first = np.flatnonzero(at % EDGES == 0)
+        edges = pa.StructArray.from_arrays([pa.array(c[edge]) for c in corners], fields=list(_EDGE))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(edge)], pa.int32()), edges)
+        of = pa.array(row[edge[first]])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in ("segment_id", "contour_id")] + [pa.array(cy[first]), pa.array(cx[first]), lists], ["segment_id", "contour_id", "cy", "cx", "edges"])
+
+
+def _edge_ends(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return np.arange(batch.num_rows), *(batch.column(c).to_numpy() for c in ("ay", "ax", "by", "bx"))
+
+
+def _path_ends(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """The edges of closed paths."""
+    path = batch.column("path")
+    n = path.value_lengths().to_numpy()
+    points = path.flatten()
+    y, x = (points.field(c).to_numpy().astype(float) for c in ("y", "x"))
+    after = np.arange(1, len(y) + 1)
+    ends = np.cumsum(n)
+    after[ends - 1] = ends - n
+    return np.repeat(np.arange(len(n)), n), y, x, y[after], x[after]
+
+
+def _meetings(ray: np.ndarray, edge: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of rays (y, x, dy, dx) and of edges (ay, ax, by, bx) that meet within reach, where on the ray (t), and whether an edge lies along it.
+
+    Blocks of edges are held against the rays that pass them; an edge meets a line where its ends lie on both sides.
+    """
+    (y, x, dy, dx), (ay, ax, by, bx) = ray, edge
+    code = np.floor(ay / BLOCK) * (1 << 20) + np.floor(ax / BLOCK)
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    line = np.stack([dy, -dx, y * dx - x * dy], axis=1)
+    found = []
+    for own in np.split(order, starts[1:]):
+        oy, ox = (min(c.min() for c in pair) for pair in ((ay[own], by[own]), (ax[own], bx[own])))
+        ty, tx = (max(c.max() for c in pair) for pair in ((ay[own], by[own]), (ax[own], bx[own])))
+        middle, half = np.array([(ox + tx) / 2, (oy + ty) / 2, 1.0]), np.hypot(ty - oy, tx - ox) / 2 + 1e-3
+        passing = np.flatnonzero(np.abs(line @ middle) <= half)
+        one = np.ones(len(own))
+        a, b = (np.stack([p[own], q[own], one]) for p, q in ((ax, ay), (bx, by)))
+        step = max(1, PAIRS // len(own))
+        for k in range(0, len(passing), step):
+            some = passing[k : k + step]
+            oa, ob = line[some] @ a, line[some] @ b
+            r, e = np.nonzero((np.minimum(oa, ob) <= 1e-6) & (np.maximum(oa, ob) >= -1e-6))
+            found.append((some[r], own[e]))
+    r, e = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    y, x, dy, dx = (c[r] for c in ray)
+    ay, ax, by, bx = (c[e] for c in edge)
+    ey, ex, gy, gx = by - ay, bx - ax, ay - y, ax - x
+    det, off = dx * ey - dy * ex, gx * dy - gy * dx
+    along = np.abs(det) < _NEAR
+    safe = np.where(along, 1.0, det)
+    t, u = (gx * ey - gy * ex) / safe, off / safe
+    at = gx * dx + gy * dy, (bx - x) * dx + (by - y) * dy
+    lies = along & (np.abs(off) < _NEAR) & (np.minimum(*at) <= reach) & (np.maximum(*at) >= -reach)
+    meets = ~along & (u >= -_NEAR) & (u <= 1 + _NEAR) & (np.abs(t) <= reach)
+    kept = np.flatnonzero(lies | meets)
+    t = np.sign(t) * np.floor(np.abs(t) * 1e7 + 0.5) / 1e7 + 0.0
+    return r[kept], e[kept], np.where(lies, np.nan, t)[kept], lies[kept]
+
+
+def _in_tasks(samples: DataFrame, parts: DataFrame, bounds: DataFrame, reach: float, made, columns: str) -> DataFrame:
+    """Rows of made(ray, contour, t, lies, alone) over the meetings of each tile, sorted by ray, contour and t.
+
+    Rays and edges are dealt by tiles, so a task holds the edges and rays of many tiles of small images, or of one; ray and contour are
+    places in the task's table. made returns arrays by name, with `ray` and `of`, the rows whose id and contour_id each has (of: -1 for none).
+    """
+    dy, dx = F.sin(F.radians("normal_deg")), F.cos(F.radians("normal_deg"))
+    exact = lambda c: F.when(F.abs(c) < 1e-15, 0.0).otherwise(c)
+    rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), exact(dy).alias("dy"), exact(dx).alias("dx"))
+    types = dict(samples.dtypes) | dict(parts.dtypes)
+    here = ray_cells(within_bounds(rays, bounds, reach), reach, TILE, TILE // 2)
+    both = here.unionByName(parts, allowMissingColumns=True)
+
+    def run(table: pa.Table, starts: np.ndarray) -> dict:
+        rows = table["edges"].combine_chunks()
+        n = np.nan_to_num(rows.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        edges = rows.flatten()
+        ends = [edges.field(c).to_numpy() for c in ("ay", "ax", "by", "bx")]
+        is_ray = rows.is_null().to_numpy(zero_copy_only=False)
+        lines = [table[c].to_numpy() for c in ("y", "x", "dy", "dx")]
+        contour = table["contour_id"].combine_chunks()
+        # a contour's first row stands for all of them
+        fields = [contour.field(k).to_numpy(zero_copy_only=False) for k in range(contour.type.num_fields)]
+        from_, out = np.r_[0, np.cumsum(n)], []
+        for begin, end in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+            ray = begin + np.flatnonzero(is_ray[begin:end])
+            e0, e1 = from_[begin], from_[end]
+            if not len(ray) or e0 == e1:
+                continue
+            owner = begin + np.flatnonzero(~is_ray[begin:end])
+            codes = np.unique(np.stack([f[owner] for f in fields], axis=1), axis=0, return_index=True, return_inverse=True)
+            stands = owner[codes[1]][codes[2].reshape(-1)]
+            of = np.repeat(stands, n[owner])
+            r, e, t, lies = _meetings(np.stack([c[ray] for c in lines]), np.stack([c[e0:e1] for c in ends]), reach)
+            out.append((ray[r], of[e], t, lies))
+        r, c, t, lies = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
+        by = np.lexsort((t, c, r))
+        alone = table["alone"].to_numpy(zero_copy_only=False)
+        got = made(r[by], c[by], t[by], lies[by], alone[r[by]].astype(bool))
+        ray, of = pa.array(got.pop("ray")), got.pop("of")
+        return got | {k: table[k].combine_chunks().take(ray) for k in ("segment_id", "id")} | {"contour_id": contour.take(pa.array(of, pa.int64(), mask=of < 0))}
+
+    schema = f"segment_id {types['segment_id']}, id {types['id']}, contour_id {types['contour_id']}, {columns}"
+    return by_groups(both, ["segment_id", "cy", "cx"], run, schema)
+
+
+def _pairs(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where another ray or contour begins."""
+    return np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])][: len(r)])
+
+
+def _hits_of(r: np.ndarray, c: np.ndarray, t: np.ndarray, lies: np.ndarray, alone: np.ndarray) -> dict:
+    first = _pairs(r, c)
+    met = pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(t, mask=lies))
+    return {"ray": r[first], "of": c[first], "hits": met, "lies": np.logical_or.reduceat(lies, first) if len(r) else lies}
+
+
+def _sides_of(r: np.ndarray, c: np.ndarray, t: np.ndarray, lies: np.ndarray, alone: np.ndarray) -> dict:
+    """For each ray and contour the first and last meeting, the nearest ones on both sides, and whether an edge lies along it; of rays that pass one tile the nearest ones that count."""
+    first = _pairs(r, c)
+    of = lambda f, v: f.reduceat(v, first) if len(r) else v
+    got = {"low": of(np.fmin, t), "high": of(np.fmax, t), "ahead": of(np.fmin, np.where(t > 1e-6, t, np.inf)), "behind": of(np.fmin, np.where(t < -1e-6, -t, np.inf)), "lies": of(np.logical_or, lies)}
+    ray, contour, alone = r[first], c[first], alone[first]
+    apart = {k: v[~alone] for k, v in got.items()}
+    kept = alone & ~got["lies"] & (got["low"] < got["high"])
+    own = ray[kept]
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    done = {k: np.minimum.reduceat(got[k][kept], start) if len(own) else got[k][kept] for k in ("ahead", "behind")}
+    n = len(start)
+    filled = done | {"low": np.zeros(n), "high": np.zeros(n), "lies": np.zeros(n, bool)}
+    return {"ray": np.r_[ray[~alone], own[start]], "of": np.r_[contour[~alone], np.full(n, -1)]} | {k: np.concatenate([apart[k], filled[k]]) for k in apart}
 
 
 def ray_hits(samples: DataFrame, edges: DataFrame, reach: float = 1000) -> DataFrame:
@@ -69,39 +241,37 @@ def ray_hits(samples: DataFrame, edges: DataFrame, reach: float = 1000) -> DataF
 
     Places are distances along the normal, within `reach` on either side. Only contours that are met in two or more points count, and
     none of which an edge lies on the line: a lone point or a common stretch tells no width. Lines and edges meet
-    through the cells that both touch, so pairs are made along a ray only, and only where the segment has edges. Neither
+    in the tiles that both touch, and only where the segment has edges. Neither
     side is sent whole to the driver: tables of few bytes on disk become many rows here.
     """
-    dy, dx = F.sin(F.radians("normal_deg")), F.cos(F.radians("normal_deg"))
-    exact = lambda c: F.when(F.abs(c) < 1e-15, 0.0).otherwise(c)
-    rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), exact(dy).alias("dy"), exact(dx).alias("dx"))
     # the corners of a closed polygon are the beginnings of its edges
     bounds = edges.groupBy("segment_id").agg(*(f(f"a{c}").alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))))
-    met = ray_cells(within_bounds(rays, bounds, reach), reach).join(edge_cells(edges).hint("merge"), ["segment_id", "cy", "cx"])
-    ey, ex = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
-    det = F.col("dx") * ey - F.col("dy") * ex
-    gy, gx = F.col("ay") - F.col("y"), F.col("ax") - F.col("x")
-    off = gx * F.col("dy") - gy * F.col("dx")
-    along = F.abs(det) < _NEAR
-    t = F.when(~along, (gx * ey - gy * ex) / det)
-    u = F.when(~along, off / det)
-    at = [gx * F.col("dx") + gy * F.col("dy"), (F.col("bx") - F.col("x")) * F.col("dx") + (F.col("by") - F.col("y")) * F.col("dy")]
-    within = (F.least(*at) <= reach) & (F.greatest(*at) >= -reach)
-    met = met.select("segment_id", "id", "contour_id", t.alias("t"), u.alias("u"), (along & (F.abs(off) < _NEAR) & within).alias("lies"))
-    met = met.where("lies" + f" or (u between -{_NEAR} and {1 + _NEAR} and abs(t) <= {float(reach)})")
-    hits = met.groupBy("segment_id", "id", "contour_id").agg(F.sort_array(F.collect_set(F.round("t", 7))).alias("hits"), F.bool_or("lies").alias("lies"))
+    types = dict(edges.dtypes)
+    parts = edges.mapInArrow(lambda batches: _dealt(batches, _edge_ends), _PART.format(**types))
+    met = _in_tasks(samples, parts, bounds, reach, _hits_of, "hits array<double>, lies boolean")
+    hits = met.groupBy("segment_id", "id", "contour_id").agg(F.array_compact(F.sort_array(F.array_distinct(F.flatten(F.collect_list("hits"))))).alias("hits"), F.bool_or("lies").alias("lies"))
     return hits.where((F.size("hits") > 1) & ~F.col("lies")).drop("lies")
 
 
+_PART = "segment_id {segment_id}, contour_id {contour_id}, cy long, cx long, edges array<struct<ay:double,ax:double,by:double,bx:double>>"
+
+
 def ray_widths(samples: DataFrame, mask: DataFrame, reach: float = 1000, ratio: float = 1.0, least_area: float = 0.0) -> DataFrame:
     """(segment_id, id, width_mm) of sample points: the nearest meetings with contours on both sides together.
 
-    Samples without one on each side are left out. least_area: contours must be larger.
+    Samples without one on each side are left out. least_area: contours must be larger. Meetings count as in ray_hits; a ray that
+    passes one tile is done with it, and of others each tile tells the nearest meetings with each contour.
     """
-    hits = ray_hits(samples, contour_edges(contours(mask), least_area), reach)
-    nearest_ = lambda s: F.min(F.array_min(F.filter(F.transform("hits", lambda t: t * s), lambda t: t > 1e-6)))
-    sides = hits.groupBy("segment_id", "id").agg(nearest_(1).alias("ahead"), nearest_(-1).alias("behind"))
-    return sides.where("ahead is not null and behind is not null").select("segment_id", "id", ((F.col("ahead") + F.col("behind")) * ratio).alias("width_mm"))
+    found = contours(mask).where((F.col("area") > least_area) & (F.size("path") > 1)).select("segment_id", F.struct(*KEY[1:], "contour").alias("contour_id"), "path")
+    ends = [f(F.col(f"path.{c}")).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.array_min), (1, F.array_max))]
+    bounds = found.select("segment_id", *ends).groupBy("segment_id").agg(*((F.max if k else F.min)(f"{c}{k}").alias(f"{c}{k}") for c in "yx" for k in (0, 1)))
+    parts = found.mapInArrow(lambda batches: _dealt(batches, _path_ends), _PART.format(**dict(found.dtypes)))
+    met = held(_in_tasks(samples, parts, bounds, reach, _sides_of, "low double, high double, ahead double, behind double, lies boolean"), "meetings")
+    across = met.where("contour_id is not null").groupBy("segment_id", "id", "contour_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind"), F.bool_or("lies").alias("lies"))
+    near = across.where("not lies and low < high").groupBy("segment_id", "id").agg(F.min("ahead").alias("ahead"), F.min("behind").alias("behind"))
+    sides = met.where("contour_id is null").select("segment_id", "id", "ahead", "behind").unionByName(near)
+    width = F.col("ahead") + F.col("behind")
+    return sides.where(width < float("inf")).select("segment_id", "id", (width * ratio).alias("width_mm"))
 
 
 def sampled_normals(paths: DataFrame, every: int = 10, n: int = 4, path: list[str] | None = None) -> DataFrame:

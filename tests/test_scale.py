@@ -173,3 +173,21 @@ def test_nearest_points_of_small_and_large_groups(spark, monkeypatch, small):
     for r in found.collect():
         got.setdefault(r.g, set()).add((r.id, r.neighbour, r["rank"]))
     assert got == {g: brute_force_nearest([r[1:] for r in rows if r[0] == g], 4) for g in sizes}
+
+
+def test_rays_and_edges_meet_in_tiles(spark):
+    """Rays are not paired with edges by a join, and widths are the same within a tile and across the border of four."""
+    half = aperture.TILE // 2
+    mask = np.zeros((40, 60), bool)
+    mask[5:35, 8:30] = True
+    mask[12:20, 12:20] = False
+    mask[10:30, 40:50] = True
+    samples = [(k, 3 + 4 * k % 34, 4 + 7 * k % 50, 11.0 * k + 0.5) for k in range(40)]
+    made = []
+    for by in (0, half - 16):
+        df = pixels(spark, [mask]).select("segment_id", (F.col("y") + by).alias("y"), (F.col("x") + by).alias("x"))
+        points = spark.createDataFrame([(0, k, y + by, x + by, d) for k, y, x, d in samples], "segment_id int, id long, y int, x int, normal_deg double")
+        made.append({r.id: round(r.width_mm, 5) for r in aperture.ray_widths(points, df).collect()})
+        plan = plan_of(aperture.ray_hits(points, aperture.contour_edges(contours.contours(df)), 1000))
+        assert plan.count("SortMergeJoin") == 1
+    assert made[0] == made[1] and len(made[0]) > 5

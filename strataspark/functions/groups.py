@@ -51,15 +51,46 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield table, _starts(table, keys)
 
 
-def by_groups(df: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], dict], schema: str, order: list[str] | None = None) -> DataFrame:
+def codes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each row, the same where the keys are."""
+    out, n = np.zeros(table.num_rows, np.int64), 1
+    columns = [table[k].combine_chunks() for k in keys]
+    while columns:
+        column = columns.pop()
+        if pa.types.is_struct(column.type):
+            columns += column.flatten()
+            continue
+        found = pc.dictionary_encode(column, null_encoding="encode")
+        out = out * len(found.dictionary) + found.indices.to_numpy(zero_copy_only=False)
+        n *= len(found.dictionary)
+        if n > 1 << 40:
+            out = np.unique(out, return_inverse=True)[1]
+            n = len(out)
+    return out
+
+
+def in_tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables of ROWS rows at least; the last one may be smaller."""
+    left, rows = [], 0
+    for batch in batches:
+        left.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            yield pa.Table.from_batches(left).combine_chunks()
+            left, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(left).combine_chunks()
+
+
+def by_groups(df: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], dict], schema: str, order: list[str] | None = None, opened: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """Rows that run(table, starts) makes of whole groups (keys) of df, each in the order of some columns.
 
-    run returns arrays by name. Spark deals the groups to tasks and sorts them; a task holds ROWS rows, or one group.
+    opened: makes the batches that are grouped from those that were dealt. run returns arrays by name. Spark deals the groups to tasks and sorts them; a task holds ROWS rows, or one group.
     """
     types = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, keys):
+        for table, starts in whole_groups(opened(batches) if opened else batches, keys):
             made = run(table, starts)
             arrays = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in types]
             if len(arrays[0]):

@@ -191,3 +191,19 @@ def test_rays_and_edges_meet_in_tiles(spark):
         plan = plan_of(aperture.ray_hits(points, aperture.contour_edges(contours.contours(df)), 1000))
         assert plan.count("SortMergeJoin") == 1
     assert made[0] == made[1] and len(made[0]) > 5
+
+
+def test_pixels_travel_packed_and_once(spark, tall):
+    """A row for an image and band of a portion, no copies, and the same pixels when they are opened."""
+    whole = pixels(spark, [np.ones((60, 50), bool), *tall]).coalesce(1)
+    twice = whole.unionByName(whole).coalesce(1)
+    schema = pa.schema([("segment_id", pa.int64()), ("band_", pa.int32()), ("y", pa.list_(pa.int32())), ("x", pa.list_(pa.int32()))])
+    batches = twice.select(F.col("segment_id").cast("long").alias("segment_id"), "y", "x").toArrow().combine_chunks().to_batches()
+    packed = list(raster._packed(batches, ["segment_id"], 0, schema))
+    n = whole.count()
+    assert sum(b.num_rows for b in packed) <= n / raster.PACK + 5
+    opened = [r for b in raster._unpacked(packed) for r in zip(*(b.column(c).to_pylist() for c in ("segment_id", "y", "x")), strict=True)]
+    assert len(opened) == n and set(opened) == {tuple(r) for r in whole.select("segment_id", "y", "x").collect()}
+    plan = plan_of(raster.in_bands(whole, ["segment_id"], 64, lambda p, own: {"of": np.arange(p.n), "y": p.y}, "y int"))
+    assert "array<int>" in plan or plan.count("MapInArrow") == 2
+    assert "Generate" not in plan

@@ -207,3 +207,12 @@ def test_pixels_travel_packed_and_once(spark, tall):
     plan = plan_of(raster.in_bands(whole, ["segment_id"], 64, lambda p, own: {"of": np.arange(p.n), "y": p.y}, "y int"))
     assert "array<int>" in plan or plan.count("MapInArrow") == 2
     assert "Generate" not in plan
+
+
+def test_scattered_pixels_and_their_halo_take_few_rows():
+    """Thinning's wide halo does not send a row for each pixel and band: images of fewer rows than the halo would all go twice."""
+    rng = np.random.default_rng(4)
+    table = pa.table({"segment_id": rng.integers(0, 20, 40000), "y": rng.integers(0, 64, 40000).astype(np.int32), "x": rng.integers(0, 64, 40000).astype(np.int32)})
+    schema = pa.schema([("segment_id", pa.int64()), ("band_", pa.int32()), ("y", pa.list_(pa.int32())), ("x", pa.list_(pa.int32()))])
+    rows = sum(b.num_rows for b in raster._packed(table.to_batches(), ["segment_id"], raster.HALO, schema))
+    assert rows <= 20 * 2 * 2

@@ -277,3 +277,17 @@ def test_clusters_equal_the_plain_rule():
         assert got == plain_clusters(left, width, 1.7, 1.5)
         joined += sum(len(m) - 1 for m in got)
     assert joined > 20
+
+
+def test_growth_is_told_within_tasks(spark):
+    """The rest is thinned once, not once an end: its pixels are not dealt again for each end, and ends are not collected into lists."""
+    ys = [(y, x) for y in range(5, 40, 6) for x in [*range(5, 20), *range(24, 40)]]
+    mask = spark.createDataFrame([(1, *p) for p in ys], "segment_id int, y int, x int")
+    ends = spark.createDataFrame([(1, k, y, x, 0.0, d, 2) for k, (y, x, d) in enumerate((y, x, d) for y in range(5, 40, 6) for x, d in ((19, 1.0), (24, -1.0)))], "segment_id int, endpoint_id long, y int, x int, dir_y double, dir_x double, width int")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("growth", "growth")
+    got = {r.endpoint_id: r.expand_count for r in reconnect.growth_counts(ends, mask, 5, 64, 64).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 12 and len(set(got.values())) == 1
+    assert len(jobs.getJobIdsForGroup("growth")) < 15
+    assert not hasattr(reconnect, "_near_parts")

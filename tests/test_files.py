@@ -101,3 +101,24 @@ def test_parameters_of_segments(spark):
     assert got.ratio_v == 5 and got.ratio_h == pytest.approx(math.pi * 76 / 477)
     with pytest.raises(ValueError, match="length_m"):
         logs.segment_parameters(spark.range(1), F.lit(1), F.lit(1), 0.0)
+
+
+def test_workbooks_are_written_and_read_row_by_row():
+    """What a task holds does not grow with a sheet's rows, but for the compressed bytes."""
+    import tracemalloc
+
+    from strataspark.sources import xlsx
+
+    peaks = []
+    for n in (2_000, 20_000):
+        tracemalloc.start()
+        book = xlsx._Book()
+        book.sheet("a", ["k", "v"], ([k, f"row {k}"] for k in range(n)))
+        data = book.done()
+        last = None
+        for last in xlsx.rows_of(data):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1] - 3 * len(data))
+        tracemalloc.stop()
+        assert last == ("a", n + 1, [str(n - 1), f"row {n - 1}"])
+    assert peaks[1] < peaks[0] + 2_000_000

@@ -69,13 +69,13 @@ def codes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return out
 
 
-def in_tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches put together to tables of ROWS rows at least; the last one may be smaller."""
+def in_tables(batches: Iterable[pa.RecordBatch], wanted: int | None = None) -> Iterator[pa.Table]:
+    """Batches put together to tables of so many rows (or ROWS) at least; the last one may be smaller."""
     left, rows = [], 0
     for batch in batches:
         left.append(batch)
         rows += batch.num_rows
-        if rows >= ROWS:
+        if rows >= (wanted or ROWS):
             yield pa.Table.from_batches(left).combine_chunks()
             left, rows = [], 0
     if rows:

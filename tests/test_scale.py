@@ -216,3 +216,47 @@ def test_scattered_pixels_and_their_halo_take_few_rows():
     schema = pa.schema([("segment_id", pa.int64()), ("band_", pa.int32()), ("y", pa.list_(pa.int32())), ("x", pa.list_(pa.int32()))])
     rows = sum(b.num_rows for b in raster._packed(table.to_batches(), ["segment_id"], raster.HALO, schema))
     assert rows <= 20 * 2 * 2
+
+
+def scattered(n, images, ty=pa.int32()):
+    rng = np.random.default_rng(4)
+    return pa.table({"segment_id": rng.integers(0, images, n), "y": pa.array(rng.integers(0, 64, n), ty), "x": pa.array(rng.integers(0, 64, n), ty)})
+
+
+def packed_schema(ty=pa.int32()):
+    return pa.schema([("segment_id", pa.int64()), ("band_", pa.int32()), ("y", pa.list_(ty)), ("x", pa.list_(ty))])
+
+
+def test_small_images_send_no_halo_to_a_band_without_pixels():
+    packed = list(raster._packed(scattered(40000, 20).to_batches(), ["segment_id"], raster.HALO, packed_schema()))
+    assert {v for b in packed for v in b.column("band_").to_pylist()} == {0}
+    assert sum(b.column("y").value_lengths().to_numpy().sum() for b in packed) == len(set(zip(*scattered(40000, 20).to_pydict().values(), strict=True)))
+
+
+def test_more_images_do_not_take_more_bytes_a_pixel():
+    """Ten times the input has ten times the images, so a task's rows hold fewer pixels of each."""
+    took = []
+    for k in (1, 10):
+        n = 50000 * k
+        packed = list(raster._packed(scattered(n, 400 * k).to_batches(max_chunksize=10000), ["segment_id"], raster.HALO, packed_schema()))
+        assert sum(b.num_rows for b in packed) <= 400 * k
+        took.append(sum(b.nbytes for b in raster._encoded(packed)) / n)
+    assert took[1] < 1.05 * took[0] and took[0] < 3
+
+
+@pytest.mark.parametrize("ty", [pa.int32(), pa.int64()])
+def test_steps_come_back_from_their_bytes(ty):
+    table = scattered(5000, 40, ty)
+    far = pa.table({"segment_id": [1, 1, 2, 2], "y": pa.array([-2000000, -1, 0, 70000], ty), "x": pa.array([2**31 - 1, -(2**30), 0, 2**30], ty)})
+    packed = list(raster._packed(pa.concat_tables([table, far]).to_batches(), ["segment_id"], raster.HALO, packed_schema(ty)))
+    coded = [b.slice(k, n) for b in raster._encoded(packed) for k, n in ((0, 3), (3, 0), (3, None))]
+    assert pa.Table.from_batches(raster._decoded(coded, packed_schema(ty))).equals(pa.Table.from_batches(packed))
+
+
+def test_rows_above_an_image_are_in_its_first_band(spark, tall):
+    """Masks that cross row 0, or the border of the band above, are thinned and pruned as anywhere else."""
+    made = []
+    for by in (0, -20, -raster.BAND - 20):
+        kept = raster.prune_spurs(raster.skeletonize(moved(spark, tall, by)), 4).collect()
+        made.append(sorted((r.segment_id, r.y - by, r.x) for r in kept))
+    assert made[0] == made[1] == made[2] and made[0]

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.geometry import pair_weight
-from strataspark.functions.groups import by_groups
+from strataspark.functions.groups import _starts, by_groups, codes, in_tables
 from strataspark.functions.shared import held
 
 from .raster import NODE_HALO, RING, Pixels, in_bands, own_branches, rooted
 
 #: Branch types: two free ends, one junction and one end, two junctions, a cycle.
 END_END, JUNCTION_END, JUNCTION_JUNCTION, CYCLE = range(4)
-
+#: Candidates of an image's cluster that are measured at once, and how near to a bound a measure is taken again on all points.
+TOGETHER, UNSURE = 6, 1e-6
+#: Points of segments whose clusters grow at the same time; one segment may have more.
+POINTS = 1 << 20
 
 #: Places of RING by how near they are, straight ones before diagonal ones: as a walk goes on, and by row and column.
 _WALK = (0, 2, 4, 6, 1, 3, 5, 7)
@@ -149,16 +154,13 @@ def _residuals(points: np.ndarray) -> tuple[float, float]:
     return float(d.mean()), float(d.std())
 
 
-def _moments(points: np.ndarray) -> np.ndarray:
-    """Number, sums, and sums of products of points: what joins by addition."""
-    return np.concatenate([[len(points)], points.sum(0), (points.T @ points).ravel()])
+def _least_spread(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean squared distances of each set of points along its main directions, the least first, and these directions (columns), by its moments.
 
-
-def _least_spread(moments: np.ndarray) -> np.ndarray:
-    """Mean squared distance from the best plane of each set of points, by its moments."""
+    Moments are the number, the sums, and the sums of products of points: what joins by addition.
+    """
     n, mean = moments[:, 0, None], moments[:, 1:4] / moments[:, :1]
-    cov = moments[:, 4:].reshape(-1, 3, 3) / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
-    return np.linalg.eigvalsh(cov)[:, 0]
+    return np.linalg.eigh(moments[:, 4:].reshape(-1, 3, 3) / n[:, :, None] - mean[:, :, None] * mean[:, None, :])
 
 
 def _may_spread_less(moments: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -172,71 +174,299 @@ def _may_spread_less(moments: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~((xx > 1e-12 * scale) & (two > 1e-12 * scale**2) & (three > 1e-12 * scale**3)))
 
 
-def greedy_clusters(left: list[tuple], width: int, most_mean: float, most_std: float) -> list[list]:
-    """Clusters of branches (id, class, points z and x), as lists of ids in the order of joining; see cluster_branches.
+def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range each place is of, and the places of all ranges, one after another."""
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+class _Clusters:
+    """Clusters of many images that grow at the same time, one of each image; see cluster_branches.
+
+    image, kind: of each branch, in order of images and, within one, of seeds; size: its points, which follow one another in points (three rows).
+    weights: pair_weight of two kinds. A union whose mean and deviation of residuals are under their bounds has a mean
+    square under the sum of the bounds' squares, which moments tell without its points; only such candidates are measured, a few of each
+    image together. Where rounding could decide, a union is measured by itself.
+    """
 
-    A union whose mean and deviation of residuals are under their bounds has a mean square under the sum of the bounds' squares,
-    which moments tell without its points; only such candidates are measured.
+    def __init__(self, image: np.ndarray, size: np.ndarray, kind: np.ndarray, points: np.ndarray, weights: np.ndarray, width: int, most_mean: float, most_std: float):
+        self.size, self.kind, self.points, self.weights, self.width, self.most = size, kind, points, weights, width, (most_mean, most_std)
+        self.begin = np.cumsum(size) - size
+        self.first = np.flatnonzero(np.r_[True, image[1:] != image[:-1]][: len(image)])
+        self.last = np.r_[self.first[1:], len(image)]
+        self.image = np.repeat(np.arange(len(self.first)), self.last - self.first)
+        total = lambda c: np.add.reduceat(c, self.begin)
+        self.middle = np.stack([total(c) / size for c in points], axis=1)
+        far = [c - np.repeat(m, size) for c, m in zip(points, self.middle.T, strict=True)]
+        self.depth = self.middle[:, 2].copy()
+        self.scatter = np.stack([total(far[min(j, k)] * far[max(j, k)]) for j in range(3) for k in range(3)], axis=1)
+        # moments about a fixed depth of each image, so that little is lost in their differences
+        sums = self.middle.copy()
+        sums[:, 2] -= (np.add.reduceat(self.middle[:, 2], self.first) / (self.last - self.first))[self.image]
+        products = self.scatter + (sums[:, :, None] * sums[:, None, :] * size[:, None, None]).reshape(-1, 9)
+        # a row for each, which the screen reads one after another
+        self.moments = np.ascontiguousarray(np.concatenate([size[:, None], sums * size[:, None], products], axis=1).T)
+        self.scale = np.maximum(np.maximum.reduceat(np.abs(self.moments[[4, 8, 12]]).max(axis=0), self.first), 1.0)
+        self.alive, self.left = np.ones(len(image), bool), self.last - self.first
+        # of the cluster of each image: its seed, points, moments, centre, scatter, mean and deviation; and the places of its points in held
+        n = len(self.first)
+        self.seed, self.n = np.zeros((2, n), np.int64)
+        self.own, self.centre, self.spread, self.mean, self.std = np.zeros((13, n)), np.zeros((n, 3)), np.zeros((n, 9)), np.zeros(n), np.zeros(n)
+        self.held, self.room = np.empty_like(points), self.begin[self.first]
+        # candidates that are to be measured, with their bounds, in the places of the image's branches
+        self.queue, self.bounds, self.next, self.end = np.zeros(len(image), np.int64), np.zeros((2, len(image))), self.first.copy(), self.first.copy()
+        self.cluster, self.count = np.full(n, -1), np.zeros(n, np.int64)
+
+    def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """branch, cluster and place of all that belongs to one."""
+        out, empty = [], np.arange(len(self.first))
+        while True:
+            while len(empty):
+                fresh = self._seeds(empty)
+                if len(fresh):
+                    out.append((self.seed[fresh], self.cluster[fresh], self.count[fresh] - 1))
+                    self._screen(fresh)
+                empty = fresh[self.next[fresh] == self.end[fresh]]
+            open_ = np.flatnonzero(self.next < self.end)
+            if not len(open_):
+                return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+            changed, branch = self._measure(open_)
+            if len(changed):
+                out.append((branch, self.cluster[changed], self.count[changed] - 1))
+                self._screen(changed)
+            empty = open_[self.next[open_] >= self.end[open_]]
+
+    def _seeds(self, images: np.ndarray) -> np.ndarray:
+        """The images (of these) that have a further seed: the longest branch left, while it is a quarter of the width and another one is left."""
+        images = images[self.left[images] > 1]
+        of, at = _ranges(self.first[images], self.last[images] - self.first[images])
+        there = np.flatnonzero(self.alive[at])
+        seed = at[there[np.searchsorted(of[there], np.arange(len(images)))]] if len(images) else images
+        long = self.size[seed] >= self.width / 4
+        images, seed = images[long], seed[long]
+        self.seed[images], self.n[images], self.own[:, images], self.cluster[images], self.count[images] = seed, 0, 0, self.cluster[images] + 1, 0
+        self.centre[images], self.spread[images] = self.middle[seed], 0
+        if len(images):
+            m, s, sure = self._residuals(images, seed)
+            for k in np.flatnonzero(~sure):
+                m[k], s[k] = _residuals(self._points(images[k], seed[k]))
+            self._join(images, seed, m, s)
+        return images
+
+    def _screen(self, images: np.ndarray) -> None:
+        """Puts the candidates of these images that may join into their queues: those within three widths of the seed, by their moments."""
+        of, at = _ranges(self.first[images], self.last[images] - self.first[images])
+        left = np.flatnonzero(self.alive[at])
+        of, at = of[left], at[left]
+        near = np.flatnonzero(np.abs(self.depth[at] - self.depth[self.seed[images]][of]) < 3 * self.width)
+        of, at = of[near], at[near]
+        m = np.bincount(of, minlength=len(images))
+        each = lambda c: np.repeat(c, m)
+        n = self.n[images]
+        wider = self.weights[each(self.kind[self.seed[images]]), self.kind[at]] * (1 + self.size[at] / each(n))
+        a, b = (np.minimum(wider * each(most * now[images]), self.width / 50) for most, now in zip(self.most, (self.mean, self.std), strict=True))
+        bound = a * a + b * b + each(1e-9 * self.scale[images] / n + 1e-9)
+        both = np.empty((13, len(at)))
+        for k in (0, 1, 2, 3, 4, 5, 6, 8, 9, 12):
+            np.add(each(self.own[k, images]), self.moments[k].take(at), out=both[k])
+        maybe = _may_spread_less(both.T, bound)
+        n = np.bincount(of[maybe], minlength=len(images))
+        place = _ranges(self.first[images], n)[1]
+        self.queue[place], self.bounds[0, place], self.bounds[1, place] = at[maybe], a[maybe], b[maybe]
+        self.next[images], self.end[images] = self.first[images], self.first[images] + n
+
+    def _points(self, image: int, branch: int | None = None) -> np.ndarray:
+        """The points of an image's cluster, in order of joining, and those of a branch."""
+        parts = [self.held[:, self.room[image] : self.room[image] + self.n[image]]]
+        if branch is not None:
+            parts.append(self.points[:, self.begin[branch] : self.begin[branch] + self.size[branch]])
+        return np.ascontiguousarray(np.concatenate(parts, axis=1).T)
+
+    def _residuals(self, images: np.ndarray, branches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean and deviation of the residuals of clusters together with a branch each, and whether the plane is well told."""
+        a, b = self.n[images], self.size[branches]
+        step = self.middle[branches] - self.centre[images]
+        joint = self.spread[images] + self.scatter[branches] + ((a * b / (a + b))[:, None, None] * step[:, :, None] * step[:, None, :]).reshape(-1, 9)
+        values, along = _least_spread(np.concatenate([(a + b)[:, None], np.zeros((len(a), 3)), joint], axis=1))
+        normal = along[:, :, 0]
+        level = ((self.centre[images] + step * (b / (a + b))[:, None]) * normal).sum(axis=1)
+        total = np.zeros(len(a))
+        for points, begin, size in ((self.held, self.room[images], a), (self.points, self.begin[branches], b)):
+            some = np.flatnonzero(size)
+            if not len(some):
+                continue
+            size = size[some]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(begin[some] - ends + size, size)
+            d = np.repeat(-level[some], size)
+            for c, k in zip(points, normal[some].T, strict=True):
+                d += c.take(at) * np.repeat(k, size)
+            total[some] += np.add.reduceat(np.abs(d, out=d), ends - size)
+        mean = total / (a + b)
+        return mean, np.sqrt(np.maximum(values[:, 0] - mean * mean, 0.0)), values[:, 1] - values[:, 0] > 1e-4
+
+    def _measure(self, images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The images (of these) whose next candidates have one that joins, and this one."""
+        of, at = _ranges(self.next[images], np.minimum(self.end[images] - self.next[images], TOGETHER))
+        own, branch, (a, b) = images[of], self.queue[at], self.bounds[:, at]
+        m, s, sure = self._residuals(own, branch)
+        joins = (m < a) & (s < b)
+        for k in np.flatnonzero(~sure | (np.abs(m - a) < UNSURE) | (np.abs(s - b) < UNSURE)):
+            joins[k] = self._joins(own[k], branch[k])
+        found = np.flatnonzero(joins)
+        found = found[np.r_[True, of[found][1:] != of[found][:-1]][: len(found)]]
+        self.next[images] += TOGETHER
+        self._join(own[found], branch[found], m[found], s[found])
+        return own[found], branch[found]
+
+    def _joins(self, image: int, branch: int) -> bool:
+        """The rule, measured on all points."""
+        now, (m, s) = _residuals(self._points(image)), _residuals(self._points(image, branch))
+        wider = self.weights[self.kind[self.seed[image]], self.kind[branch]] * (self.n[image] + self.size[branch]) / self.n[image]
+        return all(v < min(wider * most * w, self.width / 50) for v, most, w in zip((m, s), self.most, now, strict=True))
+
+    def _join(self, images: np.ndarray, branches: np.ndarray, mean: np.ndarray, std: np.ndarray) -> None:
+        a, b = self.n[images], self.size[branches]
+        step = self.middle[branches] - self.centre[images]
+        self.spread[images] += self.scatter[branches] + ((a * b / (a + b))[:, None, None] * step[:, :, None] * step[:, None, :]).reshape(-1, 9)
+        self.centre[images] += step * (b / (a + b))[:, None]
+        self.own[:, images] += self.moments[:, branches]
+        to, from_ = _ranges(self.room[images] + a, b)[1], _ranges(self.begin[branches], b)[1]
+        for held, points in zip(self.held, self.points, strict=True):
+            held[to] = points[from_]
+        self.n[images], self.mean[images], self.std[images] = a + b, mean, std
+        self.alive[branches] = False
+        self.left[images] -= 1
+        self.count[images] += 1
+
+
+def _clusters(image: np.ndarray, size: np.ndarray, z: np.ndarray, x: np.ndarray, kind: np.ndarray, names: list, ident: np.ndarray, width: int, most_mean: float, most_std: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """branch, cluster and place of all branches that belong to a cluster, in order of images, clusters and joining.
+
+    size points (z, x) of each branch, one after another; ident: the branches' ids in numbers of the same order.
     """
+    begin = np.cumsum(size) - size
+    order = np.lexsort((ident, np.minimum.reduceat(x, begin), np.minimum.reduceat(z, begin), -size, image))
+    at = _ranges(begin[order], size[order])[1]
+    theta = 2 * np.pi * x[at] / width
     radius = width / (2 * np.pi)
-    ready = []
-    for i, kind, z, x in left:
-        theta = 2 * np.pi * x / width
-        points = np.stack([radius * np.cos(theta), radius * np.sin(theta), z], axis=1)
-        # moments about a fixed depth, so that little is lost in their differences
-        ready.append((-len(z), float(z.min()), float(x.min()), i, kind, float(z.mean()), points))
-    ready.sort(key=lambda b: b[:4])
-    middle = np.array([0.0, 0.0, np.mean([b[5] for b in ready]) if ready else 0.0])
-    moments = np.array([_moments(b[6] - middle) for b in ready]).reshape(-1, 13)
-    alive, centres = np.ones(len(ready), bool), np.array([b[5] for b in ready])
-    scale = float(np.abs(moments[:, [4, 8, 12]]).max(initial=1.0))
-    out = []
-    while alive.sum() >= 2:
-        seed = int(np.argmax(alive))
-        if -ready[seed][0] < width / 4:
-            break
-        alive[seed] = False
-        points, own, members = ready[seed][6], moments[seed].copy(), [ready[seed][3]]
-        mean, std = _residuals(points)
-        near = np.flatnonzero(alive & (np.abs(centres - ready[seed][5]) < 3 * width))
-        weight = np.array([pair_weight(ready[seed][4], ready[k][4]) for k in near])
-        joined = True
-        while joined and len(near):
-            joined = False
-            both = own + moments[near]
-            wider = weight * both[:, 0] / len(points)
-            a, b = np.minimum(wider * most_mean * mean, width / 50), np.minimum(wider * most_std * std, width / 50)
-            slack = 1e-9 * scale / len(points) + 1e-9
-            bound = a * a + b * b + slack
-            maybe = _may_spread_less(both, bound)
-            for at in maybe[_least_spread(both[maybe]) <= bound[maybe]]:
-                union = np.concatenate([points, ready[near[at]][6]])
-                m, s = _residuals(union)
-                if m < a[at] and s < b[at]:
-                    points, mean, std, joined = union, m, s, True
-                    own = own + moments[near[at]]
-                    members.append(ready[near[at]][3])
-                    alive[near[at]] = False
-                    near, weight = np.delete(near, at), np.delete(weight, at)
-                    break
-        out.append(members)
-    return out
+    points = np.stack([radius * np.cos(theta), radius * np.sin(theta), z[at]])
+    weights = np.array([[pair_weight(a, b) for b in names] for a in names])
+    branch, cluster, place = _Clusters(image[order], size[order], kind[order], points, weights, width, most_mean, most_std).run()
+    branch = order[branch]
+    by = np.lexsort((place, cluster, image[branch]))
+    return branch[by], cluster[by], place[by]
+
+
+def greedy_clusters(left: list[tuple], width: int, most_mean: float, most_std: float) -> list[list]:
+    """Clusters of branches (id, class, points z and x) of one image, as lists of ids in the order of joining; see cluster_branches."""
+    if not left:
+        return []
+    ids, names = sorted(b[0] for b in left), sorted({b[1] for b in left})
+    numbers = [np.array([known.index(b[k]) for b in left]) for k, known in enumerate((ids, names))]
+    z, x = (np.concatenate([b[k] for b in left]).astype(float) for k in (2, 3))
+    branch, cluster, _ = _clusters(np.zeros(len(left), np.int64), np.array([len(b[2]) for b in left]), z, x, numbers[1], names, numbers[0], width, most_mean, most_std)
+    return [[left[i][0] for i in branch[cluster == c]] for c in range(cluster.max(initial=-1) + 1)]
+
+
+def path_arrays(paths: DataFrame) -> DataFrame:
+    """(segment_id, root_y, root_x, pos, path): points (z, x) of branch_paths, a row for each branch, or for each piece of one that was cut; pos is the first one's."""
+    key = ["segment_id", "root_y", "root_x"]
+    types = dict(paths.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_tables(batches):
+            code, pos = codes(table, key), table["pos"].to_numpy()
+            order = np.lexsort((pos, code))
+            first = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            points = [pa.array(table[c].to_numpy()[order].astype(float)) for c in "yx"]
+            path = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.StructArray.from_arrays(points, ["z", "x"]))
+            of = pa.array(order[first])
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(of) for c in [*key, "pos"]), path], [*key, "pos", "path"])
+
+    return paths.select(*key, "pos", "y", "x").mapInArrow(run, f"segment_id {types['segment_id']}, root_y {types['root_y']}, root_x {types['root_x']}, pos int, path array<struct<z:double,x:double>>")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their paths as bytes: the first point, and steps of a byte where points are whole numbers so near to each other, else all points."""
+    for batch in batches:
+        path = batch.column("path")
+        n = path.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        points = np.stack([path.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("z", "x")], axis=1)
+        first = np.cumsum(n) - n
+        step = np.diff(points, axis=0, prepend=points[:1])
+        step[first[n > 0]] = 0
+        of = np.repeat(np.arange(len(n)), n)
+        odd = (points != np.rint(points)) | (np.abs(points) > 1 << 50) | (np.abs(step) > 127)
+        small = np.bincount(of[odd.any(axis=1)], minlength=len(n)) == 0
+        size = np.where(small, 14 + 2 * n, 16 * n) * (n > 0)
+        ends = np.cumsum(size)
+        out = np.empty(int(size.sum()), np.uint8)
+        wide = ~small[of]
+        wide[first[n > 0]] = True
+        k = np.arange(len(of)) - first[of]
+        at = (ends - size)[of]
+        out[(at + 16 * k)[wide][:, None] + np.arange(16)] = points[wide].view(np.uint8)
+        out[(at + 14 + 2 * k)[~wide][:, None] + np.arange(2)] = step[~wide].astype(np.int8).view(np.uint8)
+        made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(out)])
+        others = [c for c in batch.schema.names if c != "path"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(n, pa.int32()), made], [*others, "n_", "points_"])
+
+
+def _points_of(coded: pa.Array, n: np.ndarray) -> np.ndarray:
+    """Points of coded paths, one after another."""
+    size = pc.binary_length(coded).to_numpy().astype(np.int64)
+    begin = int(np.frombuffer(coded.buffers()[1], np.int32)[coded.offset])
+    code = np.frombuffer(coded.buffers()[2] or b"", np.uint8)[begin : begin + int(size.sum())]
+    at = (np.cumsum(size) - size)[(of := np.repeat(np.arange(len(n)), n))]
+    first = np.cumsum(n) - n
+    k = np.arange(len(of)) - first[of]
+    wide = (size == 16 * n)[of] | (k == 0)
+    points = np.empty((len(of), 2))
+    points[wide] = code[(at + 16 * k)[wide][:, None] + np.arange(16)].view(float)
+    points[~wide] = code[(at + 14 + 2 * k)[~wide][:, None] + np.arange(2)].view(np.int8)
+    # whole numbers, so that sums are exact
+    steps = np.where(wide[:, None] & (k > 0)[:, None], 0.0, points)
+    total = np.cumsum(steps, axis=0)
+    before = total[first[of]] - steps[first[of]]
+    return np.where(wide[:, None], points, total - before)
 
 
 def cluster_branches(branches: DataFrame, width: int, most_mean: float = 1.7, most_std: float = 1.5) -> DataFrame:
     """Greedy coplanar clusters: (segment_id, branch_id, cluster_id, place), place being the order of joining.
 
-    branches: segment_id, branch_id, fractype and path, an array of (z, x). The longest branch left is the
+    branches: segment_id, branch_id, fractype and path, an array of (z, x); with a column pos, a branch may come in pieces, in order of it. The longest branch left is the
     seed while it is a quarter of the width and another one is left. Candidates lie within three widths of its
     centre; the first that keeps mean and deviation of residuals under their bounds joins, and the search begins
-    anew. A segment's branches are one group; their number is bounded by the segment's size.
+    anew. Paths travel as bytes, and a task works on many segments at the same time. A segment's branches are one group; their number is bounded by the segment's size.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [(r.branch_id, r.fractype, np.array([p["z"] for p in r.path], float), np.array([p["x"] for p in r.path], float)) for r in pdf.itertuples(index=False)]
-        found = greedy_clusters(left, width, most_mean, most_std)
-        out = [(pdf["segment_id"].iloc[0], i, c, k) for c, members in enumerate(found) for k, i in enumerate(members)]
-        return pd.DataFrame(out, columns=["segment_id", "branch_id", "cluster_id", "place"])
-
-    types = dict(branches.dtypes)
-    return branches.groupBy("segment_id").applyInPandas(run, f"segment_id {types['segment_id']}, branch_id {types['branch_id']}, cluster_id int, place int")
+    key, types = ["segment_id", "branch_id", "fractype", "pos"], dict(branches.dtypes)
+
+    def run(table: pa.Table, starts: np.ndarray) -> dict:
+        n, ends = table["n_"].to_numpy().astype(np.int64), np.append(starts[1:], table.num_rows)
+        total = np.add.reduceat(n, starts)
+        portion = np.cumsum(total) // POINTS
+        cuts = np.r_[0, np.flatnonzero(np.diff(portion)) + 1, len(starts)]
+        out = [few(table.slice(starts[a], ends[b - 1] - starts[a]), n[starts[a] : ends[b - 1]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        at = pa.array(np.concatenate([starts[a] + o[0] for a, o in zip(cuts[:-1], out, strict=True)]))
+        made = {k: np.concatenate([o[i] for o in out]) for i, k in ((1, "cluster_id"), (2, "place"))}
+        return made | {k: table[k].combine_chunks().take(at) for k in key[:2]}
+
+    def few(table: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        image = codes(table, key[:1])
+        # rows are in order of segments, branches and pieces, so numbers of the branches keep their order
+        first = _starts(table, key[:2])
+        size = np.add.reduceat(n, first)
+        kinds = pc.dictionary_encode(table["fractype"].combine_chunks(), null_encoding="encode")
+        kind = kinds.indices.to_numpy()[first]
+        points = _points_of(table["points_"].combine_chunks(), n)
+        some = np.flatnonzero(size)
+        if not len(some):
+            return (np.empty(0, np.int64),) * 3
+        branch, cluster, place = _clusters(image[first][some], size[some], *points.T.copy(), kind[some], kinds.dictionary.to_pylist(), np.arange(len(some)), width, most_mean, most_std)
+        return first[some[branch]], cluster, place
+
+    pieces = branches if "pos" in branches.columns else branches.withColumn("pos", F.lit(0))
+    kept = ", ".join(f"{c} {types.get(c, 'int')}" for c in key)
+    placed = pieces.select(*key, "path").mapInArrow(_coded, f"{kept}, n_ int, points_ binary")
+    return by_groups(placed, ["segment_id"], run, f"segment_id {types['segment_id']}, branch_id {types['branch_id']}, cluster_id int, place int", ["branch_id", "pos"])

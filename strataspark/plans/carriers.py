@@ -461,8 +461,7 @@ def greedy_cluster(t):
     from strataspark.operators import branches
 
     p = branches.long_branches(branches.branch_paths(raster.skeletonize(_strokes(t))), 8)
-    b = p.groupBy("segment_id", F.xxhash64("root_y", "root_x").alias("branch_id")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("y").cast("double").alias("z"), F.col("x").cast("double").alias("x")))).alias("p"))
-    b = b.select("segment_id", "branch_id", F.lit("filled").alias("fractype"), F.transform("p", lambda v: F.struct(v["z"].alias("z"), v["x"].alias("x"))).alias("path"))
+    b = branches.path_arrays(p).select("segment_id", F.xxhash64("root_y", "root_x").alias("branch_id"), F.lit("filled").alias("fractype"), "pos", "path")
     return branches.cluster_branches(b, 64)
 
 

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.functions.groups import by_groups
+from strataspark.functions.groups import by_groups, codes
+from strataspark.functions.packed import coded, coded_pieces, points_of
 from strataspark.functions.shared import held
 
 from .contours import KEY, contours
-from .planes import directions, nearest
+from .planes import SMALL, directions, nearest
 
 #: Side of the cells that tell which part of an image a ray passes.
 CELL = 16
@@ -21,10 +22,9 @@ CELL = 16
 TILE = 1024
 #: Side of the blocks of edges within a tile that are held against the rays that pass them, and pairs that are held at once.
 BLOCK, PAIRS = 64, 1 << 21
-#: Edges of a contour that travel in one row.
-EDGES = 256
+#: Edges of a contour, and rays, that travel in one row.
+EDGES, RAYS = 256, 64
 _NEAR = 1e-9
-_EDGE = pa.struct([(c, pa.float64()) for c in ("ay", "ax", "by", "bx")])
 
 
 def contour_edges(found: DataFrame, least_area: float = 0.0) -> DataFrame:
@@ -86,7 +86,7 @@ def _in_tiles(ay: np.ndarray, ax: np.ndarray, by: np.ndarray, bx: np.ndarray) ->
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], ends) -> Iterator[pa.RecordBatch]:
-    """(segment_id, contour_id, cy, cx, edges): the edges of each row that a tile touches, at most EDGES in a row.
+    """(segment_id, contour_id, cy, cx, n_, points_): the edges of each row that a tile touches, at most EDGES in a row, as bytes of both ends of each.
 
     ends(batch): the row of each edge, and its ends ay, ax, by, bx.
     """
@@ -101,10 +101,25 @@ def _dealt(batches: Iterator[pa.RecordBatch], ends) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         at = np.arange(len(edge)) - first[np.cumsum(new) - 1]
         first = np.flatnonzero(at % EDGES == 0)
-        edges = pa.StructArray.from_arrays([pa.array(c[edge]) for c in corners], fields=list(_EDGE))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(edge)], pa.int32()), edges)
+        n = np.diff(np.r_[first, len(edge)])
+        ends_ = coded(np.stack([c[edge] for c in corners], axis=1).reshape(-1, 2), 2 * n)
         of = pa.array(row[edge[first]])
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in ("segment_id", "contour_id")] + [pa.array(cy[first]), pa.array(cx[first]), lists], ["segment_id", "contour_id", "cy", "cx", "edges"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in ("segment_id", "contour_id")] + [pa.array(cy[first]), pa.array(cx[first]), pa.array(n, pa.int32()), ends_], ["segment_id", "contour_id", "cy", "cx", "n_", "points_"])
+
+
+_RAY = {"y": "double", "x": "double", "dy": "double", "dx": "double", "alone": "boolean"}
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment_id, cy, cx, id, y, x, dy, dx, alone): lists of the rays of a batch that pass a tile, at most RAYS in a row."""
+    for batch in (b for b in batches if b.num_rows):
+        code = codes(pa.Table.from_batches([batch]), ["segment_id", "cy", "cx"])
+        order = np.argsort(code, kind="stable")
+        new = np.r_[True, np.diff(code[order]) != 0]
+        at = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero(at % RAYS == 0)
+        ends, all_, of = pa.array(np.r_[first, len(order)], pa.int32()), pa.array(order), pa.array(order[first])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("segment_id", "cy", "cx")), *(pa.ListArray.from_arrays(ends, batch.column(c).take(all_)) for c in ("id", *_RAY))], ["segment_id", "cy", "cx", "id", *_RAY])
 
 
 def _edge_ends(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -173,37 +188,38 @@ def _in_tasks(samples: DataFrame, parts: DataFrame, bounds: DataFrame, reach: fl
     exact = lambda c: F.when(F.abs(c) < 1e-15, 0.0).otherwise(c)
     rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), exact(dy).alias("dy"), exact(dx).alias("dx"))
     types = dict(samples.dtypes) | dict(parts.dtypes)
-    here = ray_cells(within_bounds(rays, bounds, reach), reach, TILE, TILE // 2)
-    both = here.unionByName(parts, allowMissingColumns=True)
+    here = ray_cells(within_bounds(rays, bounds, reach), reach, TILE, TILE // 2).select("segment_id", "cy", "cx", "id", *_RAY)
+    lists = ", ".join(f"{c} array<{t}>" for c, t in ({"id": types["id"]} | _RAY).items())
+    packed = here.mapInArrow(_together, f"segment_id {types['segment_id']}, cy long, cx long, {lists}")
+    both = packed.unionByName(parts, allowMissingColumns=True)
 
     def run(table: pa.Table, starts: np.ndarray) -> dict:
-        rows = table["edges"].combine_chunks()
-        n = np.nan_to_num(rows.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        edges = rows.flatten()
-        ends = [edges.field(c).to_numpy() for c in ("ay", "ax", "by", "bx")]
-        is_ray = rows.is_null().to_numpy(zero_copy_only=False)
-        lines = [table[c].to_numpy() for c in ("y", "x", "dy", "dx")]
+        ids = table["id"].combine_chunks()
+        # rays and edges of each row, none where it has the others
+        m, n = (np.nan_to_num(c.to_numpy(zero_copy_only=False)).astype(np.int64) for c in (ids.value_lengths(), table["n_"].combine_chunks()))
+        owner, ray_row = np.flatnonzero(n), np.repeat(np.arange(len(m)), m)
+        points = points_of(table["points_"].combine_chunks().take(pa.array(owner)), 2 * n[owner]).reshape(-1, 4).T
+        lines = np.stack([table[c].combine_chunks().flatten().to_numpy() for c in ("y", "x", "dy", "dx")])
+        alone = table["alone"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        # a contour's first row in a tile stands for all of them
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(m))))[owner]
         contour = table["contour_id"].combine_chunks()
-        # a contour's first row stands for all of them
-        fields = [contour.field(k).to_numpy(zero_copy_only=False) for k in range(contour.type.num_fields)]
-        from_, out = np.r_[0, np.cumsum(n)], []
-        for begin, end in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
-            ray = begin + np.flatnonzero(is_ray[begin:end])
-            e0, e1 = from_[begin], from_[end]
-            if not len(ray) or e0 == e1:
+        code = codes(table.take(pa.array(owner)), ["contour_id"]) if len(owner) else owner
+        _, first, same = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_index=True, return_inverse=True)
+        stands = np.repeat(owner[first][same], n[owner])
+        rays_to, edges_to, out = np.r_[0, np.cumsum(m)], np.r_[0, np.cumsum(n)], []
+        for begin, end in zip(starts, np.append(starts[1:], len(m)), strict=True):
+            a, b = rays_to[[begin, end]]
+            e0, e1 = edges_to[[begin, end]]
+            if a == b or e0 == e1:
                 continue
-            owner = begin + np.flatnonzero(~is_ray[begin:end])
-            codes = np.unique(np.stack([f[owner] for f in fields], axis=1), axis=0, return_index=True, return_inverse=True)
-            stands = owner[codes[1]][codes[2].reshape(-1)]
-            of = np.repeat(stands, n[owner])
-            r, e, t, lies = _meetings(np.stack([c[ray] for c in lines]), np.stack([c[e0:e1] for c in ends]), reach)
-            out.append((ray[r], of[e], t, lies))
+            r, e, t, lies = _meetings(lines[:, a:b], np.ascontiguousarray(points[:, e0:e1]), reach)
+            out.append((a + r, stands[e0 + e], t, lies))
         r, c, t, lies = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
         by = np.lexsort((t, c, r))
-        alone = table["alone"].to_numpy(zero_copy_only=False)
         got = made(r[by], c[by], t[by], lies[by], alone[r[by]].astype(bool))
-        ray, of = pa.array(got.pop("ray")), got.pop("of")
-        return got | {k: table[k].combine_chunks().take(ray) for k in ("segment_id", "id")} | {"contour_id": contour.take(pa.array(of, pa.int64(), mask=of < 0))}
+        ray, of = got.pop("ray"), got.pop("of")
+        return got | {"segment_id": table["segment_id"].combine_chunks().take(pa.array(ray_row[ray])), "id": ids.flatten().take(pa.array(ray))} | {"contour_id": contour.take(pa.array(of, pa.int64(), mask=of < 0))}
 
     schema = f"segment_id {types['segment_id']}, id {types['id']}, contour_id {types['contour_id']}, {columns}"
     return by_groups(both, ["segment_id", "cy", "cx"], run, schema)
@@ -253,7 +269,7 @@ def ray_hits(samples: DataFrame, edges: DataFrame, reach: float = 1000) -> DataF
     return hits.where((F.size("hits") > 1) & ~F.col("lies")).drop("lies")
 
 
-_PART = "segment_id {segment_id}, contour_id {contour_id}, cy long, cx long, edges array<struct<ay:double,ax:double,by:double,bx:double>>"
+_PART = "segment_id {segment_id}, contour_id {contour_id}, cy long, cx long, n_ int, points_ binary"
 
 
 def ray_widths(samples: DataFrame, mask: DataFrame, reach: float = 1000, ratio: float = 1.0, least_area: float = 0.0) -> DataFrame:
@@ -274,15 +290,79 @@ def ray_widths(samples: DataFrame, mask: DataFrame, reach: float = 1000, ratio:
     return sides.where(width < float("inf")).select("segment_id", "id", (width * ratio).alias("width_mm"))
 
 
+def _across(y: np.ndarray, x: np.ndarray, first: np.ndarray, size: np.ndarray, asks: np.ndarray, n: int) -> np.ndarray:
+    """The direction across its path of each point that asks, from the n nearest points of the path (with itself).
+
+    Paths are the ranges first, size of the points; of equal distances the first point counts. Sums of whole numbers are exact.
+    """
+    path = np.repeat(np.arange(len(size)), size)[asks]
+    m = size[path]
+    begin = np.cumsum(m) - m
+    place = np.arange(int(m.sum())) - np.repeat(begin, m)
+    at, of = np.repeat(first[path], m) + place, np.repeat(asks, m)
+    # distances with the place in the path, so that all differ
+    far = ((y[at] - y[of]) ** 2 + (x[at] - x[of]) ** 2) * SMALL + place
+    sums = np.zeros((6, len(asks)), np.int64)
+    for _ in range(n):
+        least = np.minimum.reduceat(far, begin)
+        left = np.flatnonzero(least < _GONE)
+        k = least[left] % SMALL
+        far[begin[left] + k] = _GONE
+        near = first[path[left]] + k
+        dy, dx = y[near] - y[asks[left]], x[near] - x[asks[left]]
+        sums[:, left] += np.stack([np.ones_like(dy), dx, dy, dx * dx, dx * dy, dy * dy])
+    c, sx, sy, xx, xy, yy = sums
+    along = np.degrees(0.5 * np.arctan2(2.0 * (c * xy - sx * sy), (c * xx - sx * sx) - (c * yy - sy * sy)))
+    return np.mod(along + 90.0, 180.0)
+
+
+#: A distance of points that have been met.
+_GONE = 1 << 62
+
+
 def sampled_normals(paths: DataFrame, every: int = 10, n: int = 4, path: list[str] | None = None) -> DataFrame:
     """Every tenth point of each path with the direction across it, from its n nearest points of the path.
 
-    path: the columns that name a path; pos is the place in it.
+    path: the columns that name a path; pos is the place in it. Paths of up to SMALL pixels travel as bytes, and their directions
+    are told where they arrive; the points of longer ones are searched in a grid.
     """
     path = path or KEY
+    types = dict(paths.dtypes)
+    points = paths.select(*path, "pos", "y", "x")
+    if path == KEY and "n_px" in paths.columns:
+        long = paths.where(F.col("n_px") > SMALL).select(*path).distinct()
+    else:
+        long = paths.groupBy(*path).agg(F.count("*").alias("n_")).where(F.col("n_") > SMALL).select(*path)
+    long = held(long, "long")
+
+    def run(table: pa.Table, starts: np.ndarray) -> dict:
+        m = table["n_"].to_numpy().astype(np.int64)
+        y, x = (c.astype(np.int64) for c in points_of(table["points_"].combine_chunks(), m).T)
+        pos = np.repeat(table["pos"].to_numpy().astype(np.int64) - np.cumsum(m) + m, m) + np.arange(len(y))
+        row = np.repeat(np.arange(len(m)), m)
+        size = np.add.reduceat(m, starts)
+        first = np.cumsum(size) - size
+        asks = np.flatnonzero(pos % every == 0)
+        pairs = np.cumsum(np.repeat(size, size)[asks]) // PAIRS
+        cuts = np.flatnonzero(np.diff(pairs)) + 1
+        normal = np.concatenate([_across(y, x, first, size, some, n) for some in np.split(asks, cuts)]) if len(asks) else np.empty(0)
+        of = pa.array(row[asks])
+        return {c: table[c].combine_chunks().take(of) for c in path} | {"pos": pos[asks], "y": y[asks], "x": x[asks], "normal_deg": normal}
+
+    named = ", ".join(f"{c} {types[c]}" for c in path)
+    short, far = points, None
+    if not long.isEmpty():
+        short, far = points.join(long, path, "left_anti"), points.join(long, path, "left_semi")
+    packed = short.mapInArrow(lambda batches: coded_pieces(batches, path), f"{named}, pos {types['pos']}, n_ int, points_ binary")
+    found = by_groups(packed, path, run, f"{named}, pos {types['pos']}, y int, x int, normal_deg double", ["pos"])
+    if far is not None:
+        found = found.unionByName(_sampled_of_long(far, every, n, path))
+    return found.withColumn("id", F.xxhash64(*[c for c in path if c != "segment_id"], "pos"))
+
+
+def _sampled_of_long(paths: DataFrame, every: int, n: int, path: list[str]) -> DataFrame:
     points = paths.select(F.struct(*path).alias("path_"), "pos", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
     near = nearest(points, "path_", "pos", ["y", "x"], n, points.where(F.col("pos") % every == 0))
     around = near.join(points.withColumnRenamed("pos", "neighbour"), ["path_", "neighbour"]).withColumn("sample_", F.struct("path_", "pos"))
     across = directions(around, "sample_", F.col("x"), F.col("y")).select(F.col("sample_.path_").alias("path_"), F.col("sample_.pos").alias("pos"), "normal_deg")
-    found = points.join(across, ["path_", "pos"]).select("path_.*", "pos", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "normal_deg")
-    return found.withColumn("id", F.xxhash64(*[c for c in path if c != "segment_id"], "pos"))
+    return points.join(across, ["path_", "pos"]).select("path_.*", "pos", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "normal_deg")

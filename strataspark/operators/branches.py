@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.geometry import pair_weight
-from strataspark.functions.groups import _starts, by_groups, codes, in_tables
+from strataspark.functions.groups import _starts, by_groups, codes
+from strataspark.functions.packed import coded, pieces, points_of
 from strataspark.functions.shared import held
 
 from .raster import NODE_HALO, RING, Pixels, in_bands, own_branches, rooted
@@ -375,12 +376,8 @@ def path_arrays(paths: DataFrame) -> DataFrame:
     types = dict(paths.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_tables(batches):
-            code, pos = codes(table, key), table["pos"].to_numpy()
-            order = np.lexsort((pos, code))
-            first = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-            points = [pa.array(table[c].to_numpy()[order].astype(float)) for c in "yx"]
-            path = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.StructArray.from_arrays(points, ["z", "x"]))
+        for table, order, first, points in pieces(batches, key):
+            path = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in points.T], ["z", "x"]))
             of = pa.array(order[first])
             yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(of) for c in [*key, "pos"]), path], [*key, "pos", "path"])
 
@@ -388,48 +385,13 @@ def path_arrays(paths: DataFrame) -> DataFrame:
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their paths as bytes: the first point, and steps of a byte where points are whole numbers so near to each other, else all points."""
+    """Rows with their paths as bytes."""
     for batch in batches:
         path = batch.column("path")
         n = path.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         points = np.stack([path.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("z", "x")], axis=1)
-        first = np.cumsum(n) - n
-        step = np.diff(points, axis=0, prepend=points[:1])
-        step[first[n > 0]] = 0
-        of = np.repeat(np.arange(len(n)), n)
-        odd = (points != np.rint(points)) | (np.abs(points) > 1 << 50) | (np.abs(step) > 127)
-        small = np.bincount(of[odd.any(axis=1)], minlength=len(n)) == 0
-        size = np.where(small, 14 + 2 * n, 16 * n) * (n > 0)
-        ends = np.cumsum(size)
-        out = np.empty(int(size.sum()), np.uint8)
-        wide = ~small[of]
-        wide[first[n > 0]] = True
-        k = np.arange(len(of)) - first[of]
-        at = (ends - size)[of]
-        out[(at + 16 * k)[wide][:, None] + np.arange(16)] = points[wide].view(np.uint8)
-        out[(at + 14 + 2 * k)[~wide][:, None] + np.arange(2)] = step[~wide].astype(np.int8).view(np.uint8)
-        made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(out)])
         others = [c for c in batch.schema.names if c != "path"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(n, pa.int32()), made], [*others, "n_", "points_"])
-
-
-def _points_of(coded: pa.Array, n: np.ndarray) -> np.ndarray:
-    """Points of coded paths, one after another."""
-    size = pc.binary_length(coded).to_numpy().astype(np.int64)
-    begin = int(np.frombuffer(coded.buffers()[1], np.int32)[coded.offset])
-    code = np.frombuffer(coded.buffers()[2] or b"", np.uint8)[begin : begin + int(size.sum())]
-    at = (np.cumsum(size) - size)[(of := np.repeat(np.arange(len(n)), n))]
-    first = np.cumsum(n) - n
-    k = np.arange(len(of)) - first[of]
-    wide = (size == 16 * n)[of] | (k == 0)
-    points = np.empty((len(of), 2))
-    points[wide] = code[(at + 16 * k)[wide][:, None] + np.arange(16)].view(float)
-    points[~wide] = code[(at + 14 + 2 * k)[~wide][:, None] + np.arange(2)].view(np.int8)
-    # whole numbers, so that sums are exact
-    steps = np.where(wide[:, None] & (k > 0)[:, None], 0.0, points)
-    total = np.cumsum(steps, axis=0)
-    before = total[first[of]] - steps[first[of]]
-    return np.where(wide[:, None], points, total - before)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(n, pa.int32()), coded(points, n)], [*others, "n_", "points_"])
 
 
 def cluster_branches(branches: DataFrame, width: int, most_mean: float = 1.7, most_std: float = 1.5) -> DataFrame:
@@ -459,14 +421,14 @@ def cluster_branches(branches: DataFrame, width: int, most_mean: float = 1.7, mo
         size = np.add.reduceat(n, first)
         kinds = pc.dictionary_encode(table["fractype"].combine_chunks(), null_encoding="encode")
         kind = kinds.indices.to_numpy()[first]
-        points = _points_of(table["points_"].combine_chunks(), n)
+        points = points_of(table["points_"].combine_chunks(), n)
         some = np.flatnonzero(size)
         if not len(some):
             return (np.empty(0, np.int64),) * 3
         branch, cluster, place = _clusters(image[first][some], size[some], *points.T.copy(), kind[some], kinds.dictionary.to_pylist(), np.arange(len(some)), width, most_mean, most_std)
         return first[some[branch]], cluster, place
 
-    pieces = branches if "pos" in branches.columns else branches.withColumn("pos", F.lit(0))
+    parts = branches if "pos" in branches.columns else branches.withColumn("pos", F.lit(0))
     kept = ", ".join(f"{c} {types.get(c, 'int')}" for c in key)
-    placed = pieces.select(*key, "path").mapInArrow(_coded, f"{kept}, n_ int, points_ binary")
+    placed = parts.select(*key, "path").mapInArrow(_coded, f"{kept}, n_ int, points_ binary")
     return by_groups(placed, ["segment_id"], run, f"segment_id {types['segment_id']}, branch_id {types['branch_id']}, cluster_id int, place int", ["branch_id", "pos"])

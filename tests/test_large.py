@@ -1,10 +1,13 @@
 """Steps that must do many groups at once and send little, at 60 times sf0.1 as well."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from strataspark.operators import branches
+from strataspark.functions import packed
+from strataspark.operators import aperture, branches, contours, planes
 
+from test_contours import pixels
 from test_growth import plain_clusters
 
 
@@ -62,3 +65,62 @@ def test_paths_become_rows_of_whole_branches(spark, n):
     paths = spark.createDataFrame(rows, "segment_id int, root_y int, root_x int, branch_type int, n_px long, pos int, y int, x int, joint boolean").repartition(2, "segment_id", "root_x").sortWithinPartitions("x")
     got = {(r.segment_id, r.root_x): [(p.z, p.x) for p in r.path] for r in branches.path_arrays(paths).collect()}
     assert got == {(s, k): [(float(5 + p // 2), float(k + p)) for p in range(12)] for s in range(n) for k in (3, 50)}
+
+
+def test_points_come_back_from_their_bytes():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(-9, 300, (n, 2)).astype(float).cumsum(0) % 4096 for n in (0, 1, 7, 300)]
+    parts += [np.cumsum(rng.integers(-127, 128, (n, 2)), 0) + 2.0**40 for n in (1, 50)] + [rng.random((5, 2)), np.array([[0.0, 0.0], [128.0, 0.0]]), np.zeros((0, 2)), np.array([[0.5, 1.0]])]
+    n = np.array([len(p) for p in parts])
+    found = packed.coded(np.concatenate(parts), n)
+    assert np.array_equal(packed.points_of(found, n), np.concatenate(parts))
+    assert np.array_equal(packed.points_of(found.slice(3, 4), n[3:7]), np.concatenate(parts[3:7]))
+    assert len(found[4].as_py()) == 16 and len(found[5].as_py()) == 16 + 2 * 49
+
+
+@pytest.mark.parametrize("small", [1024, 25])
+def test_normals_are_told_by_exact_sums_where_paths_arrive(spark, monkeypatch, small):
+    """Also where four points lie in a square, which has no direction of least spread; paths are dealt once, as bytes."""
+    monkeypatch.setattr(aperture, "SMALL", small)
+    monkeypatch.setattr(planes, "SMALL", small)
+    rng, rows = np.random.default_rng(12), []
+    for k, size in enumerate([1, 2, 3, 4, 11, 25, 26, 60]):
+        step = rng.integers(-1, 2, (size, 2)).cumsum(0) + 50 * k
+        rows += [(k % 2, k, 3, size, p, int(y), int(x)) for p, (y, x) in enumerate(step)]
+    rows += [(0, 99, 3, 4, p, 7 + p // 2, 7 + p % 2) for p in range(4)]
+    order = rng.permutation(len(rows))
+    paths = spark.createDataFrame([rows[i] for i in order], "segment_id int, root_y int, root_x int, n_px long, pos int, y int, x int")
+    found = aperture.sampled_normals(paths, 5)
+    if small == 1024:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "points_" in plan
+    got = {(r.root_y, r.pos): (r.y, r.x, r.normal_deg) for r in found.collect()}
+    assert len(got) == sum(p % 5 == 0 for *_, p, _, _ in rows)
+    checked = 0
+    for (root, pos), (y, x, normal) in got.items():
+        near = sorted(((b - y) ** 2 + (c - x) ** 2, p, b, c) for _, r, _, _, p, b, c in rows if r == root)[:4]
+        n, a, c, b = len(near), *(len(near) * sum(q[i] * q[j] for *_, q in [(0, (f[3], f[2])) for f in near]) - sum(f[3 - i] for f in near) * sum(f[3 - j] for f in near) for i, j in ((0, 0), (1, 1), (0, 1)))
+        if small == 1024 or (a, b) != (c, 0):
+            want = (np.degrees(0.5 * np.arctan2(2.0 * b, float(a - c))) + 90) % 180
+            assert min(abs(normal - want), 180 - abs(normal - want)) < 1e-9
+            checked += 1
+    assert checked > 20 and (small < 1024 or got[99, 0][2] == 90.0)
+
+
+def test_rays_and_edges_travel_packed(spark):
+    """A row for many rays of a tile, and a contour's edges as bytes: a few for each, where they were 32 before."""
+    mask = np.zeros((70, 90), bool)
+    mask[5:60, 8:80] = True
+    mask[12:20, 12:20] = False
+    samples = spark.createDataFrame([(0, k, 6 + k % 50, 9 + k % 60, 3.0 * k) for k in range(300)], "segment_id int, id long, y int, x int, normal_deg double").coalesce(1)
+    edges = aperture.contour_edges(contours.contours(pixels(spark, [mask])))
+    plan = aperture.ray_hits(samples, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "array<double>" in plan or plan.count("MapInArrow") > 2
+    assert "ay:double" not in aperture._PART
+    ends = [np.arange(40) // 2, *(np.arange(40) + k for k in range(4))]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(20, np.int32)), pa.array(np.arange(20))], ["segment_id", "contour_id"])
+    made = next(aperture._dealt([batch], lambda b: ends))
+    assert made.num_rows == 20 and made.column("points_").nbytes < 40 * 16 + 200
+    rays = pa.RecordBatch.from_arrays([pa.array(np.zeros(300, np.int32)), *(pa.array(np.arange(300) // 150) for _ in range(2)), pa.array(np.arange(300)), *(pa.array(np.ones(300)) for _ in range(4)), pa.array(np.ones(300, bool))], ["segment_id", "cy", "cx", "id", *aperture._RAY])
+    lists = next(aperture._together([rays]))
+    assert lists.num_rows == 6 and lists.column("id").flatten().to_pylist() == list(range(300))

@@ -3,9 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from strataspark.functions import packed
-from strataspark.operators import aperture, branches, contours, planes
+from strataspark.functions import groups, packed
+from strataspark.operators import aperture, branches, contours, planes, raster, reconnect
 
 from test_contours import pixels
 from test_growth import plain_clusters
@@ -124,3 +125,72 @@ def test_rays_and_edges_travel_packed(spark):
     rays = pa.RecordBatch.from_arrays([pa.array(np.zeros(300, np.int32)), *(pa.array(np.arange(300) // 150) for _ in range(2)), pa.array(np.arange(300)), *(pa.array(np.ones(300)) for _ in range(4)), pa.array(np.ones(300, bool))], ["segment_id", "cy", "cx", "id", *aperture._RAY])
     lists = next(aperture._together([rays]))
     assert lists.num_rows == 6 and lists.column("id").flatten().to_pylist() == list(range(300))
+
+
+def coloured_strokes(rng, n, tall, wide, strokes=26):
+    """Short strokes in rows, columns and diagonals of n images, in four classes, as (segment, y, x, class); classes may share pixels."""
+    out = set()
+    for s in range(n):
+        for _ in range(strokes):
+            y, x, (dy, dx) = int(rng.integers(0, tall)), int(rng.integers(0, wide)), [(0, 1), (1, 0), (1, 1), (1, -1)][rng.integers(0, 4)]
+            kind = ["red", "green", "yellow", "mixed"][min(3, int(rng.integers(0, 8)) // 2)]
+            out |= {(s, y + k * dy + w, x + k * dx, kind) for k in range(int(rng.integers(7, 16))) for w in range(int(rng.integers(1, 3))) if 0 <= y + k * dy + w < tall and 0 <= x + k * dx < wide}
+    return sorted(out)
+
+
+def test_growth_and_its_regions_across_bands_are_those_within_one(spark, monkeypatch):
+    rows = coloured_strokes(np.random.default_rng(17), 24, 70, 64, 40)
+    called = []
+    for name in ("_across_bands", "_extensions_across"):
+        monkeypatch.setattr(reconnect, name, lambda *a, name=name, f=getattr(reconnect, name): called.append(name) or f(*a))
+    made = []
+    for by in (40, raster.BAND - 33):
+        shown = spark.createDataFrame([(s, y + by, x, kind) for s, y, x, kind in rows], "segment_id int, y int, x int, class string")
+        one = raster.one_class(shown)
+        mask = one.select("segment_id", "y", "x")
+        ends = reconnect.path_ends(branches.branch_paths(raster.skeletonize(mask)), 4)
+        wide = reconnect.local_widths(ends, mask, 9).withColumn("width", F.greatest("width", F.lit(2)))
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+        found = {(r.segment_id, r.y - by, r.x): (r.ref_y - by, r.ref_x, r.dir_y, r.dir_x, r.width) for r in wide.collect()}
+        assert found == {(r.segment_id, r.y - by, r.x): (r.ref_y - by, r.ref_x, r.dir_y, r.dir_x, r.width) for r in reconnect._widths_by_steps(ends, mask, 9).withColumn("width", F.greatest("width", F.lit(2))).collect()}
+        counted = reconnect.growth_counts(wide, mask, 4, by + 110, 64)
+        counts = {(r.segment_id, r.y - by, r.x): r.expand_count for r in counted.collect()}
+        assert {r.endpoint_id for r in counted.collect()} <= {r.endpoint_id for r in ends.collect()}
+        new = sorted((r.segment_id, r.y - by, r.x, r["class"]) for r in reconnect.extensions(one, reconnect.growth_pixels(counted, by + 110, 64)).collect())
+        made.append((found, counts, new))
+        assert len(called) == (0 if by == 40 else 2)
+    assert made[0] == made[1]
+    assert len(made[0][1]) > 20 and len(set(made[0][1].values())) > 2 and len(made[0][2]) > 50
+
+
+@pytest.mark.parametrize("by", [0, 480])
+def test_extensions_within_bands_are_those_of_joins(spark, by):
+    rng = np.random.default_rng(23)
+    rows = [(s, y + by, x, kind) for s, y, x, kind in coloured_strokes(rng, 5, 60, 60)]
+    blobs = [(s, int(y) + a + by, int(x) + b) for s in range(6) for y, x in rng.integers(3, 55, (9, 2)) for a in range(-2, 3) for b in range(-3, 4)]
+    shown = spark.createDataFrame(rows, "segment_id int, y int, x int, class string")
+    growth = spark.createDataFrame(blobs, "segment_id int, y int, x int")
+    got = reconnect.extensions(shown, growth).collect()
+    want = reconnect._extensions_across(shown, growth.distinct()).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r["class"] for r in want}) > 2 and len(want) > 100
+
+
+def test_one_class_is_the_least_and_travels_packed(spark):
+    rows = coloured_strokes(np.random.default_rng(29), 3, 50, 50)
+    shown = spark.createDataFrame(rows * 2, "segment_id int, y int, x int, class string").withColumn("y", F.col("y") + 490)
+    one = raster.one_class(shown)
+    want = shown.groupBy("segment_id", "y", "x").agg(F.min("class").alias("class"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, want.collect()))
+    assert raster.packed_bands(shown.coalesce(1), ["segment_id", "class"]).count() < len(rows) / 20
+
+
+@pytest.mark.parametrize("rows", [5, 1 << 17])
+def test_ends_of_branches_that_were_cut(spark, monkeypatch, rows):
+    monkeypatch.setattr(groups, "ROWS", rows)
+    shown = [(0, 7 * k, 1, 0, n, p, 7 * k, 1 + p, False) for k, n in enumerate([4, 5, 6, 9, 10, 30]) for p in range(n)]
+    paths = spark.createDataFrame(shown, "segment_id int, root_y int, root_x int, branch_type int, n_px long, pos int, y int, x int, joint boolean").repartition(3)
+    ends = reconnect.path_ends(paths, 4)
+    assert "Join" not in ends._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.y, r.x, r.ref_y, r.ref_x, round(r.dir_y, 6), round(r.dir_x, 6)) for r in ends.collect())
+    assert got == sorted((7 * k, *at, 0.0, d) for k, n in enumerate([4, 5, 6, 9, 10, 30]) if n > 4 for at, d in (((1, 7 * k, 5), -1.0), ((n, 7 * k, n - 4), 1.0)))

@@ -110,6 +110,43 @@ def _dealt(batches: Iterator[pa.RecordBatch], ends) -> Iterator[pa.RecordBatch]:
 _RAY = {"y": "double", "x": "double", "dy": "double", "dx": "double", "alone": "boolean"}
 
 
+def _visits(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+    """(segment_id, cy, cx, id, y, x, dy, dx, alone): rays with each tile that they pass within the bounds of their segment's edges.
+
+    What within_bounds and ray_cells tell, for a batch of rays with bounds (y0, y1, x0, x1).
+    """
+    for batch in (b for b in batches if b.num_rows):
+        v = {c: batch.column(c).to_numpy().astype(float) for c in ("y", "x", "dy", "dx", "y0", "y1", "x0", "x1")}
+        low, high, hits = np.full(batch.num_rows, -float(reach)), np.full(batch.num_rows, float(reach)), np.ones(batch.num_rows, bool)
+        for c in "yx":
+            moves = np.abs(v[f"d{c}"]) > 1e-12
+            step = np.where(moves, v[f"d{c}"], 1.0)
+            ends = (v[f"{c}0"] - 1 - v[c]) / step, (v[f"{c}1"] + 1 - v[c]) / step
+            low, high = np.where(moves, np.maximum(low, np.minimum(*ends)), low), np.where(moves, np.minimum(high, np.maximum(*ends)), high)
+            hits &= moves | ((v[c] >= v[f"{c}0"] - 1) & (v[c] <= v[f"{c}1"] + 1))
+        kept = np.flatnonzero(hits & (low <= high))
+        v, low, high = {c: w[kept] for c, w in v.items()}, low[kept], high[kept]
+        stops, half = [low, high], TILE // 2
+        for c in "yx":
+            at, step = v[c] + half, v[f"d{c}"]
+            ends = at + low * step, at + high * step
+            first, last = np.ceil(np.minimum(*ends) / TILE), np.floor(np.maximum(*ends) / TILE)
+            moves = np.abs(step) > 1e-12
+            for k in range(int((last - first).max(initial=-1)) + 1):
+                crosses = moves & (first + k <= last)
+                stops.append(np.where(crosses, ((first + k) * TILE - at) / np.where(moves, step, 1.0), np.nan))
+        stops = np.sort(np.stack(stops, axis=1), axis=1)
+        ray, j = np.nonzero(~np.isnan(stops[:, 1:]))
+        middle = (stops[ray, j] + stops[ray, j + 1]) / 2
+        cy, cx = (np.floor((v[c][ray] + half + middle * v[f"d{c}"][ray]) / TILE).astype(np.int64) for c in "yx")
+        order = np.lexsort((cx, cy, ray))
+        ray, cy, cx = ray[order], cy[order], cx[order]
+        new = np.flatnonzero(np.r_[True, (ray[1:] != ray[:-1]) | (cy[1:] != cy[:-1]) | (cx[1:] != cx[:-1])][: len(ray)])
+        ray, cy, cx = ray[new], cy[new], cx[new]
+        alone, of = np.bincount(ray, minlength=len(kept))[ray] == 1, pa.array(kept[ray])
+        yield pa.RecordBatch.from_arrays([batch.column("segment_id").take(of), pa.array(cy), pa.array(cx), batch.column("id").take(of), *(pa.array(v[c][ray]) for c in ("y", "x", "dy", "dx")), pa.array(alone)], ["segment_id", "cy", "cx", "id", *_RAY])
+
+
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(segment_id, cy, cx, id, y, x, dy, dx, alone): lists of the rays of a batch that pass a tile, at most RAYS in a row."""
     for batch in (b for b in batches if b.num_rows):
@@ -188,9 +225,9 @@ def _in_tasks(samples: DataFrame, parts: DataFrame, bounds: DataFrame, reach: fl
     exact = lambda c: F.when(F.abs(c) < 1e-15, 0.0).otherwise(c)
     rays = samples.select("segment_id", "id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), exact(dy).alias("dy"), exact(dx).alias("dx"))
     types = dict(samples.dtypes) | dict(parts.dtypes)
-    here = ray_cells(within_bounds(rays, bounds, reach), reach, TILE, TILE // 2).select("segment_id", "cy", "cx", "id", *_RAY)
+    here = rays.join(bounds.hint("merge"), "segment_id")
     lists = ", ".join(f"{c} array<{t}>" for c, t in ({"id": types["id"]} | _RAY).items())
-    packed = here.mapInArrow(_together, f"segment_id {types['segment_id']}, cy long, cx long, {lists}")
+    packed = here.mapInArrow(lambda batches: _together(_visits(batches, reach)), f"segment_id {types['segment_id']}, cy long, cx long, {lists}")
     both = packed.unionByName(parts, allowMissingColumns=True)
 
     def run(table: pa.Table, starts: np.ndarray) -> dict:
